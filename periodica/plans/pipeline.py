@@ -1,0 +1,84 @@
+"""The whole chain: import, align, reduce, model, fit / predict / back-test."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from periodica.operators.align import PanelDataset, align
+from periodica.plans.models import MODEL_KINDS, make_model
+from periodica.sources.layouts import endog_frequency, import_endogenous, import_exogenous
+
+
+@dataclass(frozen=True)
+class PipelineConfig:
+    """Options of one run; ``None`` means "not asked for", zero is a value."""
+
+    endog_path: str
+    endog_format: str
+    endog_var: str
+    as_of_year: int
+    exog_path: str | None = None
+    exog_format: str | None = None
+    exog_vars: Sequence[str] | None = None
+    pca: float | None = None
+    model: str = "SARIMARegression"
+    p_d_q_order: Sequence[int] = (0, 0, 0)
+    P_D_Q_order: Sequence[int] = (0, 0, 0, 4)
+    fit: bool = False
+    predict: int | None = None
+    sliding_window: float | None = None
+
+    def check(self) -> "PipelineConfig":
+        if (self.exog_path is None) != (self.exog_format is None):
+            raise ValueError("exog_path and exog_format must be given together")
+        if self.pca is not None and not 0.0 <= self.pca <= 1.0:
+            raise ValueError("pca must be between 0 and 1")
+        if any(v is not None and v < 0 for v in [*self.p_d_q_order, *self.P_D_Q_order]):
+            raise ValueError("order terms must be >= 0")
+        if self.sliding_window is not None and not 0.0 < self.sliding_window <= 1.0:
+            raise ValueError("sliding_window must be above 0 and at most 1")
+        if self.predict is not None and self.predict < 0:
+            raise ValueError("predict must be >= 0")
+        if self.model not in MODEL_KINDS:
+            raise ValueError(f"unknown model {self.model!r}")
+        return self
+
+
+def load_dataset(spark: SparkSession, cfg: PipelineConfig) -> PanelDataset:
+    endog = import_endogenous(spark, cfg.endog_path, cfg.endog_var, cfg.endog_format, cfg.as_of_year)
+    exog = None if cfg.exog_path is None else import_exogenous(spark, cfg.exog_path, cfg.exog_format)
+    return align(endog.drop("period"), exog, endog_frequency(cfg.endog_format))
+
+
+def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+    """Lazy result tables by name; write them with ``sources.sinks.write_outputs``."""
+    cfg.check()
+    return run_on_dataset(load_dataset(spark, cfg), cfg)
+
+
+def run_on_dataset(ds: PanelDataset, cfg: PipelineConfig, on_invalid: str = "raise") -> dict[str, DataFrame]:
+    """The chain after alignment, for data that is already in Spark."""
+    cfg.check()
+    if cfg.exog_vars is not None:
+        ds = ds.downsample(cfg.exog_vars)
+    out: dict[str, DataFrame] = {}
+    if cfg.pca is not None and ds.exog_vars:
+        out["pca"] = ds.pca_loadings(cfg.pca)
+        ds = ds.PCA(cfg.pca)
+    out["data"] = ds.with_labels()
+    if not (cfg.fit or cfg.predict is not None or cfg.sliding_window is not None):
+        return out
+    model = make_model(cfg.model, cfg.p_d_q_order, cfg.P_D_Q_order, ds, on_invalid)
+    if cfg.fit:
+        fitted = model.fit(ds)
+        out["fit"] = fitted.coefficients
+        out["information"] = fitted.information
+        out["diagnostics"] = fitted.diagnostics
+    if cfg.predict is not None:
+        out["predict"] = model.predict(cfg.predict, ds)
+    if cfg.sliding_window is not None:
+        out["sliding_window"] = model.sliding_window_forecast(ds, cfg.sliding_window)
+    return out
