@@ -21,7 +21,7 @@ from periodica.plans.models import (
     SARIMARegression,
     make_model,
 )
-from periodica.plans.pipeline import PipelineConfig, run_pipeline
+from periodica.plans.run import RunConfig, run_all
 
 __all__ = [
     "AutoARIMARegression",
@@ -32,9 +32,9 @@ __all__ = [
     "InvariantError",
     "OverspecifiedError",
     "PanelDataset",
-    "PipelineConfig",
+    "RunConfig",
     "SARIMARegression",
     "align",
     "make_model",
-    "run_pipeline",
+    "run_all",
 ]

@@ -14,9 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAX_ITER = 60
+MAX_ITER = 50
 MAX_MODULUS = 0.999
-STEPS = (1.0, 0.5, 0.25, 0.125, 0.03125, 0.0078125)
+RIDGE = 1e-11
+#: Relative gain in squared error at which a back-test refit stops.
+SEARCH_TOL = 1e-6
+SEARCH_ITER = 20
+STEPS = (1.0, 0.5, 0.25, 0.0625, 0.015625)
 
 
 @dataclass(frozen=True)
@@ -98,29 +102,52 @@ def _lagged(poly: np.ndarray, s: np.ndarray, start: int, shift: int = 0) -> np.n
     return out
 
 
-def _invert_ma(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Solve b(B) out = a along axis 1 with zero values before the block."""
+def _impulse(b: np.ndarray, rows: int) -> np.ndarray | None:
+    """Transform of the first ``rows`` terms of 1 / b(B); None when b is 1."""
     lags = [k for k in range(1, b.shape[1]) if np.any(b[:, k])]
     if not lags:
-        return a
-    out = a.copy()
-    w = b.reshape(b.shape + (1,) * (a.ndim - 2))
-    for t in range(lags[0], a.shape[1]):
+        return None
+    h = np.zeros((rows, len(b)))
+    h[0] = 1.0
+    weights = np.ascontiguousarray(b.T)
+    for t in range(lags[0], rows):
         for k in lags:
             if k > t:
                 break
-            out[:, t] -= w[:, k] * out[:, t - k]
-    return out
+            h[t] -= weights[k] * h[t - k]
+    return np.fft.rfft(h.T, _fft_size(rows), axis=1)
+
+
+def _fft_size(rows: int) -> int:
+    return 1 << (2 * rows - 1).bit_length()
+
+
+def _invert_ma(f: np.ndarray | None, a: np.ndarray) -> np.ndarray:
+    """b(B)^-1 a along axis 1 with zero values before the block."""
+    if f is None:
+        return a
+    rows = a.shape[1]
+    f = f.reshape(f.shape + (1,) * (a.ndim - 2))
+    return np.fft.irfft(f * np.fft.rfft(a, _fft_size(rows), axis=1), _fft_size(rows), axis=1)[:, :rows]
 
 
 def _solve(j: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Least squares of r on j, batched, minimum norm on scaled columns."""
-    scale = np.sqrt((j * j).sum(axis=1))
+    """Least squares of r on j, batched, on scaled columns.
+
+    A tiny ridge keeps rank-deficient blocks solvable (their solution is the
+    minimum-norm one); two refinements take its effect out of the others.
+    """
+    scale = np.sqrt(np.einsum("brk,brk->bk", j, j))
     scale[scale == 0] = 1.0
     js = j / scale[:, None, :]
-    g = np.einsum("brk,brl->bkl", js, js)
-    rhs = np.einsum("brk,br->bk", js, r)
-    return np.einsum("bkl,bl->bk", np.linalg.pinv(g, rcond=1e-11, hermitian=True), rhs) / scale
+    jt = np.swapaxes(js, 1, 2)
+    g = jt @ js
+    rhs = (jt @ r[:, :, None])[:, :, 0]
+    inv = np.linalg.inv(g + RIDGE * np.eye(j.shape[2]))
+    x = np.einsum("bkl,bl->bk", inv, rhs)
+    for _ in range(2):
+        x += np.einsum("bkl,bl->bk", inv, rhs - np.einsum("bkl,bl->bk", g, x))
+    return x / scale
 
 
 def _pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +156,19 @@ def _pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]
     hit = np.zeros(len(coef), dtype=bool)
     if not k:
         return coef, hit
-    companion = np.zeros((len(coef), k, k))
-    companion[:, 0, :] = sign * coef
+    # coefficients that sum to less than one in absolute value are inside already
+    open_rows = np.flatnonzero(np.abs(coef).sum(axis=1) >= 1.0)
+    if not len(open_rows):
+        return coef, hit
+    companion = np.zeros((len(open_rows), k, k))
+    companion[:, 0, :] = sign * coef[open_rows]
     for i in range(1, k):
         companion[:, i, i - 1] = 1.0
     mod = np.abs(np.linalg.eigvals(companion)).max(axis=1)
-    hit = mod >= 1.0
-    rho = np.where(hit, MAX_MODULUS / np.where(hit, mod, 1.0), 1.0)
+    outside = mod >= 1.0
+    hit[open_rows] = outside
+    rho = np.ones(len(coef))
+    rho[open_rows[outside]] = MAX_MODULUS / mod[outside]
     return coef * rho[:, None] ** np.arange(1, k + 1), hit
 
 
@@ -195,28 +228,30 @@ class _Block:
         cols = np.concatenate([det[:, first:], lags(self.z, ar, first), lags(e, ma, first)], axis=2)
         return self.project(_solve(cols, self.z[:, first:])[:, det.shape[2] :])[0]
 
-    def linear_columns(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def linear_columns(self, a: np.ndarray) -> np.ndarray:
         cols = np.empty((len(self.z), self.z.shape[1] - self.start, self.g.shape[1] + self.k))
         cols[:, :, : self.g.shape[1]] = -self.g
         for j in range(self.k):
             cols[:, :, self.g.shape[1] + j] = -_lagged(a, self.zx[:, :, j], self.start)
-        return _invert_ma(b, cols)
+        return cols
 
     def evaluate(self, nl: np.ndarray):
         """Residuals with the trend and exogenous part solved exactly for given lag terms."""
         pa, psa, pb, psb = self.polys(nl)
         a, b = _mul(pa, psa), _mul(pb, psb)
-        jl = self.linear_columns(a, b)
-        e0 = _invert_ma(b, _lagged(a, self.z, self.start))
+        both = np.concatenate([_lagged(a, self.z, self.start)[:, :, None], self.linear_columns(a)], axis=2)
+        both = _invert_ma(_impulse(b, both.shape[1]), both)
+        e0, jl = both[:, :, 0], both[:, :, 1:]
         lin = -_solve(jl, e0)
-        return lin, e0 + np.einsum("brk,bk->br", jl, lin), jl
+        return lin, e0 + (jl @ lin[:, :, None])[:, :, 0], jl
 
     def jacobian(self, nl: np.ndarray, lin: np.ndarray, e: np.ndarray, jl: np.ndarray) -> np.ndarray:
         o = self.order
         pa, psa, pb, psb = self.polys(nl)
         b = _mul(pb, psb)
-        beta = lin[:, self.g.shape[1] :]
-        u = self.z - np.einsum("bnk,bk->bn", self.zx, beta)
+        u = self.z
+        if self.k:
+            u = u - (self.zx @ lin[:, self.g.shape[1] :, None])[:, :, 0]
         cols = [-_lagged(psa, u, self.start, i) for i in range(1, o.p + 1)]
         cols += [-_lagged(pa, u, self.start, i * o.m) for i in range(1, o.sp + 1)]
         before = o.q + o.m * o.sq
@@ -225,10 +260,11 @@ class _Block:
         cols += [-_lagged(pb, ep, before, i * o.m) for i in range(1, o.sq + 1)]
         if not cols:
             return jl
-        return np.concatenate([jl, _invert_ma(b, np.stack(cols, axis=2))], axis=2)
+        stacked = _invert_ma(_impulse(b, e.shape[1]), np.stack(cols, axis=2))
+        return np.concatenate([jl, stacked], axis=2)
 
 
-def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True) -> Fit | None:
+def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True, tol: float = 1e-10, max_iter: int = MAX_ITER) -> Fit | None:
     """Fit ``y (B, n)`` on ``x (B, n, k)``; None when differencing leaves no row."""
     if y.shape[1] <= order.lost:
         return None
@@ -249,10 +285,15 @@ def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True) -> Fit
         sse = (e * e).sum(axis=1)
     if nl.shape[1]:
         live = np.arange(size)
-        for _ in range(MAX_ITER):
+        for _ in range(max_iter):
             sub = _take(blk, live)
             j = sub.jacobian(nl[live], lin[live], e[live], jl[live])
-            step = -_solve(j, e[live])[:, lin.shape[1] :]
+            full = -_solve(j, e[live])
+            gain = ((j @ full[:, :, None])[:, :, 0] ** 2).sum(axis=1)
+            worth = gain > tol * sse[live]
+            live, step = live[worth], full[worth][:, lin.shape[1] :]
+            if not len(live):
+                break
             open_rows = np.arange(len(live))
             moved = np.zeros(len(live), dtype=bool)
             for s in STEPS:
@@ -262,7 +303,7 @@ def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True) -> Fit
                 csse = (ce * ce).sum(axis=1)
                 good = csse < sse[rows] * (1 - 1e-12)
                 won = rows[good]
-                moved[open_rows[good]] = csse[good] < sse[won] * (1 - 1e-10)
+                moved[open_rows[good]] = csse[good] < sse[won] * (1 - tol)
                 nl[won], lin[won], e[won], jl[won] = cand[good], clin[good], ce[good], cjl[good]
                 sse[won], adjusted[won] = csse[good], hit[good]
                 open_rows = open_rows[~good]
@@ -281,7 +322,8 @@ def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True) -> Fit
     if robust:
         raw = _Block(y, x, order)
         a, b = _mul(pa, psa), _mul(*raw.polys(nl)[2:])
-        j = raw.jacobian(nl, lin, e, raw.linear_columns(a, b))
+        jl = _invert_ma(_impulse(b, e.shape[1]), raw.linear_columns(a))
+        j = raw.jacobian(nl, lin, e, jl)
         se = sandwich(j, e)
     return Fit(est, se, e, sse, adjusted, blk.first)
 
@@ -347,7 +389,7 @@ def rolling_forecast(y: np.ndarray, x: np.ndarray, window: int, order: Order, bu
     out = np.full(size * count, np.nan)
     for lo in range(0, len(blocks), chunk):
         part = slice(lo, lo + chunk)
-        f = fit(blocks[part], xb[part], order, robust=False)
+        f = fit(blocks[part], xb[part], order, robust=False, tol=SEARCH_TOL, max_iter=SEARCH_ITER)
         if f is not None:
             out[part] = forecast(blocks[part], xb[part], nx[part], f, order, 1)[:, 0]
     return out.reshape(size, count)

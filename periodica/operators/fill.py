@@ -59,28 +59,27 @@ def backfill_forward_fill(
     df: DataFrame,
     keys: Sequence[str] = ("var",),
     ts: str = "ts",
-    row_no: str = "row_no",
+    tie: Sequence[str] = ("row_no",),
     value: str = "value",
     resolution: str = "date",
 ) -> DataFrame:
     """Null values take the next later value, else the last earlier one.
 
-    Ties on ``ts`` are ordered by ``row_no``. ``resolution='date'`` needs
-    date-only timestamps and uses one chunk level (day, row block);
+    Ties on ``ts`` are ordered by the ``tie`` columns, whose first one is a whole
+    number (a row number, say) and also cuts the row blocks. ``resolution='date'``
+    needs date-only timestamps and uses one chunk level (day, row block);
     ``'timestamp'`` nests day, second and instant.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(tie)
     cut = (
         df.withColumn("_day", F.unix_date(F.col(ts).cast("date")))
-        .withColumn("_blk", F.shiftright(F.col(row_no).cast("bigint"), BLOCK_BITS))
+        .withColumn("_blk", F.shiftright(F.col(order[0]).cast("bigint"), BLOCK_BITS))
     )
     if resolution == "date":
         levels = [["_day", "_blk"]]
-        order = [row_no]
     elif resolution == "timestamp":
         cut = cut.withColumn("_sec", F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).withColumn("_at", F.col(ts))
         levels = [["_day"], ["_day", "_sec"], ["_day", "_sec", "_at", "_blk"]]
-        order = [row_no]
     else:
         raise ValueError(f"unknown resolution {resolution!r}")
     out = _with_neighbours(cut, keys, levels, order, value, value)

@@ -27,11 +27,13 @@ def series_units(ds: PanelDataset, orders: DataFrame, many: bool) -> DataFrame:
     arrays = dataset_arrays(ds.df)
     if not many:
         return with_orders(arrays, orders)
-    spark = ds.df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(ds.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, parts // ORDER_BLOCKS)
     packed = orders.agg(F.sort_array(F.collect_list(F.struct("order_id", *ORDER_COLS)))).scalar()
     blocks = F.sequence(F.lit(0), F.lit(ORDER_BLOCKS - 1))
-    spread = arrays.withColumn("_b", F.explode(blocks)).repartition(parts, "series_id", "_b")
+    # one partition per (group of series, block of orders): units of one order meet in one batch
+    target = F.pmod(F.hash("series_id"), F.lit(groups)) * ORDER_BLOCKS + F.col("_b")
+    spread = arrays.withColumn("_b", F.explode(blocks)).repartitionById(groups * ORDER_BLOCKS, target)
     mine = F.filter("_all", lambda o: o["order_id"] % ORDER_BLOCKS == F.col("_b"))
     keep = arrays.columns
     return spread.withColumn("_all", packed).select(*keep, F.explode(mine).alias("_o")).select(*keep, "_o.*")

@@ -13,7 +13,7 @@ from periodica.sources.layouts import endog_frequency, import_endogenous, import
 
 
 @dataclass(frozen=True)
-class PipelineConfig:
+class RunConfig:
     """Options of one run; ``None`` means "not asked for", zero is a value."""
 
     endog_path: str
@@ -31,7 +31,7 @@ class PipelineConfig:
     predict: int | None = None
     sliding_window: float | None = None
 
-    def check(self) -> "PipelineConfig":
+    def check(self) -> "RunConfig":
         if (self.exog_path is None) != (self.exog_format is None):
             raise ValueError("exog_path and exog_format must be given together")
         if self.pca is not None and not 0.0 <= self.pca <= 1.0:
@@ -47,19 +47,19 @@ class PipelineConfig:
         return self
 
 
-def load_dataset(spark: SparkSession, cfg: PipelineConfig) -> PanelDataset:
+def load_dataset(spark: SparkSession, cfg: RunConfig) -> PanelDataset:
     endog = import_endogenous(spark, cfg.endog_path, cfg.endog_var, cfg.endog_format, cfg.as_of_year)
     exog = None if cfg.exog_path is None else import_exogenous(spark, cfg.exog_path, cfg.exog_format)
     return align(endog.drop("period"), exog, endog_frequency(cfg.endog_format))
 
 
-def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
+def run_all(spark: SparkSession, cfg: RunConfig) -> dict[str, DataFrame]:
     """Lazy result tables by name; write them with ``sources.sinks.write_outputs``."""
     cfg.check()
     return run_on_dataset(load_dataset(spark, cfg), cfg)
 
 
-def run_on_dataset(ds: PanelDataset, cfg: PipelineConfig, on_invalid: str = "raise") -> dict[str, DataFrame]:
+def run_on_dataset(ds: PanelDataset, cfg: RunConfig, on_invalid: str = "raise") -> dict[str, DataFrame]:
     """The chain after alignment, for data that is already in Spark."""
     cfg.check()
     if cfg.exog_vars is not None:
