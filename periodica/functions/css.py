@@ -150,7 +150,7 @@ def _solve(j: np.ndarray, r: np.ndarray) -> np.ndarray:
     return x / scale
 
 
-def _pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
+def pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
     """Scale coefficients whose largest inverse root is not inside the unit circle."""
     k = coef.shape[1]
     hit = np.zeros(len(coef), dtype=bool)
@@ -201,7 +201,7 @@ class _Block:
 
     def project(self, nl: np.ndarray):
         phi, sphi, theta, stheta = self.split(nl)
-        parts, hits = zip(*[_pull_inside(c, s) for c, s in ((phi, 1.0), (sphi, 1.0), (theta, -1.0), (stheta, -1.0))])
+        parts, hits = zip(*[pull_inside(c, s) for c, s in ((phi, 1.0), (sphi, 1.0), (theta, -1.0), (stheta, -1.0))])
         return np.concatenate(parts, axis=1), np.any(hits, axis=0)
 
     def start_values(self) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from periodica.errors import FrequencyError, IntersectionError
 from periodica.functions.periods import CALENDAR_PERIODS, check_frequency, period_index, period_label
 from periodica.operators.quality import dataset_rules, raise_on_violations
-from periodica.session import bounded_side
+from periodica.session import bounded_side, materialize as written
 
 
 def resample_mean(long: DataFrame, keys: Sequence[str], ts: str, value: str, freq: str, out: str = "value") -> DataFrame:
@@ -70,7 +70,7 @@ def overlap_bounds(endog: DataFrame, exog_x: DataFrame | None) -> DataFrame:
     return spans.select("series_id", lo.alias("start_idx"), hi.alias("current_idx"), last.alias("last_idx"))
 
 
-def aligned_rows(endog: DataFrame, exog_x: DataFrame | None, freq: str) -> DataFrame:
+def aligned_rows(endog: DataFrame, exog_x: DataFrame | None, freq: str, n_vars: int = 16) -> DataFrame:
     """Rows ``(series_id, period_idx, is_future, y, x)`` from the start of the overlap on.
 
     Realized rows need no per-series bounds: inside one series they are exactly the
@@ -94,7 +94,7 @@ def aligned_rows(endog: DataFrame, exog_x: DataFrame | None, freq: str) -> DataF
         F.lit(True).alias("is_future"),
         F.lit(None).cast("double").alias("y"),
     )
-    side = bounded_side(exog_x, CALENDAR_PERIODS[check_frequency(freq)], 256)
+    side = bounded_side(exog_x, CALENDAR_PERIODS[check_frequency(freq)], 64 + 8 * n_vars)
     return realized.unionByName(future).join(side, "period_idx", "left").select(
         "series_id", "period_idx", "is_future", "y", "x"
     )
@@ -121,25 +121,36 @@ def align(
     freq: str,
     exog_vars: Sequence[str] | None = None,
     on_invalid: str = "raise",
+    materialize: bool = True,
 ) -> "PanelDataset":
     """Build a dataset from series rows and long dated variables.
 
     ``endog`` is ``(series_id, period_idx, y)``, ``exog`` is ``(var, ts, value)``.
     ``on_invalid`` is ``'raise'`` (check now), ``'quarantine'`` (drop offending
-    series lazily) or ``'keep'`` (no check).
+    series lazily) or ``'keep'`` (no check). ``materialize`` writes both inputs,
+    already reduced to periods, to the shared folder, since every later step
+    reads them again.
     """
     check_frequency(freq)
     names = [] if exog is None else list(exog_vars if exog_vars is not None else exog_vars_of(exog))
     exog_x = exog_by_period(exog, names, freq) if exog is not None else None
-    return align_by_period(endog, exog_x, freq, names, on_invalid)
+    return align_by_period(endog, exog_x, freq, names, on_invalid, materialize)
 
 
 def align_by_period(
-    endog: DataFrame, exog_x: DataFrame | None, freq: str, exog_vars: Sequence[str], on_invalid: str = "raise"
+    endog: DataFrame,
+    exog_x: DataFrame | None,
+    freq: str,
+    exog_vars: Sequence[str],
+    on_invalid: str = "raise",
+    materialize: bool = True,
 ) -> "PanelDataset":
     """:func:`align` for variables that already are one ``(period_idx, x)`` row per period."""
-    rows = aligned_rows(endog, exog_x, freq)
     names = list(exog_vars)
+    if materialize:
+        endog = written(endog.select("series_id", "period_idx", "y"))
+        exog_x = written(exog_x) if exog_x is not None else None
+    rows = aligned_rows(endog, exog_x, freq, len(names))
     if on_invalid == "raise":
         # every endogenous series must survive, even one that leaves no row at all
         met = endog.select("series_id").distinct().join(
@@ -237,6 +248,10 @@ class PanelDataset:
         x = F.array(*kept).cast("array<double>")
         return replace(self, df=self.df.withColumn("x", x), exog_vars=tuple(exog_vars))
 
+    def materialize(self) -> "PanelDataset":
+        """The same dataset, written once to the shared folder."""
+        return replace(self, df=written(self.df))
+
     def rules(self) -> DataFrame:
         return dataset_rules(self.df, None if self.ragged else len(self.exog_vars))
 

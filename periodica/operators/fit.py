@@ -13,7 +13,9 @@ from periodica.functions.tails import f_two_sided, normal_two_sided
 from periodica.operators.align import PanelDataset
 from periodica.operators.moments import is_linear, linear_estimates, linear_fit, linear_residuals
 from periodica.operators.orders import ORDER_COLS, TREND_TERMS
+from periodica.operators.panel import dataset_arrays
 from periodica.operators.units import fit_udf, unit_columns
+from periodica.session import materialize
 
 #: two-sided 95 % normal quantile (fixed value)
 Z95 = 1.959963984540054
@@ -50,8 +52,6 @@ def require_specified(ds: PanelDataset, needed: int, on_invalid: str, window: Co
 
 
 def one_order_units(ds: PanelDataset, order: Order) -> DataFrame:
-    from periodica.operators.panel import dataset_arrays
-
     cols = [F.lit(getattr(order, c)).cast("int").alias(c) for c in ORDER_COLS]
     return dataset_arrays(ds.df).select("*", F.lit(0).cast("bigint").alias("order_id"), *cols)
 
@@ -161,7 +161,7 @@ def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise") -> FitT
         names = F.array(*[F.lit(v) for v in order.names(list(ds.exog_vars))])
         residuals = linear_residuals(ds, order, fits).select("series_id", "period_idx", "resid")
     else:
-        est = fit_units(one_order_units(ds, order), order.trend)
+        est = materialize(fit_units(one_order_units(ds, order), order.trend))
         names = unit_names(ds.exog_vars, order.trend)
         residuals = unit_residuals(est, ["series_id"])
     return tables(est, names, residuals, ["series_id"])

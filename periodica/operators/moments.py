@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from periodica.functions.css import Order
+from periodica.functions.css import Order, pull_inside
 from periodica.operators.align import PanelDataset
 
 #: Beyond this many design columns the products no longer fit one aggregation.
@@ -108,8 +108,6 @@ def scaled_pinv(g: np.ndarray, rcond: float) -> np.ndarray:
 def gram_solver(order: Order, n_exog: int):
     """Coefficients and residual sum of squares from packed products."""
     k, terms = width(order, n_exog), order.p + order.sp
-    from periodica.functions.css import _pull_inside
-
     @F.pandas_udf("coef array<double>, adjusted boolean")
     def solve(packed: pd.Series) -> pd.DataFrame:
         g = unpack(np.stack(packed.to_numpy()).astype(float), k + 1)
@@ -117,7 +115,7 @@ def gram_solver(order: Order, n_exog: int):
         coef = np.einsum("bij,bj->bi", scaled_pinv(a, 1e-11), b)
         hit = np.zeros(len(coef), dtype=bool)
         if terms:
-            inside, hit = _pull_inside(coef[:, k - terms :], 1.0)
+            inside, hit = pull_inside(coef[:, k - terms :], 1.0)
             if hit.any():  # lag terms fixed at the pulled value, the rest solved again
                 f = k - terms
                 rest = b[hit, :f] - np.einsum("bij,bj->bi", a[hit][:, :f, f:], inside[hit])

@@ -22,7 +22,7 @@ from periodica.operators.orders import (
     total_order,
 )
 from periodica.operators.panel import dataset_arrays, series_arrays
-from periodica.operators.stats import _diff, ndiffs_of_arrays
+from periodica.operators.stats import array_difference, ndiffs_of_arrays
 from periodica.operators.units import information_udf, rolling_udf, series_units, unit_columns
 
 TRAINING_SHARE = 0.8
@@ -154,7 +154,7 @@ def auto_differencing(ds: PanelDataset, m: int, d: int | None, D: int | None) ->
         return arr.select("series_id", F.lit(d).cast("int").alias("d"), "sd")
     base = F.col("y")
     for k in range(max(D or 0, MAX_SEASONAL_D)):
-        base = F.when(F.col("sd") > k, _diff(base, m)).otherwise(base)
+        base = F.when(F.col("sd") > k, array_difference(base, m)).otherwise(base)
     return ndiffs_of_arrays(arr.select("series_id", "sd", base.alias("y"))).select(
         "series_id", F.col("ndiffs").cast("int").alias("d"), "sd"
     )

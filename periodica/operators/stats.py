@@ -37,7 +37,7 @@ def difference(endog: DataFrame, d: int = 0, D: int = 0, m: int = 1) -> DataFram
     return out.filter(F.col("z").isNotNull())
 
 
-def _diff(y: Column, step: int = 1) -> Column:
+def array_difference(y: Column, step: int = 1) -> Column:
     n = F.greatest(F.size(y) - step, F.lit(0))
     return F.zip_with(F.slice(y, 1 + step, n), F.slice(y, F.lit(1), n), lambda a, b: a - b)
 
@@ -48,7 +48,7 @@ def _sum(a: Column) -> Column:
 
 def kpss_columns(df: DataFrame, y: str = "y", out: str = "kpss") -> DataFrame:
     """Add the level-stationarity statistic of an array column."""
-    n = F.size(y)
+    n = F.greatest(F.size(y), F.lit(1))
     lags = F.floor(F.lit(3.0) * F.sqrt(n) / 13).cast("int")
     staged = df.withColumn("_e", _demean(y))
     fold = F.aggregate(
@@ -75,7 +75,7 @@ def kpss_columns(df: DataFrame, y: str = "y", out: str = "kpss") -> DataFrame:
 
 
 def _demean(y: str) -> Column:
-    mean = _sum(F.col(y)) / F.size(y)
+    mean = _sum(F.col(y)) / F.greatest(F.size(y), F.lit(1))
     return F.transform(y, lambda v: v - mean)
 
 
@@ -114,7 +114,7 @@ def _constant(y: str) -> Column:
 def ndiffs_of_arrays(arrays: DataFrame) -> DataFrame:
     """Add ``ndiffs`` (KPSS test) to rows with an array column ``y``."""
     df = arrays.withColumn("y0", F.col("y"))
-    df = df.withColumn("y1", _diff(F.col("y0"))).withColumn("y2", _diff(F.col("y1")))
+    df = df.withColumn("y1", array_difference(F.col("y0"))).withColumn("y2", array_difference(F.col("y1")))
     for d in range(MAX_D):
         df = kpss_columns(df, f"y{d}", f"k{d}")
     more = [interpolate(F.col(f"k{d}"), KPSS_STAT, KPSS_P) < ALPHA for d in range(MAX_D)]
@@ -166,7 +166,7 @@ def adf_ndiffs(endog: DataFrame) -> DataFrame:
     the undifferenced series.
     """
     df = series_arrays(endog).withColumnRenamed("y", "y0")
-    df = df.withColumn("y1", _diff(F.col("y0"))).withColumn("y2", _diff(F.col("y1")))
+    df = df.withColumn("y1", array_difference(F.col("y0"))).withColumn("y2", array_difference(F.col("y1")))
     df = df.withColumn("t0", adf_columns("y0")).withColumn("t1", adf_columns("y1"))
     p = [F.col(f"t{d}.p") for d in range(MAX_D)]
     known = [c.isNotNull() & ~F.isnan(c) for c in p]

@@ -18,8 +18,10 @@ from periodica.operators.align import PanelDataset
 from periodica.operators.orders import ORDER_COLS, with_orders
 from periodica.operators.panel import dataset_arrays
 
-#: A series travels in this many copies, each with its share of the orders.
-ORDER_BLOCKS = 16
+#: A series travels in at most this many copies, each with its share of the orders.
+MAX_ORDER_BLOCKS = 16
+#: Values of one stacked solve (rows times design columns).
+STACK_BUDGET = 4_000_000
 
 
 def series_units(ds: PanelDataset, orders: DataFrame, many: bool) -> DataFrame:
@@ -28,23 +30,29 @@ def series_units(ds: PanelDataset, orders: DataFrame, many: bool) -> DataFrame:
     if not many:
         return with_orders(arrays, orders)
     parts = int(ds.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, parts // ORDER_BLOCKS)
+    n_series = max(1, ds.df.select("series_id").distinct().count())
+    # a large panel fills the cluster by itself; only a small one has its orders spread
+    n_blocks = min(MAX_ORDER_BLOCKS, max(1, -(-2 * parts // n_series)))
+    groups = max(1, parts // n_blocks)
     packed = orders.agg(F.sort_array(F.collect_list(F.struct("order_id", *ORDER_COLS)))).scalar()
-    blocks = F.sequence(F.lit(0), F.lit(ORDER_BLOCKS - 1))
+    blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     # one partition per (group of series, block of orders): units of one order meet in one batch
-    target = F.pmod(F.hash("series_id"), F.lit(groups)) * ORDER_BLOCKS + F.col("_b")
-    spread = arrays.withColumn("_b", F.explode(blocks)).repartitionById(groups * ORDER_BLOCKS, target)
-    mine = F.filter("_all", lambda o: o["order_id"] % ORDER_BLOCKS == F.col("_b"))
+    target = F.pmod(F.hash("series_id"), F.lit(groups)) * n_blocks + F.col("_b")
+    spread = arrays.withColumn("_b", F.explode(blocks)).repartitionById(groups * n_blocks, target)
+    mine = F.filter("_all", lambda o: o["order_id"] % n_blocks == F.col("_b"))
     keep = arrays.columns
     return spread.withColumn("_all", packed).select(*keep, F.explode(mine).alias("_o")).select(*keep, "_o.*")
 
 
 def _shapes(pdf: pd.DataFrame, extra: list[str]):
-    """Row groups of one batch that share order and array shape."""
+    """Row groups of one batch that share order and array shape, cut to a fixed memory budget."""
     keys = [*ORDER_COLS, "n", "nx", *extra]
     for key, rows in pdf.groupby(keys, sort=False).indices.items():
         named = dict(zip(keys, key))
-        yield named, rows
+        width = named["nx"] + named["p"] + named["q"] + named["sp"] + named["sq"] + 3
+        step = max(1, int(STACK_BUDGET // (named["n"] * width)))
+        for lo in range(0, len(rows), step):
+            yield named, rows[lo : lo + step]
 
 
 def _stack(pdf: pd.DataFrame, rows: np.ndarray, n: int, nx: int):

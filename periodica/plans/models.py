@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.functions.css import Order
 from periodica.operators import search
@@ -29,6 +30,7 @@ from periodica.operators.orders import (
     overspecified,
     repeated_lags,
 )
+from periodica.session import materialize
 
 MODEL_KINDS = ("SARIMARegression", "AutoARIMARegression", "BruteForceARIMARegression")
 
@@ -91,7 +93,7 @@ class _ChosenOrders:
         return units.filter(~overspecified(rows, F.col("nx"))) if self.counts_terms else units
 
     def fit(self, ds: PanelDataset) -> FitTables:
-        est = fit_units(self._specified(self._units(ds), "n"), self.trend)
+        est = materialize(fit_units(self._specified(self._units(ds), "n"), self.trend))
         return tables(est, unit_names(ds.exog_vars, self.trend), unit_residuals(est, ["series_id"]), ["series_id"])
 
     def predict(self, n: int, ds: PanelDataset) -> DataFrame:
@@ -121,11 +123,7 @@ class _ChosenOrders:
         return unit_rolling(self._specified(units, "w"), self.trend).drop("order_id")
 
 
-def _first_window(ds: PanelDataset, window) -> PanelDataset:
-    from dataclasses import replace
-
-    from pyspark.sql import Window
-
+def _first_window(ds: PanelDataset, window: Column) -> PanelDataset:
     whole = Window.partitionBy("series_id")
     marked = ds.realized.withColumn("n", F.count("*").over(whole)).withColumn(
         "_t", F.col("period_idx") - F.min("period_idx").over(whole)
@@ -151,7 +149,8 @@ class AutoARIMARegression(_ChosenOrders):
         self.on_invalid = on_invalid
 
     def orders(self, ds: PanelDataset) -> DataFrame:
-        return search.auto_search(ds, self.P_D_Q_order[3], self.p_d_q_order[1], self.P_D_Q_order[1], self.trend)
+        d, sd, m = self.p_d_q_order[1], self.P_D_Q_order[1], self.P_D_Q_order[3]
+        return materialize(search.auto_search(ds, m, d, sd, self.trend))
 
 
 class BruteForceARIMARegression(_ChosenOrders):
@@ -159,7 +158,11 @@ class BruteForceARIMARegression(_ChosenOrders):
 
     def __init__(self, ds: PanelDataset, order_arg_ranges: Sequence[range], on_invalid: str = "raise"):
         self.on_invalid = on_invalid
-        self._best = search.brute_search(ds, order_arg_ranges, self.trend, on_invalid)
+        self._best = materialize(search.brute_search(ds, order_arg_ranges, self.trend, on_invalid))
+        if on_invalid == "raise":
+            lost = ds.realized.select("series_id").distinct().join(self._best, "series_id", "left_anti")
+            if lost.limit(1).count():
+                raise ValueError("no order of the grid is valid for every series")
 
     def orders(self, ds: PanelDataset | None = None) -> DataFrame:
         return self._best

@@ -1,12 +1,17 @@
-"""Session defaults and the size guard for broadcasts."""
+"""Session defaults, shared intermediate tables and the size guard for broadcasts."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Largest side, in bytes, that is ever sent whole to every executor.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+_local_folder: str | None = None
+
 
 def local_session(app: str = "periodica", cpus: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -37,3 +42,29 @@ def bounded_side(df: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
     an ordinary shuffled join.
     """
     return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a local one only in local mode."""
+    global _local_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="periodica-")
+    return _local_folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Meant for small results of large scans that several later steps read: the raw
+    data is scanned once, a lost executor costs no recomputation, and the planner
+    knows the true size of the table when it chooses a join.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/periodica-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

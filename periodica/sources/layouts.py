@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import PySparkException
@@ -40,21 +41,26 @@ def _strict_double(raw: Column, strict: bool) -> Column:
 
 
 def read_statement(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Statement CSV as strings; quoted labels may hold newlines, labels are not trimmed."""
-    return (
+    """Statement CSV as strings; quoted labels may hold newlines, labels are not trimmed.
+
+    Several files must share one header. Spark checks that itself unless a header
+    cell is empty, which it cannot compare.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", True)
-        .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(list(path) if not isinstance(path, str) else path)
     )
+    df = reader.csv(paths)
+    if any(re.fullmatch(r"_c\d+", c) for c in df.columns):
+        return df
+    return reader.option("enforceSchema", False).csv(paths)
 
 
 def quarter_columns(columns: Sequence[str]) -> list[str]:
     """Columns whose whole name is ``QX YY``; every other column is dropped."""
-    import re
-
     return [c for c in columns if re.fullmatch(r"Q[1-4]\s\d\d", c)]
 
 
