@@ -257,6 +257,29 @@ oracle(
 )
 
 
+# three correlations a, b, c: eigenvalues by the trigonometric formula, vectors by a cross product
+_PCA3 = f"""{aligned()},
+cr AS (SELECT series_id, corr(l_quantity, l_discount) AS a, corr(l_quantity, l_extendedprice) AS b,
+  corr(l_discount, l_extendedprice) AS c FROM rows WHERE NOT is_future GROUP BY 1),
+ev AS (SELECT *, k, 1 + 2 * sqrt((a*a + b*b + c*c) / 3)
+  * cos((acos(a * b * c / ((a*a + b*b + c*c) / 3) ** 1.5) + [0, 4, 2][k + 1] * pi()) / 3) AS ev FROM cr, generate_series(0, 2) g(k)),
+vc AS (SELECT series_id, k, ev / 3 AS ratio, a * c - b * (1 - ev) AS v1, a * b - (1 - ev) * c AS v2, (1 - ev) ** 2 - a * a AS v3 FROM ev),
+un AS (SELECT series_id, k, ratio, v1 / s AS v1, v2 / s AS v2, v3 / s AS v3 FROM (SELECT *, sqrt(v1*v1 + v2*v2 + v3*v3) AS s FROM vc)),
+kp AS (SELECT *, coalesce(sum(ratio) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 0.9 AS keep FROM un),
+z3 AS (SELECT series_id, {_z('l_quantity')} AS z1, {_z('l_discount')} AS z2, {_z('l_extendedprice')} AS z3 FROM rows WHERE NOT is_future),
+sn AS (SELECT k.series_id, k.k, sign(arg_max(v1*z1 + v2*z2 + v3*z3, abs(v1*z1 + v2*z2 + v3*z3))) AS sg
+  FROM kp k JOIN z3 USING (series_id) GROUP BY 1, 2),
+nm AS (SELECT series_id, k, sg * v1 AS v1, sg * v2 AS v2, sg * v3 AS v3, 'PCA' || k || '_correlated_w_' ||
+  CASE WHEN abs(v1) >= greatest(abs(v2), abs(v3)) THEN 'l_quantity' WHEN abs(v2) >= abs(v3) THEN 'l_discount' ELSE 'l_extendedprice' END AS nm
+  FROM kp JOIN sn USING (series_id, k) WHERE keep)"""
+oracle(
+    "pca_nvar",
+    f"""WITH {_PCA3} SELECT series_id, k::BIGINT AS component, nm AS component_name, 'l_quantity' AS var, round(v1, 6) AS loading FROM nm
+    UNION ALL SELECT series_id, k, nm, 'l_discount', round(v2, 6) FROM nm
+    UNION ALL SELECT series_id, k, nm, 'l_extendedprice', round(v3, 6) FROM nm""",
+)
+
+
 def _acf(src: str, limit: str) -> str:
     return f"""WITH {src}, e AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY period_idx) AS i,
     y - avg(y) OVER (PARTITION BY series_id) AS e, count(*) OVER (PARTITION BY series_id) AS n FROM endog),
@@ -296,6 +319,56 @@ oracle(
     SELECT k0.series_id, (CASE WHEN k0.const OR k0.kpss <= 0.463 THEN 0 WHEN k1.const OR k1.kpss <= 0.463 THEN 1 ELSE 2 END)::BIGINT AS ndiffs
     FROM k0 JOIN k1 USING (series_id)""",
 )
+def _orthogonal(src: str, cols: list[str], target: str, out: str) -> str:
+    """CTEs that take out of ``target`` and the later columns what each earlier column explains.
+
+    ``out`` then holds the last column and the target, both orthogonal to all the others.
+    """
+    steps, prev = [], src
+    for i, c in enumerate(cols[:-1]):
+        rest = cols[i + 1 :] + [target]
+        less = ", ".join(f"{r} - {c} * sum({r} * {c}) OVER s / nullif(sum({c} * {c}) OVER s, 0) AS {r}" for r in rest)
+        steps.append(f"{out}_{i} AS (SELECT series_id, {less} FROM {prev} WINDOW s AS (PARTITION BY series_id))")
+        prev = f"{out}_{i}"
+    steps.append(f"{out} AS (SELECT * FROM {prev})")
+    return ", ".join(steps)
+
+
+# Dickey-Fuller rows with four lagged differences, the number that 66 to 126 periods ask for
+_DF_LAGS = 4
+_DF_COLS = ["one", "tt"] + [f"d{i}" for i in range(1, _DF_LAGS + 1)] + ["lv"]
+
+
+def _adf(src: str, out: str) -> str:
+    w = "OVER (PARTITION BY series_id ORDER BY i)"
+    lags = ", ".join(f"lag(dy, {j}) {w} AS d{j}" for j in range(1, _DF_LAGS + 1))
+    at = ", ".join(
+        f"s1 + (nd - n1) * (s2 - s1) / (n2 - n1) AS q{j}".replace("s1", str(a)).replace("s2", str(b))
+        for j, (a, b) in enumerate(zip(_DF_50, _DF_100))
+    )
+    p = " ".join(
+        f"WHEN st < q{j + 1} THEN {_DF_P[j]} + (st - q{j}) * ({_DF_P[j + 1]} - {_DF_P[j]}) / (q{j + 1} - q{j})" for j in range(7)
+    )
+    return f"""{out}_d AS (SELECT series_id, i, lag(y) {w} AS lv, y - lag(y) {w} AS dy, count(*) OVER (PARTITION BY series_id) AS n FROM {src}),
+    {out}_l AS (SELECT series_id, n, i::DOUBLE AS tt, 1.0::DOUBLE AS one, lv, dy, {lags} FROM {out}_d WHERE lv IS NOT NULL),
+    {out}_r AS (SELECT * FROM {out}_l WHERE d{_DF_LAGS} IS NOT NULL),
+    {_orthogonal(out + '_r', _DF_COLS, 'dy', out + '_o')},
+    {out}_c AS (SELECT series_id, count(*) AS r, sum(dy * lv) / sum(lv * lv) AS b, sum(lv * lv) AS ll, sum(dy * dy) AS zz FROM {out}_o GROUP BY 1),
+    {out}_s AS (SELECT series_id, b / sqrt((zz - b * b * ll) / (r - {len(_DF_COLS)}) / ll) AS st, r + {_DF_LAGS} AS nd, 50.0 AS n1, 100.0 AS n2 FROM {out}_c),
+    {out}_q AS (SELECT series_id, st, {at} FROM {out}_s),
+    {out} AS (SELECT series_id, st, CASE WHEN st <= q0 THEN 0.01 {p} ELSE 0.99 END AS p FROM {out}_q)"""
+
+
+# rows of the Dickey-Fuller table for 50 and 100 observations (fixed values)
+_DF_P = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
+_DF_50 = (-4.15, -3.80, -3.50, -3.18, -1.19, -0.87, -0.58, -0.24)
+_DF_100 = (-4.04, -3.73, -3.45, -3.15, -1.22, -0.90, -0.62, -0.28)
+oracle(
+    "adf_differencing",
+    f"""WITH {endog()}, {_I}, {_D1}, {_adf('y0', 'a0')}, {_adf('y1', 'a1')}
+    SELECT a0.series_id, round(a0.st, 4) AS adf_stat, round(a0.p, 4) AS p_value,
+    (CASE WHEN a0.p <= 0.05 THEN 0 WHEN a1.p <= 0.05 THEN 1 ELSE 2 END)::BIGINT AS ndiffs FROM a0 JOIN a1 USING (series_id)""",
+)
 _W = "OVER (PARTITION BY series_id ORDER BY period_idx)"
 oracle(
     "ordinary_difference",

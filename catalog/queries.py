@@ -315,7 +315,7 @@ def kpss_differencing(spark, sf):
 
 def adf_differencing(spark, sf):
     out = adf_ndiffs(order_series(spark, sf))
-    return out.select("series_id", _r("adf_stat").alias("adf_stat"), _r("p_value").alias("p_value"), "ndiffs")
+    return out.select("series_id", _r("adf_stat", 4).alias("adf_stat"), _r("p_value", 4).alias("p_value"), "ndiffs")
 
 
 def ordinary_difference(spark, sf):

@@ -17,7 +17,7 @@ import numpy as np
 MAX_ITER = 50
 MAX_MODULUS = 0.999
 RIDGE = 1e-11
-#: Relative gain in squared error at which a back-test refit stops.
+#: Relative gain in squared error at which a fit that only ranks orders or fills a back-test stops.
 SEARCH_TOL = 1e-6
 SEARCH_ITER = 20
 STEPS = (1.0, 0.5, 0.25, 0.0625, 0.015625)
@@ -151,13 +151,13 @@ def _solve(j: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
-    """Scale coefficients whose largest inverse root is not inside the unit circle."""
+    """Scale coefficients whose largest inverse root lies beyond the allowed modulus."""
     k = coef.shape[1]
     hit = np.zeros(len(coef), dtype=bool)
     if not k:
         return coef, hit
-    # coefficients that sum to less than one in absolute value are inside already
-    open_rows = np.flatnonzero(np.abs(coef).sum(axis=1) >= 1.0)
+    # coefficients whose absolute values sum to less than the limit are inside already
+    open_rows = np.flatnonzero(np.abs(coef).sum(axis=1) > MAX_MODULUS**k)
     if not len(open_rows):
         return coef, hit
     companion = np.zeros((len(open_rows), k, k))
@@ -165,7 +165,7 @@ def pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, k):
         companion[:, i, i - 1] = 1.0
     mod = np.abs(np.linalg.eigvals(companion)).max(axis=1)
-    outside = mod >= 1.0
+    outside = mod > MAX_MODULUS
     hit[open_rows] = outside
     rho = np.ones(len(coef))
     rho[open_rows[outside]] = MAX_MODULUS / mod[outside]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from periodica.errors import FrequencyError, IntersectionError
 from periodica.functions.periods import CALENDAR_PERIODS, check_frequency, period_index, period_label
 from periodica.operators.quality import dataset_rules, raise_on_violations
-from periodica.session import bounded_side, materialize as written
+from periodica.session import bounded_side, materialize as written, materialize_all
 
 
 def resample_mean(long: DataFrame, keys: Sequence[str], ts: str, value: str, freq: str, out: str = "value") -> DataFrame:
@@ -148,8 +148,11 @@ def align_by_period(
     """:func:`align` for variables that already are one ``(period_idx, x)`` row per period."""
     names = list(exog_vars)
     if materialize:
-        endog = written(endog.select("series_id", "period_idx", "y"))
-        exog_x = written(exog_x) if exog_x is not None else None
+        endog = endog.select("series_id", "period_idx", "y")
+        if exog_x is None:
+            endog = written(endog)
+        else:
+            endog, exog_x = materialize_all(endog, exog_x)
     rows = aligned_rows(endog, exog_x, freq, len(names))
     if on_invalid == "raise":
         # every endogenous series must survive, even one that leaves no row at all

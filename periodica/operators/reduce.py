@@ -39,12 +39,17 @@ def _center_scale(ds: PanelDataset) -> DataFrame:
 
 
 def covariances(ds: PanelDataset) -> DataFrame:
-    """``(series_id, n, cov)``: upper triangle of the population covariance, row by row."""
+    """``(series_id, n, mean, std, cov)``; ``cov`` is the upper triangle, row by row."""
     nv = len(ds.exog_vars)
     if nv <= WIDE_VARS:
         col = lambda i: F.get("x", F.lit(i))
         pairs = [F.covar_pop(col(i), col(j)) for i in range(nv) for j in range(i, nv)]
-        return ds.realized.groupBy("series_id").agg(F.count("*").alias("n"), F.array(*pairs).alias("cov"))
+        return ds.realized.groupBy("series_id").agg(
+            F.count("*").alias("n"),
+            F.array(*[F.avg(col(i)) for i in range(nv)]).alias("mean"),
+            F.array(*[F.stddev_pop(col(i)) for i in range(nv)]).alias("std"),
+            F.array(*pairs).alias("cov"),
+        )
     # many variables: variable pairs become rows and are combined map-side
     rows = ds.realized.select("series_id", "x", F.posexplode("x").alias("i", "xi")).select(
         "series_id", "i", "xi", F.posexplode("x").alias("j", "xj")
@@ -55,7 +60,7 @@ def covariances(ds: PanelDataset) -> DataFrame:
     packed = cells.groupBy("series_id").agg(
         F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "j", "c"))).alias("_c")
     )
-    return packed.select("series_id", "n", F.col("_c.c").alias("cov"))
+    return packed.select("series_id", "n", F.col("_c.c").alias("cov")).join(_center_scale(ds), "series_id")
 
 
 def _eigen(nv: int, explained_variance: float):
@@ -107,23 +112,17 @@ def pca_fit(ds: PanelDataset, explained_variance: float = 0.9) -> DataFrame:
         raise ValueError("explained_variance must be between 0 and 1")
     nv = len(ds.exog_vars)
     eig = _eigen(nv, explained_variance)
-    raw = (
-        covariances(ds)
-        .select("series_id", eig("cov", "n").alias("_e"))
-        .join(_center_scale(ds), "series_id")
-        .select("series_id", "mean", "std", "_e.ratio", "_e.vec")
-    )
-    scored = ds.realized.join(raw, "series_id").select(
-        "series_id", "period_idx", F.transform("vec", lambda v: dot(v, _z())).alias("score")
-    )
+    raw = covariances(ds).withColumn("_e", eig("cov", "n")).select("series_id", "mean", "std", "_e.ratio", "_e.vec")
+    scored = ds.realized.join(raw, "series_id").withColumn("score", F.transform("vec", lambda v: dot(v, _z())))
     signs = []
     for k in range(nv):
         s = F.get("score", F.lit(k))
         top = F.max_by(s, F.struct(F.round(F.abs(s), 9), -F.col("period_idx")))
         signs.append(F.when(top < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
-    sign = scored.groupBy("series_id").agg(F.array(*signs).alias("sign"))
+    same = [F.any_value(c).alias(c) for c in ("mean", "std", "ratio", "vec")]
+    signed = scored.groupBy("series_id").agg(*same, F.array(*signs).alias("sign"))
     flipped = F.transform("vec", lambda v, k: F.transform(v, lambda a: a * F.get("sign", k)))
-    return raw.join(sign, "series_id").select("series_id", "mean", "std", "ratio", flipped.alias("vec"))
+    return signed.select("series_id", "mean", "std", "ratio", flipped.alias("vec"))
 
 
 def _z() -> Column:

@@ -133,7 +133,7 @@ def information_udf(trend: str):
             n, nx, common = int(named["n"]), int(named["nx"]), int(named["common"])
             order = _order(named, trend)
             y, x = _stack(units, rows, n, nx)
-            f = css.fit(y, x, order, robust=False)
+            f = css.fit(y, x, order, robust=False, tol=css.SEARCH_TOL, max_iter=css.SEARCH_ITER)
             if f is None or f.resid.shape[1] < common:
                 continue
             tail = (f.resid[:, f.resid.shape[1] - common :] ** 2).sum(axis=1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,3 +69,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/periodica-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
+    """:func:`materialize` several independent frames at the same time."""
+    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
+        return list(pool.map(materialize, dfs))

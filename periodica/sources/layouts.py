@@ -252,7 +252,7 @@ def _dated(spark: SparkSession, path: str) -> DataFrame:
 
 
 ENDOG_FORMATS: dict[str, tuple[Callable[..., DataFrame], str]] = {
-    "cmpc_financial_data": (_statement, "Q"),
+    "financial_statement": (_statement, "Q"),
     "excel_table": (_year_month, "M"),
 }
 EXOG_FORMATS: dict[str, Callable[..., DataFrame]] = {"macro": _dated}

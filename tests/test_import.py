@@ -25,7 +25,7 @@ def values(df):
 
 
 def statement(spark, path, var, year=2026):
-    return import_endogenous(spark, path, var, "cmpc_financial_data", year)
+    return import_endogenous(spark, path, var, "financial_statement", year)
 
 
 def test_statement_without_quarters(spark, tmp_path):

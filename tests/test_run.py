@@ -27,7 +27,7 @@ def files(tmp_path):
 def test_whole_chain(spark, files):
     endog, exog = files
     cfg = RunConfig(
-        endog, "cmpc_financial_data", "EBITDA", 2026, exog, "macro", pca=0.8, fit=True, predict=4, sliding_window=0.8,
+        endog, "financial_statement", "EBITDA", 2026, exog, "macro", pca=0.8, fit=True, predict=4, sliding_window=0.8,
         p_d_q_order=(1, 0, 0),
     )
     out = run_all(spark, cfg)
@@ -41,7 +41,7 @@ def test_whole_chain(spark, files):
 
 
 def test_chain_without_variables(spark, files):
-    out = run_all(spark, RunConfig(files[0], "cmpc_financial_data", "EBITDA", 2026, predict=2, model="BruteForceARIMARegression", p_d_q_order=(0, 1, 0)))
+    out = run_all(spark, RunConfig(files[0], "financial_statement", "EBITDA", 2026, predict=2, model="BruteForceARIMARegression", p_d_q_order=(0, 1, 0)))
     assert out["predict"].count() == 2 and "pca" not in out
 
 
