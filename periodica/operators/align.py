@@ -59,18 +59,29 @@ def exog_bounds(exog_x: DataFrame) -> tuple[Column, Column]:
     )
 
 
-def overlap_bounds(endog: DataFrame, exog_x: DataFrame | None) -> DataFrame:
-    """Per series: first period, current period and last exogenous period of the overlap."""
+def overlap_bounds(
+    endog: DataFrame, exog_x: DataFrame | None, bounds: tuple[Column, Column] | None = None
+) -> DataFrame:
+    """Per series: first period, current period and last exogenous period of the overlap.
+
+    ``bounds`` gives the exogenous bounds when they are known already.
+    """
     spans = endog.groupBy("series_id").agg(F.min("period_idx").alias("lo"), F.max("period_idx").alias("hi"))
     if exog_x is None:
         lo, hi, last = F.col("lo"), F.col("hi"), F.col("hi")
     else:
-        x_lo, x_hi = exog_bounds(exog_x)
+        x_lo, x_hi = bounds or exog_bounds(exog_x)
         lo, hi, last = F.greatest("lo", x_lo), F.least("hi", x_hi), x_hi
     return spans.select("series_id", lo.alias("start_idx"), hi.alias("current_idx"), last.alias("last_idx"))
 
 
-def aligned_rows(endog: DataFrame, exog_x: DataFrame | None, freq: str, n_vars: int = 16) -> DataFrame:
+def aligned_rows(
+    endog: DataFrame,
+    exog_x: DataFrame | None,
+    freq: str,
+    n_vars: int = 16,
+    bounds: tuple[Column, Column] | None = None,
+) -> DataFrame:
     """Rows ``(series_id, period_idx, is_future, y, x)`` from the start of the overlap on.
 
     Realized rows need no per-series bounds: inside one series they are exactly the
@@ -82,11 +93,11 @@ def aligned_rows(endog: DataFrame, exog_x: DataFrame | None, freq: str, n_vars:
     empty_x = F.array().cast("array<double>")
     if exog_x is None:
         return base.select("series_id", "period_idx", F.lit(False).alias("is_future"), "y", empty_x.alias("x"))
-    x_lo, x_hi = exog_bounds(exog_x)
+    x_lo, x_hi = bounds or exog_bounds(exog_x)
     realized = base.filter(F.col("period_idx").between(x_lo, x_hi)).select(
         "series_id", "period_idx", F.lit(False).alias("is_future"), "y"
     )
-    spans = overlap_bounds(endog, exog_x)
+    spans = overlap_bounds(endog, exog_x, (x_lo, x_hi))
     first_future = F.greatest(F.col("current_idx") + 1, F.col("start_idx"))
     future = spans.filter(first_future <= F.col("last_idx")).select(
         "series_id",
@@ -147,13 +158,17 @@ def align_by_period(
 ) -> "PanelDataset":
     """:func:`align` for variables that already are one ``(period_idx, x)`` row per period."""
     names = list(exog_vars)
+    bounds = None
     if materialize:
         endog = endog.select("series_id", "period_idx", "y")
         if exog_x is None:
             endog = written(endog)
         else:
             endog, exog_x = materialize_all(endog, exog_x)
-    rows = aligned_rows(endog, exog_x, freq, len(names))
+            # one row from a table of at most one row per period; as constants they reach the scan
+            lo, hi = exog_x.agg(F.min("period_idx"), F.max("period_idx")).first()
+            bounds = F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")
+    rows = aligned_rows(endog, exog_x, freq, len(names), bounds)
     if on_invalid == "raise":
         # every endogenous series must survive, even one that leaves no row at all
         met = endog.select("series_id").distinct().join(

@@ -156,7 +156,7 @@ def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise") -> FitT
     """Fit ``order`` to every series of ``ds``."""
     ds = require_specified(ds, required_rows(order, len(ds.exog_vars)), on_invalid)
     if is_linear(order, len(ds.exog_vars)) and not ds.ragged:
-        fits = linear_fit(ds, order)
+        fits = materialize(linear_fit(ds, order))
         est = linear_estimates(ds, order, fits)
         names = F.array(*[F.lit(v) for v in order.names(list(ds.exog_vars))])
         residuals = linear_residuals(ds, order, fits).select("series_id", "period_idx", "resid")

@@ -144,6 +144,21 @@ def fitted(v: Column, coef: Column) -> Column:
     return F.aggregate(F.zip_with(v, coef, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def raw_coefficients(fits: DataFrame, order: Order, n_exog: int) -> DataFrame:
+    """Add ``est``: the coefficients for the uncentred data, by expression only."""
+    if not centered(order):
+        return fits.withColumn("est", F.col("coef"))
+    terms = order.p + order.sp
+    shift = F.col("y_mean")
+    if terms:
+        lags = F.slice("coef", -terms, terms)
+        shift = shift * (1 - F.aggregate(lags, F.lit(0.0), lambda s, v: s + v))
+    if n_exog:
+        shift = shift - fitted(F.slice("coef", 3, n_exog), F.col("x_mean"))
+    rest = F.slice("coef", 2, width(order, n_exog))
+    return fits.withColumn("est", F.concat(F.array(F.col("coef")[0] + shift), rest))
+
+
 def linear_residuals(ds: PanelDataset, order: Order, fits: DataFrame) -> DataFrame:
     """Design rows with their residual: second pass, joined on the series."""
     rows = design(ds, order).filter(F.col("v").isNotNull()).select("series_id", "period_idx", "z", "v")
@@ -165,29 +180,25 @@ def linear_estimates(ds: PanelDataset, order: Order, fits: DataFrame) -> DataFra
     sums = res.groupBy("series_id").agg(F.sum(e2).alias("sse"), F.array(*meat).alias("meat"))
     terms, shift = order.p + order.sp, centered(order)
 
-    @F.pandas_udf("est array<double>, se array<double>")
-    def stats(gram: pd.Series, meat: pd.Series, coef: pd.Series, y_mean: pd.Series, x_mean: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<double>")
+    def errors(gram: pd.Series, meat: pd.Series, y_mean: pd.Series, x_mean: pd.Series) -> pd.Series:
         a = unpack(np.stack(gram.to_numpy()).astype(float), k + 1)[:, :k, :k]
         bread = scaled_pinv(a, 1e-13)
         cov = bread @ unpack(np.stack(meat.to_numpy()).astype(float), k) @ bread
-        est = np.stack(coef.to_numpy()).astype(float).copy()
-        to_raw = np.tile(np.eye(k), (len(est), 1, 1))
+        to_raw = np.tile(np.eye(k), (len(cov), 1, 1))
         if shift:  # intercept of the uncentred data is linear in the other coefficients
-            ym = y_mean.to_numpy()
             if nv:
                 to_raw[:, 0, 2 : 2 + nv] = -np.stack(x_mean.to_numpy())
             if terms:
-                to_raw[:, 0, k - terms :] = -ym[:, None]
-            est = np.einsum("bij,bj->bi", to_raw, est)
-            est[:, 0] += ym
+                to_raw[:, 0, k - terms :] = -y_mean.to_numpy()[:, None]
         cov = to_raw @ cov @ np.swapaxes(to_raw, 1, 2)
-        se = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0))
-        return pd.DataFrame({"est": est.tolist(), "se": se.tolist()})
+        return pd.Series(np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)).tolist())
 
     return (
-        fits.join(sums, "series_id")
-        .withColumn("_e", stats("gram", "meat", "coef", "y_mean", "x_mean"))
-        .select("series_id", "n", "n_eff", "sse", "adjusted", "_e.est", "_e.se")
+        raw_coefficients(fits, order, nv)
+        .join(sums, "series_id")
+        .withColumn("se", errors("gram", "meat", "y_mean", "x_mean"))
+        .select("series_id", "n", "n_eff", "sse", "adjusted", "est", "se")
     )
 
 
@@ -278,18 +289,17 @@ def linear_rolling(ds: PanelDataset, order: Order, window: Column, literal_windo
     rows = design(ds, order).withColumn("w", window)
     before = [F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for c in products(k)]
     rows = rows.withColumn("_c", F.array(*before))
-    # products of rows before the first usable one of the window; _c already excludes its own row
+    # take out the products of rows before the window; _c already excludes its own row
+    is_test = (F.col("t") > F.col("w")) & F.col("v").isNotNull()
     if literal_window is not None:
-        gone = F.lag("_c", literal_window - span).over(run)
-        both = rows.withColumn("_g", gone)
+        both = rows.withColumn("_g", F.lag("_c", literal_window - span).over(run)).filter(is_test)
     else:
-        left = rows.withColumn("_at", F.col("period_idx") - F.col("w") + span)
-        right = rows.select("series_id", F.col("period_idx").alias("_at"), F.col("_c").alias("_g"))
+        left = rows.filter(is_test).withColumn("_at", F.col("period_idx") - F.col("w") + span)
+        early = rows.filter(F.col("t") <= F.col("n") - F.col("w") + span)
+        right = early.select("series_id", F.col("period_idx").alias("_at"), F.col("_c").alias("_g"))
         both = left.join(right, ["series_id", "_at"], "left")
     gram = F.when(F.col("_g").isNull(), F.col("_c")).otherwise(F.zip_with("_c", "_g", lambda a, b: a - b))
-    tests = both.filter((F.col("t") > F.col("w")) & F.col("v").isNotNull()).select(
-        "series_id", "period_idx", "y", "z", "v", gram.alias("gram")
-    )
+    tests = both.select("series_id", "period_idx", "y", "z", "v", gram.alias("gram"))
     return tests.withColumn("_s", gram_solver(order, nv)("gram")).select(
         "series_id",
         "period_idx",

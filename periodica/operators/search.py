@@ -61,7 +61,7 @@ def brute_scores(
     """
     require_searchable(ds, ranges, on_invalid)
     grid = order_grid(ds.df.sparkSession, ranges).filter((F.col("m") >= 2) & ~repeats())
-    units = series_units(ds, grid, many=True).withColumn("w", training_window(F.col("n")))
+    units = series_units(ds, grid).withColumn("w", training_window(F.col("n")))
     valid = units.filter((F.col("w") >= 1) & ~overspecified("w", F.col("nx")))
     errors = F.zip_with("_p", F.slice("y", F.col("w") + 1, F.size("_p")), lambda a, b: (a - b) * (a - b))
     mse = F.aggregate(errors, F.lit(0.0), lambda s, v: s + v) / F.size("_p")
@@ -164,8 +164,7 @@ def auto_scores(
     ds: PanelDataset, m: int, d: int | None, D: int | None, trend: str = "t"
 ) -> DataFrame:
     """AIC of every candidate of the automatic grid, on one common sample per series."""
-    units = series_units(ds, auto_grid(ds.df.sparkSession, m), many=True).drop("d", "sd")
-    units = units.join(auto_differencing(ds, m, d, D), "series_id")
+    units = series_units(ds, auto_grid(ds.df.sparkSession, m), auto_differencing(ds, m, d, D))
     rows = F.col("n") - F.col("d") - F.col("m") * F.col("sd")
     widest = AUTO_MAX_PQ + AUTO_MAX_SEASONAL * m
     held = F.least(F.lit(widest), F.floor(rows / 2)).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from periodica.functions import css
 from periodica.operators.align import PanelDataset
-from periodica.operators.orders import ORDER_COLS, with_orders
+from periodica.operators.orders import ORDER_COLS
 from periodica.operators.panel import dataset_arrays
 
 #: A series travels in at most this many copies, each with its share of the orders.
@@ -24,11 +24,15 @@ MAX_ORDER_BLOCKS = 16
 STACK_BUDGET = 4_000_000
 
 
-def series_units(ds: PanelDataset, orders: DataFrame, many: bool) -> DataFrame:
-    """Series arrays next to every order of ``orders`` (``order_id`` and order columns)."""
+def series_units(ds: PanelDataset, orders: DataFrame, per_series: DataFrame | None = None) -> DataFrame:
+    """Series arrays next to every order of ``orders`` (``order_id`` and order columns).
+
+    Columns of ``per_series`` join while a series still is one row, and replace
+    order columns of the same name.
+    """
     arrays = dataset_arrays(ds.df)
-    if not many:
-        return with_orders(arrays, orders)
+    if per_series is not None:
+        arrays = arrays.join(per_series, "series_id")
     parts = int(ds.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_series = max(1, ds.df.select("series_id").distinct().count())
     # a large panel fills the cluster by itself; only a small one has its orders spread
@@ -41,7 +45,8 @@ def series_units(ds: PanelDataset, orders: DataFrame, many: bool) -> DataFrame:
     spread = arrays.withColumn("_b", F.explode(blocks)).repartitionById(groups * n_blocks, target)
     mine = F.filter("_all", lambda o: o["order_id"] % n_blocks == F.col("_b"))
     keep = arrays.columns
-    return spread.withColumn("_all", packed).select(*keep, F.explode(mine).alias("_o")).select(*keep, "_o.*")
+    from_order = [F.col(f"_o.{c}").alias(c) for c in ("order_id", *ORDER_COLS) if c not in keep]
+    return spread.withColumn("_all", packed).select(*keep, F.explode(mine).alias("_o")).select(*keep, *from_order)
 
 
 def _shapes(pdf: pd.DataFrame, extra: list[str]):
