@@ -332,10 +332,15 @@ def sandwich(j: np.ndarray, e: np.ndarray) -> np.ndarray:
     scale = np.sqrt((j * j).sum(axis=1))
     scale[scale == 0] = 1.0
     js = j / scale[:, None, :]
-    bread = np.linalg.pinv(np.einsum("brk,brl->bkl", js, js), rcond=1e-13, hermitian=True)
+    g = np.swapaxes(js, 1, 2) @ js
+    broken = ~np.isfinite(g).all(axis=(1, 2))
+    g[broken] = np.eye(g.shape[1])
+    bread = np.linalg.pinv(g, rcond=1e-13, hermitian=True)
     je = js * e[:, :, None]
-    cov = bread @ np.einsum("brk,brl->bkl", je, je) @ bread
-    return np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)) / scale
+    cov = bread @ (np.swapaxes(je, 1, 2) @ je) @ bread
+    se = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)) / scale
+    se[broken] = np.nan
+    return se
 
 
 def _take(blk: _Block, rows: np.ndarray) -> _Block:

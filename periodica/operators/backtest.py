@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from periodica.functions.css import Order
 from periodica.operators.align import PanelDataset
-from periodica.operators.fit import one_order_units, require_specified, required_rows
+from periodica.operators.fit import one_order_units, require_specified, required_rows, split_by_rows
 from periodica.operators.moments import is_linear, linear_rolling
 from periodica.operators.units import rolling_udf, unit_columns
 
@@ -56,10 +56,18 @@ def sliding_window_forecast(
     if count is not None and on_invalid == "raise":
         check_window_fits(ds, count)
     ds = require_specified(ds, required_rows(order, len(ds.exog_vars), auto), on_invalid, window)
-    if is_linear(order, len(ds.exog_vars)) and not ds.ragged:
-        if count is None or count > order.lost + order.ar_span:
-            return linear_rolling(ds, order, window, count)
-    return unit_rolling(one_order_units(ds, order).withColumn("w", window), order.trend).drop("order_id")
+    span = order.lost + order.ar_span
+    linear = is_linear(order, len(ds.exog_vars)) and not ds.ragged
+    if linear and count is not None and count > span:
+        return linear_rolling(ds, order, window, count)
+    if linear and count is None and span == 0:
+        return linear_rolling(ds, order, window)
+    rest, out = ds, None
+    if linear and count is None:  # windows that hold no complete row of lags go the other way
+        ds, rest = split_by_rows(ds, window > span)
+        out = linear_rolling(ds, order, window)
+    units = unit_rolling(one_order_units(rest, order).withColumn("w", window), order.trend).drop("order_id")
+    return units if out is None else out.unionByName(units)
 
 
 def unit_rolling(units: DataFrame, trend: str) -> DataFrame:

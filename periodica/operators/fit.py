@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from periodica.errors import OverspecifiedError
+from periodica.errors import InvariantError, OverspecifiedError
 from periodica.functions.css import Order
 from periodica.functions.tails import f_two_sided, normal_two_sided
 from periodica.operators.align import PanelDataset
@@ -37,18 +37,50 @@ def required_rows(order: Order, n_exog: int, auto: bool = False) -> int:
     return n_exog + terms + TREND_TERMS + 1
 
 
-def require_specified(ds: PanelDataset, needed: int, on_invalid: str, window: Column | None = None) -> PanelDataset:
-    """Raise on, or leave out, series whose (window) length is below ``needed``."""
-    per_series = Window.partitionBy("series_id")
+def require_specified(
+    ds: PanelDataset, needed: int, on_invalid: str, window: Column | None = None
+) -> PanelDataset:
+    """Series a model can be fitted to: no gap, every value there, (window) length at least ``needed``.
+
+    ``'raise'`` fails on the first other series, ``'quarantine'`` leaves them out.
+    """
+    missing = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    bad_row = missing | (~F.col("is_future") & (F.col("y").isNull() | F.isnan("y")))
+    real_idx = F.when(~F.col("is_future"), F.col("period_idx"))
+    facts = {
+        "n": F.count(real_idx),
+        "_bad": F.count_if(bad_row),
+        "_lo": F.min("period_idx"),
+        "_hi": F.max("period_idx"),
+        "_all": F.count("*"),
+    }
+    rows = F.col("n") if window is None else window
+    whole = (F.col("_bad") == 0) & (F.col("_hi") - F.col("_lo") + 1 == F.col("_all"))
     if on_invalid == "raise":
-        counts = ds.realized.groupBy("series_id").agg(F.count("*").alias("n"))
-        rows = F.col("n") if window is None else window
-        if counts.filter(rows < needed).limit(1).count():
+        per = ds.df.groupBy("series_id").agg(*[c.alias(k) for k, c in facts.items()])
+        worst = per.select((~whole).alias("broken"), (rows < needed).alias("short")).filter("broken OR short")
+        hit = worst.agg(F.bool_or("broken").alias("broken"), F.bool_or("short").alias("short")).first()
+        if hit["broken"]:
+            raise InvariantError("a series has gaps or missing values")
+        if hit["short"]:
             raise OverspecifiedError("model is overspecified: remove exogenous variables or reduce the order")
         return ds
-    counted = ds.df.withColumn("n", F.count_if(~F.col("is_future")).over(per_series))
-    rows = F.col("n") if window is None else window
-    return replace(ds, df=counted.filter(rows >= needed).drop("n"))
+    if on_invalid != "quarantine":
+        raise ValueError(f"unknown on_invalid {on_invalid!r}")
+    per_series = Window.partitionBy("series_id")
+    marked = ds.df.select("*", *[c.over(per_series).alias(k) for k, c in facts.items()])
+    return replace(ds, df=marked.filter(whole & (rows >= needed)).select(*ds.df.columns))
+
+
+def split_by_rows(ds: PanelDataset, long_enough: Column) -> tuple[PanelDataset, PanelDataset]:
+    """Series for which a condition on ``n`` holds, and the others."""
+    n = F.count_if(~F.col("is_future")).over(Window.partitionBy("series_id"))
+    marked = ds.df.withColumn("n", n).withColumn("_long", long_enough)
+    cols = ds.df.columns
+    return (
+        replace(ds, df=marked.filter("_long").select(*cols)),
+        replace(ds, df=marked.filter("NOT _long").select(*cols)),
+    )
 
 
 def one_order_units(ds: PanelDataset, order: Order) -> DataFrame:
@@ -97,7 +129,7 @@ def coefficient_table(est: DataFrame, names: Column, keys: list[str]) -> DataFra
 
 def information_columns(est: DataFrame, keys: list[str], params: Column) -> DataFrame:
     """Likelihood and information criteria; ``params`` counts the error variance too."""
-    n, s2 = F.col("n_eff"), F.col("sse") / F.col("n_eff")
+    n, s2 = F.col("n_eff"), F.try_divide(F.col("sse"), F.col("n_eff"))
     llf = F.when(F.col("sse") > 0, -n / 2 * (F.log(F.lit(2 * math.pi) * s2) + 1))
     return est.select(*keys, F.col("n").alias("n_obs"), "n_eff", s2.alias("sigma2"), llf.alias("llf"), params.alias("n_params"), "adjusted").select(
         "*",
@@ -124,7 +156,7 @@ def residual_diagnostics(residuals: DataFrame, keys: list[str]) -> DataFrame:
     sq = F.col("resid") * F.col("resid")
     agg = r.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        (F.sum(dev * dev_before) / F.sum(dev * dev)).alias("r1"),
+        F.try_divide(F.sum(dev * dev_before), F.sum(dev * dev)).alias("r1"),
         F.skewness("resid").alias("skew"),
         (F.kurtosis("resid") + 3).alias("kurtosis"),
         F.sum(F.when(F.col("_i") > F.col("_n") - third, sq)).alias("late"),
@@ -155,18 +187,28 @@ def residual_diagnostics(residuals: DataFrame, keys: list[str]) -> DataFrame:
 def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise") -> FitTables:
     """Fit ``order`` to every series of ``ds``."""
     ds = require_specified(ds, required_rows(order, len(ds.exog_vars)), on_invalid)
-    if is_linear(order, len(ds.exog_vars)) and not ds.ragged:
-        fits = materialize(linear_fit(ds, order))
-        est = linear_estimates(ds, order, fits)
-        names = F.array(*[F.lit(v) for v in order.names(list(ds.exog_vars))])
-        residuals = linear_residuals(ds, order, fits).select("series_id", "period_idx", "resid")
-    else:
+    if not is_linear(order, len(ds.exog_vars)) or ds.ragged:
         est = materialize(fit_units(one_order_units(ds, order), order.trend))
-        names = unit_names(ds.exog_vars, order.trend)
-        residuals = unit_residuals(est, ["series_id"])
+        return tables(est, unit_names(ds.exog_vars, order.trend), unit_residuals(est, ["series_id"]), ["series_id"])
+    ds, short = split_short(ds, order)
+    fits = materialize(linear_fit(ds, order))
+    est = linear_estimates(ds, order, fits)
+    residuals = linear_residuals(ds, order, fits).select("series_id", "period_idx", "resid")
+    if short is not None:
+        rest = materialize(fit_units(one_order_units(short, order), order.trend))
+        est = est.unionByName(rest.select(*est.columns))
+        residuals = residuals.unionByName(unit_residuals(rest, ["series_id"]))
+    names = F.array(*[F.lit(v) for v in order.names(list(ds.exog_vars))])
     return tables(est, names, residuals, ["series_id"])
 
 
+def split_short(ds: PanelDataset, order: Order) -> tuple[PanelDataset, PanelDataset | None]:
+    """Set apart series too short to condition on their own lags (orders with lags only)."""
+    if not order.ar_span:
+        return ds, None
+    return split_by_rows(ds, F.col("n") > order.lost + order.ar_span)
+
+
 def unit_residuals(est: DataFrame, keys: list[str]) -> DataFrame:
     return est.select(*keys, "first_idx", "first_row", F.posexplode("resid").alias("pos", "resid")).select(
         *keys, (F.col("first_idx") + F.col("first_row") + F.col("pos")).alias("period_idx"), "resid"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from periodica.functions.css import Order
 from periodica.operators.align import PanelDataset
-from periodica.operators.fit import fit_units, one_order_units, require_specified, required_rows
+from periodica.operators.fit import fit_units, one_order_units, require_specified, required_rows, split_short
 from periodica.operators.moments import is_linear, linear_fit, linear_forecast, raw_coefficients
 
 FORECAST_SCHEMA = "series_id string, h int, period_idx bigint, prediction double"
@@ -35,8 +35,12 @@ def forecast_order(ds: PanelDataset, order: Order, n: int, on_invalid: str = "ra
     if n == 0:
         return empty_forecast(ds)
     if is_linear(order, len(ds.exog_vars)) and not ds.ragged:
+        ds, short = split_short(ds, order)
         est = raw_coefficients(linear_fit(ds, order), order, len(ds.exog_vars))
-        return linear_forecast(ds, order, est, n).filter(F.col("prediction").isNotNull())
+        out = linear_forecast(ds, order, est, n).filter(F.col("prediction").isNotNull())
+        if short is None:
+            return out
+        return out.unionByName(unit_forecast(one_order_units(short, order), order.trend, n))
     return unit_forecast(one_order_units(ds, order), order.trend, n)
 
 

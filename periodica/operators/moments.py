@@ -50,7 +50,7 @@ def design(ds: PanelDataset, order: Order) -> DataFrame:
         "y",
         F.count("*").over(whole).alias("n"),
         (F.col("period_idx") - F.min("period_idx").over(whole) + 1).cast("double").alias("t"),
-        *[F.coalesce(F.get("x", F.lit(i)), F.lit(0.0)).alias(f"_x{i}") for i in range(nv)],
+        *[F.get("x", F.lit(i)).alias(f"_x{i}") for i in range(nv)],
     )
     if centered(order):
         rows = rows.select(
@@ -102,7 +102,11 @@ def scaled_pinv(g: np.ndarray, rcond: float) -> np.ndarray:
     scale = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 0.0))
     scale[scale == 0] = 1.0
     outer = scale[:, :, None] * scale[:, None, :]
-    return np.linalg.pinv(g / outer, rcond=rcond, hermitian=True) / outer
+    broken = ~np.isfinite(g).all(axis=(1, 2))
+    safe = np.where(broken[:, None, None], np.eye(g.shape[1]), g / outer)
+    out = np.linalg.pinv(safe, rcond=rcond, hermitian=True) / outer
+    out[broken] = np.nan
+    return out
 
 
 def gram_solver(order: Order, n_exog: int):

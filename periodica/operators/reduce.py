@@ -71,6 +71,7 @@ def _eigen(nv: int, explained_variance: float):
         m = np.zeros((len(upper), nv, nv))
         m[:, i, j] = upper
         m[:, j, i] = upper
+        m[~np.isfinite(m).all(axis=(1, 2))] = 0.0
         std = np.sqrt(np.maximum(np.diagonal(m, axis1=1, axis2=2), 0.0))
         scale = np.where(std > 0, std, 1.0)
         corr = m / scale[:, :, None] / scale[:, None, :]

@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from periodica.errors import OverspecifiedError
 from periodica.operators.align import PanelDataset
+from periodica.operators.fit import require_specified
 from periodica.operators.orders import (
     AUTO_MAX_PQ,
     AUTO_MAX_SEASONAL,
@@ -40,16 +40,11 @@ def minimum_rows(ranges: Sequence[range], n_exog: int) -> int:
     return smallest + TREND_TERMS + n_exog + 1 + 1
 
 
-def require_searchable(ds: PanelDataset, ranges: Sequence[range], on_invalid: str) -> None:
-    """Fail on counts alone, before any order is unfolded or fitted."""
-    if on_invalid != "raise":
-        return
+def require_searchable(ds: PanelDataset, ranges: Sequence[range], on_invalid: str) -> PanelDataset:
+    """Decide on counts alone, before any order is unfolded or fitted."""
     if any(len(r) == 0 for r in ranges):
         raise ValueError("an order range is empty")
-    needed = minimum_rows(ranges, len(ds.exog_vars))
-    counts = ds.realized.groupBy("series_id").agg(F.count("*").alias("n"))
-    if counts.filter(F.col("n") < needed).limit(1).count():
-        raise OverspecifiedError("every order of the grid is overspecified")
+    return require_specified(ds, minimum_rows(ranges, len(ds.exog_vars)), on_invalid)
 
 
 def brute_scores(
@@ -59,7 +54,7 @@ def brute_scores(
 
     Orders with repeated lags, or over-specified on the training window, are skipped.
     """
-    require_searchable(ds, ranges, on_invalid)
+    ds = require_searchable(ds, ranges, on_invalid)
     grid = order_grid(ds.df.sparkSession, ranges).filter((F.col("m") >= 2) & ~repeats())
     units = series_units(ds, grid).withColumn("w", training_window(F.col("n")))
     valid = units.filter((F.col("w") >= 1) & ~overspecified("w", F.col("nx")))

@@ -18,8 +18,6 @@ from periodica.operators.align import PanelDataset
 from periodica.operators.orders import ORDER_COLS
 from periodica.operators.panel import dataset_arrays
 
-#: A series travels in at most this many copies, each with its share of the orders.
-MAX_ORDER_BLOCKS = 16
 #: Values of one stacked solve (rows times design columns).
 STACK_BUDGET = 4_000_000
 
@@ -35,8 +33,9 @@ def series_units(ds: PanelDataset, orders: DataFrame, per_series: DataFrame | No
         arrays = arrays.join(per_series, "series_id")
     parts = int(ds.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_series = max(1, ds.df.select("series_id").distinct().count())
-    # a large panel fills the cluster by itself; only a small one has its orders spread
-    n_blocks = min(MAX_ORDER_BLOCKS, max(1, -(-2 * parts // n_series)))
+    # a large panel fills the cluster by itself; a small one has its orders spread, each series
+    # travelling in n_blocks copies (all copies together are about twice the partitions)
+    n_blocks = max(1, -(-2 * parts // n_series))
     groups = max(1, parts // n_blocks)
     packed = orders.agg(F.sort_array(F.collect_list(F.struct("order_id", *ORDER_COLS)))).scalar()
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))

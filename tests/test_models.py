@@ -253,3 +253,39 @@ def test_quarantine_leaves_series_out(panel):
     assert {r["series_id"] for r in lenient.predict(1, ds).collect()} == {"long"}
     assert {r["series_id"] for r in lenient.fit(ds).information.collect()} == {"long"}
     assert {r["series_id"] for r in lenient.sliding_window_forecast(ds, 0.8).collect()} == {"long"}
+
+
+def test_short_series_with_long_lags(panel):
+    """A series or window without a complete row of lags still gets an answer."""
+    ds = panel({"short": (RNG.random(10), [], []), "long": (RNG.random(40), [], [])})
+    model = SARIMARegression((0, 0, 0), (1, 0, 0, 12))
+    check_predictions(ds, model.predict(3, ds), 3)
+    assert {r["series_id"] for r in model.fit(ds).information.collect()} == {"short", "long"}
+    back = model.sliding_window_forecast(ds, 0.8).collect()
+    assert sum(r["series_id"] == "short" for r in back) == 2 and sum(r["series_id"] == "long" for r in back) == 8
+    assert all(np.isfinite(r["prediction"]) for r in back)
+
+
+def test_broken_series_are_refused_or_left_out(panel, spark):
+    from dataclasses import replace
+
+    from periodica import InvariantError
+
+    ds = panel({"ok": (RNG.random(12), RNG.random((12, 1)), RNG.random((2, 1))), "gap": (RNG.random(12), RNG.random((12, 1)), [])}, n_vars=1)
+    holed = replace(ds, df=ds.df.filter("NOT (series_id = 'gap' AND period_idx = 24003)"))
+    unknown = replace(ds, df=ds.df.selectExpr(
+        "series_id", "period_idx", "is_future", "y",
+        "IF(series_id = 'gap' AND period_idx = 24003, array(CAST(NULL AS DOUBLE)), x) AS x"))
+    for bad in (holed, unknown):
+        for order in ((0, 0, 0), (1, 0, 1)):
+            with pytest.raises(InvariantError):
+                SARIMARegression(order).fit(bad)
+            lenient = SARIMARegression(order, on_invalid="quarantine")
+            assert {r["series_id"] for r in lenient.fit(bad).information.collect()} == {"ok"}
+            assert {r["series_id"] for r in lenient.predict(1, bad).collect()} == {"ok"}
+
+
+def test_perfect_fit_has_no_division_by_zero(panel):
+    ds = panel({"line": (np.arange(20.0), [], []), "flat": (np.zeros(20), [], [])})
+    out = SARIMARegression().fit(ds)
+    assert out.diagnostics.count() == 2 and out.information.count() == 2 and out.coefficients.count() == 4
