@@ -454,6 +454,15 @@ def brute_full(spark, sf):
     return best.select("series_id", "order_id", "p", "d", "q", "sp", "sd", "sq", "m", _r("rmse", 2).alias("rmse"))
 
 
+# p 0..3, d 0..2, q 0..3, P, D and Q 0..1, season 4: 384 orders
+WIDE_GRID = (range(0, 4), range(0, 3), range(0, 4), range(0, 2), range(0, 2), range(0, 2), range(4, 5))
+
+
+def brute_wide_grid(spark, sf):
+    best = search.brute_search(dataset(spark, sf, "M", ()), WIDE_GRID, on_invalid="quarantine")
+    return best.select("series_id", "order_id", "p", "d", "q", "sp", "sd", "sq", "m", _r("rmse", 2).alias("rmse"))
+
+
 def brute_model_forecast(spark, sf):
     ds = dataset(spark, sf, "Q", ())
     model = BruteForceARIMARegression(ds, brute_ranges((1, 1, 0), (1, 0, 0, 4)), on_invalid="quarantine")
@@ -495,7 +504,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fit_diagnostics, fit_residuals, fit_ma, fit_exog_ar, order_grid_valid, overspecified_flags,
         forecast_trend, forecast_trend_exog1, forecast_ar1, forecast_differenced, forecast_seasonal_arma,
         rolling_forecast_trend, rolling_forecast_exog1, rolling_forecast_ar1, rolling_rmse,
-        rolling_forecast_arma, brute_best_order, brute_full, brute_model_forecast, auto_order, auto_sliding,
+        rolling_forecast_arma, brute_best_order, brute_full, brute_wide_grid, brute_model_forecast, auto_order, auto_sliding,
         chain_subset_pca_forecast, quarterly_trend_backtest,
     )
 }

@@ -57,15 +57,15 @@ def sliding_window_forecast(
         check_window_fits(ds, count)
     ds = require_specified(ds, required_rows(order, len(ds.exog_vars), auto), on_invalid, window)
     span = order.lost + order.ar_span
-    linear = is_linear(order, len(ds.exog_vars)) and not ds.ragged
-    if linear and count is not None and count > span:
-        return linear_rolling(ds, order, window, count)
-    if linear and count is None and span == 0:
-        return linear_rolling(ds, order, window)
     rest, out = ds, None
-    if linear and count is None:  # windows that hold no complete row of lags go the other way
-        ds, rest = split_by_rows(ds, window > span)
-        out = linear_rolling(ds, order, window)
+    if is_linear(order, len(ds.exog_vars)) and not ds.ragged and (count is None or count > span):
+        if count is None and span:  # windows that hold no complete row of lags go the other way
+            ds, rest = split_by_rows(ds, window > span)
+        else:
+            rest = None
+        out = linear_rolling(ds, order, window, count)
+        if rest is None:
+            return out
     units = unit_rolling(one_order_units(rest, order).withColumn("w", window), order.trend).drop("order_id")
     return units if out is None else out.unionByName(units)
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from periodica.session import materialize
+
 #: Rows of one timestamp are split in blocks of this many consecutive row numbers.
 BLOCK_BITS = 20
 
@@ -42,6 +44,8 @@ def _with_neighbours(
         F.min_by(first, F.when(F.col(first).isNotNull(), at)).alias("_first"),
         F.max_by(last, F.when(F.col(last).isNotNull(), at)).alias("_last"),
     )
+    if len(levels) > 1:  # read by its own windows and by the next coarser summary
+        summary = materialize(summary)
     inherited = _with_neighbours(summary, keys, levels[:-1], levels[-1], "_first", "_last").select(
         *chunk, F.col("_next").alias("_cnext"), F.col("_prev").alias("_cprev")
     )

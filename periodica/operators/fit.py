@@ -72,8 +72,11 @@ def require_specified(
     return replace(ds, df=marked.filter(whole & (rows >= needed)).select(*ds.df.columns))
 
 
-def split_by_rows(ds: PanelDataset, long_enough: Column) -> tuple[PanelDataset, PanelDataset]:
-    """Series for which a condition on ``n`` holds, and the others."""
+def split_by_rows(ds: PanelDataset, long_enough: Column) -> tuple[PanelDataset, PanelDataset | None]:
+    """Series for which a condition on ``n`` holds, and the others (None when there are none)."""
+    counts = ds.realized.groupBy("series_id").agg(F.count("*").alias("n"))
+    if counts.agg(F.bool_and(long_enough)).first()[0] in (True, None):
+        return ds, None
     n = F.count_if(~F.col("is_future")).over(Window.partitionBy("series_id"))
     marked = ds.df.withColumn("n", n).withColumn("_long", long_enough)
     cols = ds.df.columns

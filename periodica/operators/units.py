@@ -18,6 +18,9 @@ from periodica.operators.align import PanelDataset
 from periodica.operators.orders import ORDER_COLS
 from periodica.operators.panel import dataset_arrays
 
+#: Series of one task in a panel too small to fill the cluster.
+GROUP_SIZE = 64
+TASKS_PER_PARTITION = 4
 #: Values of one stacked solve (rows times design columns).
 STACK_BUDGET = 4_000_000
 
@@ -34,15 +37,17 @@ def series_units(ds: PanelDataset, orders: DataFrame, per_series: DataFrame | No
     parts = int(ds.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_series = max(1, ds.df.select("series_id").distinct().count())
     # a large panel fills the cluster by itself; a small one has its orders spread, each series
-    # travelling in n_blocks copies (all copies together are about twice the partitions)
-    n_blocks = max(1, -(-2 * parts // n_series))
-    groups = max(1, parts // n_blocks)
+    # travelling in n_blocks copies (at most GROUP_SIZE copies per task, whatever the panel)
+    tasks = TASKS_PER_PARTITION * parts
+    groups = min(tasks, -(-n_series // GROUP_SIZE))
+    n_blocks = max(1, -(-tasks // groups))
     packed = orders.agg(F.sort_array(F.collect_list(F.struct("order_id", *ORDER_COLS)))).scalar()
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     # one partition per (group of series, block of orders): units of one order meet in one batch
     target = F.pmod(F.hash("series_id"), F.lit(groups)) * n_blocks + F.col("_b")
     spread = arrays.withColumn("_b", F.explode(blocks)).repartitionById(groups * n_blocks, target)
-    mine = F.filter("_all", lambda o: o["order_id"] % n_blocks == F.col("_b"))
+    # hashed, because neighbouring orders of a grid cost alike
+    mine = F.filter("_all", lambda o: F.pmod(F.hash(o["order_id"]), F.lit(n_blocks)) == F.col("_b"))
     keep = arrays.columns
     from_order = [F.col(f"_o.{c}").alias(c) for c in ("order_id", *ORDER_COLS) if c not in keep]
     return spread.withColumn("_all", packed).select(*keep, F.explode(mine).alias("_o")).select(*keep, *from_order)
