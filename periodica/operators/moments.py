@@ -127,7 +127,7 @@ def gram_solver(order: Order, n_exog: int):
                 coef[hit, f:] = inside[hit]
         return pd.DataFrame({"coef": coef.tolist(), "adjusted": hit})
 
-    return solve
+    return solve.asNondeterministic()  # never copied into a filter above it
 
 
 def linear_fit(ds: PanelDataset, order: Order) -> DataFrame:

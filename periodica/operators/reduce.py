@@ -96,7 +96,7 @@ def _eigen(nv: int, explained_variance: float):
             }
         )
 
-    return solve
+    return solve.asNondeterministic()
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -127,7 +127,7 @@ def _ocsb(m: int):
     def stat(y: pd.Series) -> pd.Series:
         return y.map(one)
 
-    return stat
+    return stat.asNondeterministic()
 
 
 def ocsb_critical(m: int) -> float:

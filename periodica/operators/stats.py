@@ -159,6 +159,9 @@ def adf_columns(y: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([adf_test(np.asarray(v, dtype=float)) for v in y], columns=["stat", "p"])
 
 
+adf_columns = adf_columns.asNondeterministic()
+
+
 def adf_ndiffs(endog: DataFrame) -> DataFrame:
     """Recommended differencing order by the augmented Dickey-Fuller test.
 
@@ -194,6 +197,10 @@ def _acf(y: pd.Series) -> pd.Series:
     return y.map(one)
 
 
+# inferred filters must not evaluate a transform or a test a second time
+_acf = _acf.asNondeterministic()
+
+
 def autocorrelation(endog: DataFrame, max_lag: int | None = None) -> DataFrame:
     """``(series_id, lag, r, band95, band99)`` for lags ``1..n`` (or ``max_lag``).
 

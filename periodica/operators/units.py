@@ -1,5 +1,8 @@
 """Work units: one row per (series, order), fitted in Arrow batches.
 
+The UDFs are marked nondeterministic so that the optimizer never copies one into
+a filter above it and pays for every fit twice.
+
 Orders with products of lag polynomials or moving-average terms need iteration.
 Each series is packed once (bounded by the calendar), spread over the cluster by
 (series, block of orders), and its orders are unfolded next to it without
@@ -112,7 +115,7 @@ def fit_udf(trend: str, steps: int):
                     out["ahead"][r] = ahead[i].tolist()
         return pd.DataFrame(out)
 
-    return run
+    return run.asNondeterministic()
 
 
 def rolling_udf(trend: str):
@@ -129,7 +132,7 @@ def rolling_udf(trend: str):
                 out[r] = got[i].tolist()
         return pd.Series(out)
 
-    return run
+    return run.asNondeterministic()
 
 
 def information_udf(trend: str):
@@ -150,4 +153,4 @@ def information_udf(trend: str):
                 sse[r], n_eff[r] = float(tail[i]), common
         return pd.DataFrame({"sse": sse, "n_eff": n_eff})
 
-    return run
+    return run.asNondeterministic()
