@@ -44,9 +44,12 @@ def read_statement(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Statement CSV as strings; quoted labels may hold newlines, labels are not trimmed.
 
     Several files must share one header. Spark checks that itself unless a header
-    cell is empty, which it cannot compare.
+    cell is empty, which it cannot compare. A ``.parquet`` table of the same layout
+    is read as it is.
     """
     paths = [path] if isinstance(path, str) else list(path)
+    if all(p.endswith(".parquet") for p in paths):
+        return spark.read.parquet(*paths)
     reader = (
         spark.read.option("header", True)
         .option("multiLine", True)
@@ -129,6 +132,9 @@ def _finish_statement(cells: DataFrame) -> DataFrame:
 
 
 def read_year_month(spark: SparkSession, path: str) -> DataFrame:
+    """Year-by-month grid from CSV, or from a ``.parquet`` table of the same layout."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
     return spark.read.option("header", True).csv(path)
 
 

@@ -144,3 +144,12 @@ def test_sinks(spark, tmp_path):
     assert list(paths) == ["predict"] and spark.read.parquet(paths["predict"]).count() == 2
     with pytest.raises(ValueError):
         write_table(df, str(tmp_path / "x"), "xlsx")
+
+
+def test_parquet_tables_of_the_same_layouts(spark, tmp_path):
+    grid = spark.createDataFrame([(2001, 1.5, None), (2000, None, 2.5)], "Year int, JAN double, December double")
+    grid.write.parquet(str(tmp_path / "grid.parquet"))
+    assert values(year_month(spark, str(tmp_path / "grid.parquet"))) == [("2000-12", 2.5), ("2001-01", 1.5)]
+    cells = spark.createDataFrame([("bla", 1.0, None)], "Description string, `Q1 11` double, `Q2 11` double")
+    cells.write.parquet(str(tmp_path / "st.parquet"))
+    assert values(statement(spark, str(tmp_path / "st.parquet"), "bla")) == [("2011Q1", 1.0), ("2011Q2", 0.0)]
