@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from periodica.llm.langid import op1_language_id
 from periodica.llm.line_dedup import LINE_DEDUP_SQL, op5_line_dedup
+from periodica.llm.mixing import op10_mixing
 from periodica.llm.packing import op6_best_fit_packing
 from periodica.llm.simhash import op7_simhash
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_best_fit_packing, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_line_dedup, op6_best_fit_packing, op7_simhash, op10_mixing)}
 
 ORACLES = {"op5_line_dedup": LINE_DEDUP_SQL}
