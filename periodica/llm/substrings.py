@@ -11,8 +11,9 @@ anchor has a context: the bytes around it that a string of ``length`` with this
    stack scan, and each interval is tested for left extensions: among all its occurrences, not only neighbours, the common
    left lengths come from the sorted left contexts. Left plus right of at least ``length`` is a maximal repeat, and all
    its occurrences are marked.
-3. An anchor with over ``GROUP_CONTEXTS`` contexts is never one group: its strings of ``length`` bytes are hashed
-   one by one and counted by Spark, which splits and adds up partially. This is exact for any number of contexts.
+3. An anchor with over ``GROUP_CONTEXTS`` contexts is never one group: pieces a step
+   shorter than ``length`` are hashed and counted first, then, where a piece was found twice, the strings of ``length``
+   bytes around it. Spark splits the counts and adds up partially. This is exact for any number of contexts.
 
 Hashes that stand for text have 128 bits. A null text is empty. Texts shorter than ``length`` repeat nothing.
 Rows that repeat doc_id and text are documents of their own that repeat each other. Strings are judged on the input.
@@ -202,17 +203,37 @@ def _grouped(dealt: DataFrame, length: int) -> DataFrame:
 def _counted(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """The same by counting every string of ``length`` bytes of every context: for anchors with any number of them."""
 
+    step = max(1, length // 8)
+
+    def pieces(batches):
+        for batch in slices(batches, "right", 200_000):
+            out = []
+            for a, c1, c2, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "left", "right")), strict=True):
+                whole = left + right
+                for i in range(len(left) // step + 1):
+                    at = len(left) - step * i
+                    if at + length - step <= len(whole):
+                        out.append((a, c1, c2, i, *_halves(xxhash.xxh3_128_digest(i.to_bytes(4, "little") + whole[at : at + length - step]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], ["a", "c1", "c2", "i", "k1", "k2"])
+
     def hashes(batches):
         for batch in slices(batches, "right", 200_000):
             parts = []
-            for i, (left, right) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
+            for i, (left, right, near) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("left", "right", "near")), strict=True)):
                 data = np.frombuffer(left + right, np.uint8)
-                w1 = gram_hashes(data, length).view(np.int64)
-                parts.append((np.full(len(w1), i), w1, gram_hashes(data, length, 0x5851F42D4C957F2D).view(np.int64), len(left) - np.arange(len(w1))))
+                w1, w2 = gram_hashes(data, length).view(np.int64), gram_hashes(data, length, 0x5851F42D4C957F2D).view(np.int64)
+                l = len(left) - np.arange(len(w1))
+                own = np.isin(l // step, near)
+                parts.append((np.full(int(own.sum()), i), w1[own], w2[own], l[own]))
             row, w1, w2, l = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(4))
             own = [batch.column(c).take(pa.array(row.astype(np.int64))) for c in ("a", "c1", "c2")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(w1), pa.array(w2), pa.array(l.astype(np.int64))], ["a", "c1", "c2", "w1", "w2", "l"])
 
+    # whoever shares a string that begins l bytes before the anchor shares the shorter piece at l rounded down to a step
+    cut = materialize(contexts.mapInArrow(pieces, "a long, c1 long, c2 long, i long, k1 long, k2 long"))
+    twice = cut.groupBy("a", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("a", "k1", "k2")
+    near = cut.join(twice, ["a", "k1", "k2"], "left_semi").groupBy("a", "c1", "c2").agg(F.collect_list("i").alias("near"))
+    contexts = contexts.join(materialize(near), ["a", "c1", "c2"])
     strings = materialize(contexts.mapInArrow(hashes, "a long, c1 long, c2 long, w1 long, w2 long, l long"))
     # neighbouring anchors see the same string in one place: only equal strings around equal anchors are two occurrences
     same = ["a", "l", "w1", "w2"]
@@ -243,7 +264,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             kinds = [pa.int64()] * 4 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["a", "c1", "c2", "m", "left", "right"])
 
-    contexts = materialize(rows.join(asked, "key").select("text", "asked").mapInArrow(read, schema)).dropDuplicates(id3)
+    contexts = materialize(rows.join(asked, "key").dropDuplicates(["key"]).select("text", "asked").mapInArrow(read, schema))
     dealt = contexts.filter(F.col("m") <= group_contexts).repartition("a").sortWithinPartitions("a")
     marks = _grouped(dealt, length)
     if not contexts.filter(F.col("m") > group_contexts).isEmpty():
