@@ -34,7 +34,8 @@ from periodica.llm.common import slices, table, utf8
 from periodica.session import materialize
 
 LENGTH = 400
-GRAM = 32
+#: Long grams are seldom shared by chance, so few anchors have several contexts; anchors are about 2 / (LENGTH - GRAM) of all places.
+GRAM = 128
 GROUP_CONTEXTS = 256
 #: Bytes of one text that are scanned at a time; windows overlap, so the result is that of the whole.
 SCAN_BYTES = 4_000_000
