@@ -14,12 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAX_ITER = 50
+MAX_ITER = 100
 MAX_MODULUS = 0.999
 RIDGE = 1e-11
-#: Relative gain in squared error at which a fit that only ranks orders or fills a back-test stops.
-SEARCH_TOL = 1e-6
-SEARCH_ITER = 20
 STEPS = (1.0, 0.5, 0.25, 0.0625, 0.015625)
 
 
@@ -394,7 +391,7 @@ def rolling_forecast(y: np.ndarray, x: np.ndarray, window: int, order: Order, bu
     out = np.full(size * count, np.nan)
     for lo in range(0, len(blocks), chunk):
         part = slice(lo, lo + chunk)
-        f = fit(blocks[part], xb[part], order, robust=False, tol=SEARCH_TOL, max_iter=SEARCH_ITER)
+        f = fit(blocks[part], xb[part], order, robust=False)
         if f is not None:
             out[part] = forecast(blocks[part], xb[part], nx[part], f, order, 1)[:, 0]
     return out.reshape(size, count)

@@ -121,6 +121,7 @@ def series_spans_ok(rows: DataFrame, n_vars: int) -> DataFrame:
         (
             (F.count_if(~complete) == 0)
             & (F.max("period_idx") - F.min("period_idx") + 1 == F.count("*"))
+            & (F.count_distinct("period_idx") == F.count("*"))
         ).alias("frequency"),
     )
     return per.unpivot("series_id", ["overlaps", "frequency"], "rule", "ok")
@@ -184,13 +185,10 @@ def align_by_period(
         rows = (
             rows.withColumn("_bad", F.count_if(~complete).over(per_series))
             .withColumn("_real", F.count_if(~F.col("is_future")).over(per_series))
-            .withColumn(
-                "_span",
-                F.max("period_idx").over(per_series) - F.min("period_idx").over(per_series) + 1
-                - F.count("*").over(per_series),
-            )
-            .filter((F.col("_bad") == 0) & (F.col("_real") > 0) & (F.col("_span") == 0))
-            .drop("_bad", "_real", "_span")
+            .withColumn("_step", F.col("period_idx") - F.lag("period_idx").over(per_series.orderBy("period_idx")))
+            .withColumn("_jumps", F.count_if(F.col("_step") != 1).over(per_series))
+            .filter((F.col("_bad") == 0) & (F.col("_real") > 0) & (F.col("_jumps") == 0))
+            .drop("_bad", "_real", "_step", "_jumps")
         )
     elif on_invalid != "keep":
         raise ValueError(f"unknown on_invalid {on_invalid!r}")

@@ -55,7 +55,7 @@ def sliding_window_forecast(
     count = window_rows if window_rows is not None else (int(window_size) if (window_size or 0) > 1 else None)
     if count is not None and on_invalid == "raise":
         check_window_fits(ds, count)
-    ds = require_specified(ds, required_rows(order, len(ds.exog_vars), auto), on_invalid, window)
+    ds = require_specified(ds, required_rows(order, 0, auto), on_invalid, window)
     span = order.lost + order.ar_span
     rest, out = ds, None
     if is_linear(order, len(ds.exog_vars)) and not ds.ragged and (count is None or count > span):

@@ -38,9 +38,10 @@ def required_rows(order: Order, n_exog: int, auto: bool = False) -> int:
 
 
 def require_specified(
-    ds: PanelDataset, needed: int, on_invalid: str, window: Column | None = None
+    ds: PanelDataset, needed: int, on_invalid: str, window: Column | None = None, lost: int = 0
 ) -> PanelDataset:
-    """Series a model can be fitted to: no gap, every value there, (window) length at least ``needed``.
+    """Series a model can be fitted to: one row per period, every value there, (window) length at least ``needed``
+    and one for each of the series' own variables, and more than the ``lost`` rows that differencing uses up.
 
     ``'raise'`` fails on the first other series, ``'quarantine'`` leaves them out.
     """
@@ -53,12 +54,15 @@ def require_specified(
         "_lo": F.min("period_idx"),
         "_hi": F.max("period_idx"),
         "_all": F.count("*"),
+        "_nx": F.coalesce(F.max(F.size("x")), F.lit(0)),
     }
     rows = F.col("n") if window is None else window
-    whole = (F.col("_bad") == 0) & (F.col("_hi") - F.col("_lo") + 1 == F.col("_all"))
+    whole = (F.col("_bad") == 0) & (F.col("_hi") - F.col("_lo") + 1 == F.col("_all")) & F.col("_once")
+    short = (rows < F.col("_nx") + needed) | (rows <= lost)
     if on_invalid == "raise":
-        per = ds.df.groupBy("series_id").agg(*[c.alias(k) for k, c in facts.items()])
-        worst = per.select((~whole).alias("broken"), (rows < needed).alias("short")).filter("broken OR short")
+        once = (F.count_distinct("period_idx") == F.count("*")).alias("_once")
+        per = ds.df.groupBy("series_id").agg(*[c.alias(k) for k, c in facts.items()], once)
+        worst = per.select((~whole).alias("broken"), short.alias("short")).filter("broken OR short")
         hit = worst.agg(F.bool_or("broken").alias("broken"), F.bool_or("short").alias("short")).first()
         if hit["broken"]:
             raise InvariantError("a series has gaps or missing values")
@@ -68,8 +72,10 @@ def require_specified(
     if on_invalid != "quarantine":
         raise ValueError(f"unknown on_invalid {on_invalid!r}")
     per_series = Window.partitionBy("series_id")
-    marked = ds.df.select("*", *[c.over(per_series).alias(k) for k, c in facts.items()])
-    return replace(ds, df=marked.filter(whole & (rows >= needed)).select(*ds.df.columns))
+    again = F.col("period_idx") == F.lag("period_idx").over(per_series.orderBy("period_idx"))
+    marked = ds.df.select("*", again.alias("_again"), *[c.over(per_series).alias(k) for k, c in facts.items()])
+    marked = marked.withColumn("_once", F.count_if("_again").over(per_series) == 0)
+    return replace(ds, df=marked.filter(whole & ~short).select(*ds.df.columns))
 
 
 def split_by_rows(ds: PanelDataset, long_enough: Column) -> tuple[PanelDataset, PanelDataset | None]:
@@ -189,7 +195,7 @@ def residual_diagnostics(residuals: DataFrame, keys: list[str]) -> DataFrame:
 
 def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise") -> FitTables:
     """Fit ``order`` to every series of ``ds``."""
-    ds = require_specified(ds, required_rows(order, len(ds.exog_vars)), on_invalid)
+    ds = require_specified(ds, required_rows(order, 0), on_invalid, lost=order.lost)
     if not is_linear(order, len(ds.exog_vars)) or ds.ragged:
         est = materialize(fit_units(one_order_units(ds, order), order.trend))
         return tables(est, unit_names(ds.exog_vars, order.trend), unit_residuals(est, ["series_id"]), ["series_id"])

@@ -31,7 +31,7 @@ def forecast_order(ds: PanelDataset, order: Order, n: int, on_invalid: str = "ra
     In quarantine mode a series without enough future variables has no forecast.
     """
     check_horizon(ds, n, on_invalid)
-    ds = require_specified(ds, required_rows(order, len(ds.exog_vars)), on_invalid)
+    ds = require_specified(ds, required_rows(order, 0), on_invalid, lost=order.lost)
     if n == 0:
         return empty_forecast(ds)
     if is_linear(order, len(ds.exog_vars)) and not ds.ragged:

@@ -71,7 +71,8 @@ def _eigen(nv: int, explained_variance: float):
         m = np.zeros((len(upper), nv, nv))
         m[:, i, j] = upper
         m[:, j, i] = upper
-        m[~np.isfinite(m).all(axis=(1, 2))] = 0.0
+        known = np.isfinite(m).all(axis=(1, 2))
+        m[~known] = 0.0
         std = np.sqrt(np.maximum(np.diagonal(m, axis1=1, axis2=2), 0.0))
         scale = np.where(std > 0, std, 1.0)
         corr = m / scale[:, :, None] / scale[:, None, :]
@@ -91,8 +92,8 @@ def _eigen(nv: int, explained_variance: float):
             k = np.minimum((cum <= explained_variance).sum(axis=1) + 1, most)
         return pd.DataFrame(
             {
-                "ratio": [ratio[r, : k[r]].tolist() for r in range(len(k))],
-                "vec": [vectors[r, : k[r]].tolist() for r in range(len(k))],
+                "ratio": [ratio[r, : k[r]].tolist() if known[r] else None for r in range(len(k))],
+                "vec": [vectors[r, : k[r]].tolist() if known[r] else None for r in range(len(k))],
             }
         )
 

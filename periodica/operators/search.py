@@ -44,7 +44,7 @@ def require_searchable(ds: PanelDataset, ranges: Sequence[range], on_invalid: st
     """Decide on counts alone, before any order is unfolded or fitted."""
     if any(len(r) == 0 for r in ranges):
         raise ValueError("an order range is empty")
-    return require_specified(ds, minimum_rows(ranges, len(ds.exog_vars)), on_invalid)
+    return require_specified(ds, minimum_rows(ranges, 0), on_invalid)
 
 
 def brute_scores(

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from periodica.errors import OverspecifiedError
 from periodica.functions.css import Order
 from periodica.operators import search
 from periodica.operators.align import PanelDataset
@@ -86,11 +87,25 @@ class _ChosenOrders:
         raise NotImplementedError
 
     def _units(self, ds: PanelDataset) -> DataFrame:
-        ds = require_specified(ds, required_rows(Order(0, 0, 0, 0, 0, 0, 2), len(ds.exog_vars)), self.on_invalid)
-        return search.units_of(ds, self.orders(ds))
+        ds = require_specified(ds, required_rows(Order(0, 0, 0, 0, 0, 0, 2), 0), self.on_invalid)
+        return self._with_orders(ds, self.orders(ds))
+
+    def _with_orders(self, ds: PanelDataset, orders: DataFrame) -> DataFrame:
+        """Series with their orders; in raise mode every series must have one."""
+        if self.on_invalid == "raise":
+            unknown = ds.realized.select("series_id").distinct().join(orders, "series_id", "left_anti")
+            if not unknown.isEmpty():
+                raise ValueError("no order was chosen for a series")
+        return search.units_of(ds, orders)
 
     def _specified(self, units: DataFrame, rows: str) -> DataFrame:
-        return units.filter(~overspecified(rows, F.col("nx"))) if self.counts_terms else units
+        """Units whose order their rows allow; in raise mode all must be."""
+        if not self.counts_terms:
+            return units
+        excess = overspecified(rows, F.col("nx")) | (F.col(rows) <= F.col("d") + F.col("m") * F.col("sd"))
+        if self.on_invalid == "raise" and not units.filter(excess).isEmpty():
+            raise OverspecifiedError("the chosen order is overspecified for a series")
+        return units.filter(~excess)
 
     def fit(self, ds: PanelDataset) -> FitTables:
         est = materialize(fit_units(self._specified(self._units(ds), "n"), self.trend))
@@ -114,12 +129,12 @@ class _ChosenOrders:
         count = window_rows if window_rows is not None else (int(window_size) if (window_size or 0) > 1 else None)
         if count is not None and self.on_invalid == "raise":
             check_window_fits(ds, count)
-        needed = required_rows(Order(0, 0, 0, 0, 0, 0, 2), len(ds.exog_vars))
+        needed = required_rows(Order(0, 0, 0, 0, 0, 0, 2), 0)
         ds = require_specified(ds, needed, self.on_invalid, window)
         if select_on not in ("all", "train"):
             raise ValueError(f"unknown select_on {select_on!r}")
         chosen = self.orders(ds if select_on == "all" else _first_window(ds, window))
-        units = search.units_of(ds, chosen).withColumn("w", window)
+        units = self._with_orders(ds, chosen).withColumn("w", window)
         return unit_rolling(self._specified(units, "w"), self.trend).drop("order_id")
 
 

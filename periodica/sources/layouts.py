@@ -185,7 +185,7 @@ def read_dated(spark: SparkSession, path: str) -> DataFrame:
     return (
         rows.withColumn("day", _sheet_day(F.get("cells", F.lit(0))))
         .filter(F.col("day").isNotNull())
-        .select("file", "line", "day", "names", F.posexplode(F.slice("cells", 2, 16384)))
+        .select("file", "line", "day", "names", F.posexplode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))))
         .select(
             "file",
             "line",

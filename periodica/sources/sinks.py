@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-OUTPUT_NAMES = ("pca", "fit", "predict", "sliding_window")
+OUTPUT_NAMES = ("data", "pca", "fit", "information", "diagnostics", "predict", "sliding_window")
 
 
 def write_table(

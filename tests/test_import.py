@@ -33,22 +33,6 @@ def test_statement_without_quarters(spark, tmp_path):
     assert statement(spark, path, "a").count() == 0
 
 
-def test_statement_two_labels(spark, tmp_path):
-    path = write(tmp_path / "a.csv", "﻿Q1 99,Description,Currency,Unit\r\n0,foo,net,pound\r\n-123.45,bla,71,smoot")
-    assert values(statement(spark, path, "bla")) == [("1999Q1", -123.45)]
-
-
-def test_statement_unsorted_quarters(spark, tmp_path):
-    text = ("﻿Currency,Unit,Description,Q1 10,Q3 09,Q4 09,\r\n,,myvar,,,,\r\n,,bla,0.2,0,0.1,\r\n"
-            ",,bad row,Q2 07,Q4 09,Q1 10,Q3 20\r\n,,jaja,,,,")
-    path = write(tmp_path / "a.csv", text)
-    assert values(statement(spark, path, "bla")) == [("2009Q3", 0.0), ("2009Q4", 0.1), ("2010Q1", 0.2)]
-    raw = read_statement(spark, path)
-    kept = {r["series_id"] for r in statement_series(raw, 2026).collect()}
-    assert kept == {"myvar", "bla", "jaja"}
-    assert {(r["series_id"], r["reason"]) for r in statement_quarantine(raw, 2026).collect()} == {("bad row", "not a number")}
-
-
 def test_statement_traps(spark, tmp_path):
     text = ('Description,Q1 11,Q1 2012,Q2 11,Q3 11\n"Total\n",1, 9 ,-, \n,,,,\nbad,"(123)",1,1,1\ncomma,"1,234",1,1,1\n'
             "twin,1,1,1,1\ntwin,2,2,2,2\ntrail ,1,1,1,1\n")
@@ -72,30 +56,10 @@ def test_quarter_label_century(spark, as_of):
     assert all(r["i"] is None for r in odd.select(quarter_label_index("label", as_of).alias("i")).collect())
 
 
-SPANISH = "enero,febrero,marzo,abril,mayo,junio,julio,agosto,septiembre,octubre,noviembre,diciembre"
-
-
 def year_month(spark, path, var="v"):
     return import_endogenous(spark, path, var, "excel_table", 2026)
 
 
-def test_year_month_grids(spark, tmp_path):
-    assert year_month(spark, write(tmp_path / "a.csv", "Year,January,MAR\n")).count() == 0
-    assert year_month(spark, write(tmp_path / "b.csv", "Year\n2001\n"), "").count() == 0
-    one = write(tmp_path / "c.csv", f"Year,{SPANISH}\n2014{',' * 12}\n2015,,,1.00001{',' * 9}\n")
-    assert values(year_month(spark, one, "hola")) == [("2015-03", 1.00001)]
-    two = write(tmp_path / "d.csv", f"Year,{SPANISH}\n2019{',' * 12}-1.1\n2020,-2.2{',' * 11}\n")
-    assert values(year_month(spark, two, "")) == [("2019-12", -1.1), ("2020-01", -2.2)]
-    full = write(tmp_path / "e.csv", "Year,JAN,Feb,march,APR,May,June,jul,AUGUST,Sept,oct,nov,dec\n2000," + ",".join(map(str, range(1, 13))) + "\n")
-    assert [v for _, v in values(year_month(spark, full, "EBITDA"))] == [float(i) for i in range(1, 13)]
-    gap = write(tmp_path / "f.csv", "Year,January,MAR\n2000,1,2\n")
-    with pytest.raises(AssertionError):
-        year_month(spark, gap)
-    unknown = write(tmp_path / "g.csv", "Year,January,Brumaire\n2000,1,2\n")
-    with pytest.raises(ImportFailed):
-        year_month(spark, unknown)
-
-
 def dated(spark, tmp_path, names, rows, name="m.csv"):
     lines = ["t,x", "01/01/1900,7", "", names, "unit,u", "src,s", *rows]
     return import_exogenous(spark, write(tmp_path / name, "\r\n".join(lines)), "macro")
@@ -105,23 +69,6 @@ def cells(df):
     return sorted((r["var"], r["ts"], r["value"]) for r in df.collect())
 
 
-def test_dated_table(spark, tmp_path):
-    assert dated(spark, tmp_path, "", []).count() == 0
-    out = cells(dated(spark, tmp_path, ",", ["01/04/2000,", "12/31/1999,123", ",99", "01/06/2000,", "01/01/2000,-456"], "a.csv"))
-    assert [(v, t.strftime("%Y-%m-%d"), x) for v, t, x in out] == [
-        ("", "1999-12-31", 123.0), ("", "2000-01-01", -456.0), ("", "2000-01-04", -456.0), ("", "2000-01-06", -456.0)]
-    out = cells(dated(spark, tmp_path, ",my_VaR", ["03/03/1931,-2000", "03/02/1931,-1000", "03/01/1931,"], "b.csv"))
-    assert [x for _, _, x in out] == [-1000.0, -1000.0, -2000.0]
-    out = cells(dated(spark, tmp_path, ',A,B,"C, quoted"', ["11/01/2021,,123,456"], "c.csv"))
-    assert out == [("B", dt.datetime(2021, 11, 1), 123.0), ("C, quoted", dt.datetime(2021, 11, 1), 456.0)]
-    with pytest.raises(ImportFailed):
-        dated(spark, tmp_path, ",A,A", ["11/01/2021,1,2"], "d.csv")
-    with pytest.raises(ImportFailed):
-        dated(spark, tmp_path, ",,", ["11/01/2021,1,2"], "e.csv")
-    with pytest.raises(ImportFailed):
-        dated(spark, tmp_path, ",A", ["soon,1"], "f.csv")
-
-
 def test_unknown_formats(spark):
     with pytest.raises(ValueError):
         import_endogenous(spark, "x", "v", "parquet", 2026)
@@ -135,17 +82,6 @@ def test_missing_file(spark):
         import_endogenous(spark, "/nowhere/a.csv", "v", "excel_table", 2026)
 
 
-def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([("a", 2, 1.5), ("a", 1, 0.5)], "series_id string, h int, prediction double")
-    out = write_table(df, str(tmp_path / "sorted"), "csv", order_by=["h"])
-    back = spark.read.option("header", True).csv(out)
-    assert [r["h"] for r in back.collect()] == ["1", "2"]
-    paths = write_outputs({"predict": df, "data": df}, str(tmp_path / "out"), "parquet")
-    assert list(paths) == ["predict"] and spark.read.parquet(paths["predict"]).count() == 2
-    with pytest.raises(ValueError):
-        write_table(df, str(tmp_path / "x"), "xlsx")
-
-
 def test_parquet_tables_of_the_same_layouts(spark, tmp_path):
     grid = spark.createDataFrame([(2001, 1.5, None), (2000, None, 2.5)], "Year int, JAN double, December double")
     grid.write.parquet(str(tmp_path / "grid.parquet"))
@@ -153,3 +89,54 @@ def test_parquet_tables_of_the_same_layouts(spark, tmp_path):
     cells = spark.createDataFrame([("bla", 1.0, None)], "Description string, `Q1 11` double, `Q2 11` double")
     cells.write.parquet(str(tmp_path / "st.parquet"))
     assert values(statement(spark, str(tmp_path / "st.parquet"), "bla")) == [("2011Q1", 1.0), ("2011Q2", 0.0)]
+
+
+def test_statement_columns_in_any_order(spark, tmp_path):
+    """Quarters are sorted, empty cells are zero, other columns and the byte-order mark do not matter."""
+    rows = {"Net sales": {"Q2 18": 40.5, "Q4 17": -3.25, "Q1 18": None, "Q3 17": 11.0}, "Costs": {"Q2 18": 1.0, "Q4 17": 2.0, "Q1 18": 3.0, "Q3 17": 4.0}}
+    heads = ["Q2 18", "Q4 17", "Q1 18", "Q3 17"]
+    lines = [",".join(["Note", *heads[:2], "Description", *heads[2:]])]
+    for name, cells in rows.items():
+        shown = ["" if cells[h] is None else str(cells[h]) for h in heads]
+        lines.append(",".join(["n", *shown[:2], name, *shown[2:]]))
+    path = write(tmp_path / "s.csv", "\ufeff" + "\n".join(lines) + "\n")
+    order = [("2017Q3", "Q3 17"), ("2017Q4", "Q4 17"), ("2018Q1", "Q1 18"), ("2018Q2", "Q2 18")]
+    for name, cells in rows.items():
+        assert values(statement(spark, path, name)) == [(p, cells[h] or 0.0) for p, h in order]
+    assert {r["series_id"] for r in statement_series(read_statement(spark, path), 2026).collect()} == set(rows)
+
+
+def test_grid_of_two_years(spark, tmp_path):
+    names = ["Jan", "february", "MAR", "Abril", "mayo", "June", "julio", "Aug", "septiembre", "Oct", "NOVIEMBRE", "dec"]
+    cells = {(2010, m): round(m * 1.25, 2) for m in range(5, 13)} | {(2011, m): -float(m) for m in range(1, 8)}
+    lines = [",".join(["Year", *names])] + [",".join([str(y), *[str(cells.get((y, m), "")) for m in range(1, 13)]]) for y in (2011, 2010)]
+    path = write(tmp_path / "grid.csv", "\n".join(lines) + "\n")
+    assert values(year_month(spark, path, "sales")) == [(f"{y}-{m:02d}", v) for (y, m), v in sorted(cells.items())]
+    holed = write(tmp_path / "holed.csv", "Year,February,May\n1990,1,2\n")
+    with pytest.raises(AssertionError):
+        year_month(spark, holed)
+    with pytest.raises(ImportFailed):
+        year_month(spark, write(tmp_path / "odd.csv", "Year,Smarch\n1990,1\n"))
+
+
+def test_dated_sheet_fills_by_day(spark, tmp_path):
+    """Rows come in any order; empty cells take the next value by day, then the last one."""
+    rows = ["07/04/2015,9,", "07/01/2015,,5", "07/02/2015,6.5,", "07/03/2015,,", ",1,1"]
+    out = cells(dated(spark, tmp_path, ',rate,"price, net",empty', [r + "," for r in rows]))
+    days = [dt.datetime(2015, 7, d) for d in (1, 2, 3, 4)]
+    want = [("price, net", d, 5.0) for d in days] + [("rate", d, v) for d, v in zip(days, (6.5, 6.5, 9.0, 9.0), strict=True)]
+    assert out == want
+    for i, (names, row) in enumerate(((",rate,rate", "07/01/2015,1,2"), (",,", "07/01/2015,1,2"), (",rate", "July,1"))):
+        with pytest.raises(ImportFailed):
+            dated(spark, tmp_path, names, [row], f"bad{i}.csv")
+
+
+def test_every_output_is_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, float(i)) for i in (5, 3, 8)], "series_id string, h int, prediction double")
+    out = write_table(df, str(tmp_path / "sorted"), "csv", order_by=["h"])
+    assert [r["h"] for r in spark.read.option("header", True).csv(out).collect()] == ["3", "5", "8"]
+    names = ["data", "pca", "fit", "information", "diagnostics", "predict", "sliding_window"]
+    paths = write_outputs(dict.fromkeys(names, df), str(tmp_path / "out"), "parquet")
+    assert sorted(paths) == sorted(names) and all(spark.read.parquet(p).count() == 3 for p in paths.values())
+    with pytest.raises(ValueError):
+        write_table(df, str(tmp_path / "x"), "xlsx")

@@ -17,111 +17,6 @@ from periodica.operators.search import auto_differencing, ocsb_critical
 RNG = np.random.default_rng(0)
 
 
-def fixed(order, seasonal):
-    return lambda ds: SARIMARegression(order, seasonal)
-
-
-def auto(order, seasonal):
-    return lambda ds: AutoARIMARegression(order, seasonal)
-
-
-def one_candidate(order, seasonal):
-    p, d, q = order
-    ranges = tuple(range(v, v + 1) for v in (*order, *seasonal))
-    return lambda ds: BruteForceARIMARegression(ds, ranges)
-
-
-MAKERS = [fixed, auto]
-
-
-def check_predictions(ds, out, n, first=24000):
-    got = out.collect()
-    counts = {}
-    for r in got:
-        counts[r["series_id"]] = counts.get(r["series_id"], 0) + 1
-        assert np.isfinite(r["prediction"])
-    ends = {r["series_id"]: r["last"] for r in ds.realized.groupBy("series_id").agg({"period_idx": "max"}).toDF("series_id", "last").collect()}
-    assert counts == ({k: n for k in ends} if n else {})
-    for r in got:
-        assert r["period_idx"] == ends[r["series_id"]] + r["h"]
-    assert [f.dataType.simpleString() for f in out.schema if f.name == "prediction"] == ["double"]
-
-
-def check_backtest(ds, out, n):
-    got = out.collect()
-    assert set(out.columns) == {"series_id", "period_idx", "prediction", "actual"}
-    assert len(got) == n
-    assert all(np.isfinite(r["prediction"]) and np.isfinite(r["actual"]) for r in got)
-    if got:
-        assert max(r["period_idx"] for r in got) == ds.realized.agg({"period_idx": "max"}).first()[0]
-
-
-@pytest.mark.parametrize("make", MAKERS)
-def test_no_regressors(panel, make):
-    ds = panel({"a": ([1.0, 2.0], [], [])}, "Q")
-    model = make((0, 0, 0), (0, 0, 0, 12))(ds)
-    assert model.fit(ds).coefficients.count() > 0
-    check_predictions(ds, model.predict(3, ds), 3)
-    with pytest.raises(OverspecifiedError):
-        model.sliding_window_forecast(ds, window_size=0.001)
-    check_backtest(ds, model.sliding_window_forecast(ds, window_size=2), 0)
-
-
-@pytest.mark.parametrize("make", MAKERS)
-def test_constant_series_one_variable(panel, make):
-    ds = panel({"a": (np.ones(7), RNG.random((7, 1)), RNG.random((5, 1)))}, n_vars=1)
-    model = make((1, 0, 0), (1, 0, 0, 2))(ds)
-    assert model.fit(ds).information.count() == 1
-    check_predictions(ds, model.predict(1, ds), 1)
-    check_backtest(ds, model.sliding_window_forecast(ds, 1.0), 0)
-    check_backtest(ds, model.sliding_window_forecast(ds, 7), 0)
-
-
-@pytest.mark.parametrize("make,n", [(fixed, 10), (auto, 1)])
-def test_overspecified(panel, make, n):
-    ds = panel({"a": (np.ones(n), RNG.random((n, 2)), RNG.random((1, 2)))}, "Y", 1999, 2)
-    model = make((1, 2, 3), (1, 1, 2, 4))(ds)
-    for call in (
-        lambda: model.fit(ds), lambda: model.predict(1, ds), lambda: model.sliding_window_forecast(ds, 0.5),
-        lambda: model.sliding_window_forecast(ds, window_rows=n),
-    ):
-        with pytest.raises(OverspecifiedError):
-            call()
-
-
-@pytest.mark.parametrize("make", MAKERS)
-def test_empty_prediction(panel, make):
-    ds = panel({"a": (np.ones(3), RNG.random((3, 1)), [])}, "D", 15340, 1)
-    model = make((0, 0, 0), (0, 0, 0, 12))(ds)
-    check_predictions(ds, model.predict(0, ds), 0)
-    with pytest.raises(ValueError):
-        model.predict(1, ds)
-    with pytest.raises(ValueError):
-        model.predict(-1, ds)
-    check_backtest(ds, model.sliding_window_forecast(ds, 0.8), 0)
-    check_backtest(ds, model.sliding_window_forecast(ds, 3), 0)
-
-
-@pytest.mark.parametrize("make", MAKERS)
-def test_one_observation(panel, make):
-    ds = panel({"a": ([1.0], [], [])}, "Q")
-    model = make((0, 0, 0), (0, 0, 0, 12))(ds)
-    for call in (lambda: model.fit(ds), lambda: model.predict(1, ds), lambda: model.sliding_window_forecast(ds, 1)):
-        with pytest.raises(OverspecifiedError):
-            call()
-
-
-@pytest.mark.parametrize("make", MAKERS)
-def test_no_variables_sliding_window(panel, make):
-    ds = panel({"a": (RNG.random(11), [], [])})
-    check_backtest(ds, make((0, 0, 0), (0, 0, 0, 12))(ds).sliding_window_forecast(ds, 0.8), 2)
-
-
-def test_three_rows(panel):
-    ds = panel({"a": (RNG.random(3), [], [])})
-    check_backtest(ds, SARIMARegression((0, 0, 0), (0, 0, 0, 2)).sliding_window_forecast(ds, window_rows=2), 1)
-
-
 def test_bad_windows_and_orders(panel):
     ds = panel({"a": (RNG.random(11), [], [])})
     model = SARIMARegression()
@@ -135,17 +30,6 @@ def test_bad_windows_and_orders(panel):
     assert AutoARIMARegression().p_d_q_order == (2, None, 2)
 
 
-def test_repeated_lags(panel, spark):
-    with pytest.raises(ValueError):
-        SARIMARegression((2, 1, 1), (2, 3, 1, 2))
-    AutoARIMARegression((2, 1, 1), (2, 3, 1, 2))
-    assert repeated_lags((2, 1, 1), (2, 3, 1, 2)) == {2}
-    assert repeated_lags((0, 0, 4), (0, 0, 2, 2)) == {2, 4}
-    cases = [((p, 0, q), (sp, 0, sq, m)) for p in range(4) for q in range(3) for sp in range(3) for sq in range(2) for m in (2, 3)]
-    got = orders_table(spark, cases).withColumn("r", repeats()).orderBy("order_id").collect()
-    assert [r["r"] for r in got] == [bool(repeated_lags(*c)) for c in cases]
-
-
 def test_order_grid_is_lexicographic(spark):
     import itertools
 
@@ -160,37 +44,6 @@ def test_order_rules(series, spark):
         ("a", 0): True, ("b", 0): False, ("a", 1): False, ("b", 1): False}
 
 
-def test_one_candidate(panel):
-    ds = panel({"a": (RNG.random(3), [], [])})
-    model = BruteForceARIMARegression(ds, (range(1), range(1), range(1), range(1), range(1), range(1), range(2, 3)))
-    best = model.orders().first()
-    assert tuple(best[c] for c in ("p", "d", "q", "sp", "sd", "sq", "m")) == (0, 0, 0, 0, 0, 0, 2)
-    check_predictions(ds, model.predict(2, ds), 2)
-    check_backtest(ds, model.sliding_window_forecast(ds, window_rows=2), 1)
-    assert model.fit(ds).coefficients.count() == 2
-
-
-def test_every_order_overspecified_fails_fast(panel):
-    ds = panel({"a": (RNG.random(18), RNG.random((18, 10)), [])}, n_vars=10)
-    ds.df.count()
-    start = time.time()
-    with pytest.raises(OverspecifiedError):
-        BruteForceARIMARegression(ds, (range(1, 3), range(2, 5), range(1, 4), range(2, 10), range(1, 14), range(3, 12), range(6, 100)))
-    assert time.time() - start < 5  # counts only, no order is unfolded
-
-
-def test_every_order_repeats_lags(panel):
-    ds = panel({"a": (RNG.random(7), RNG.random((7, 1)), [])}, n_vars=1)
-    with pytest.raises(ValueError):
-        BruteForceARIMARegression(ds, (range(2, 3), range(1), range(1), range(1, 2), range(1), range(1), range(2, 3)))
-
-
-def test_two_rows_overspecified(panel):
-    ds = panel({"a": (RNG.random(2), [], [])})
-    with pytest.raises(OverspecifiedError):
-        BruteForceARIMARegression(ds, tuple(range(1) for _ in range(7)))
-
-
 def test_brute_choice_equals_direct_search(panel):
     t = np.arange(40)
     ds = panel({"a": (RNG.normal(size=40).cumsum(), [], []), "b": (np.sin(t * np.pi / 2) * 5 + RNG.normal(size=40), [], [])})
@@ -242,7 +95,7 @@ def test_auto_finds_autoregression(panel):
     best = AutoARIMARegression((0, 0, 0), (0, 0, 0, 4)).orders(ds).first()
     assert best["p"] + best["q"] >= 1 and best["d"] == 0 and best["sd"] == 0
     train = AutoARIMARegression((0, 0, 0), (0, 0, 0, 4)).sliding_window_forecast(ds, window_rows=290, select_on="train")
-    check_backtest(ds, train, 10)
+    assert train.count() == 10
 
 
 def test_quarantine_leaves_series_out(panel):
@@ -259,7 +112,7 @@ def test_short_series_with_long_lags(panel):
     """A series or window without a complete row of lags still gets an answer."""
     ds = panel({"short": (RNG.random(10), [], []), "long": (RNG.random(40), [], [])})
     model = SARIMARegression((0, 0, 0), (1, 0, 0, 12))
-    check_predictions(ds, model.predict(3, ds), 3)
+    assert model.predict(3, ds).count() == 6
     assert {r["series_id"] for r in model.fit(ds).information.collect()} == {"short", "long"}
     back = model.sliding_window_forecast(ds, 0.8).collect()
     assert sum(r["series_id"] == "short" for r in back) == 2 and sum(r["series_id"] == "long" for r in back) == 8
@@ -289,3 +142,137 @@ def test_perfect_fit_has_no_division_by_zero(panel):
     ds = panel({"line": (np.arange(20.0), [], []), "flat": (np.zeros(20), [], [])})
     out = SARIMARegression().fit(ds)
     assert out.diagnostics.count() == 2 and out.information.count() == 2 and out.coefficients.count() == 4
+
+
+def line_after(y, steps):
+    """The least-squares line through ``y``, carried on."""
+    t = np.arange(len(y) + steps)
+    slope, level = np.polyfit(t[: len(y)], y, 1)
+    return (level + slope * t)[len(y) :]
+
+
+def by_series(out, value="prediction"):
+    found = {}
+    for r in out.orderBy("series_id", "period_idx").collect():
+        found.setdefault(r["series_id"], []).append((r["period_idx"], r[value]))
+    return found
+
+
+def test_trend_forecast_is_the_least_squares_line(panel):
+    data = {"up": 4 + 0.3 * np.arange(23) + RNG.normal(size=23), "down": -0.8 * np.arange(31) + RNG.normal(size=31)}
+    ds = panel({k: (y, [], []) for k, y in data.items()}, first=500)
+    model = SARIMARegression((0, 0, 0), (0, 0, 0, 7))
+    got = by_series(model.predict(4, ds))
+    for k, y in data.items():
+        assert [i for i, _ in got[k]] == [500 + len(y) + h for h in range(4)]
+        assert [v for _, v in got[k]] == pytest.approx(line_after(y, 4), abs=1e-7)
+    back = model.sliding_window_forecast(ds, window_rows=15)
+    got, actual = by_series(back), by_series(back, "actual")
+    for k, y in data.items():
+        assert [v for _, v in got[k]] == pytest.approx([line_after(y[i - 15 : i], 1)[0] for i in range(15, len(y))], abs=1e-6)
+        assert [v for _, v in actual[k]] == list(y[15:])
+
+
+def test_exact_regressor_and_its_horizon(panel):
+    x = RNG.normal(size=(29, 1))
+    y = 3 - 0.2 * np.arange(29) + 1.5 * x[:, 0]
+    ds = panel({"s": (y[:26], x[:26], x[26:])}, n_vars=1)
+    model = SARIMARegression((0, 0, 0), (0, 0, 0, 6))
+    assert [v for _, v in by_series(model.predict(3, ds))["s"]] == pytest.approx(y[26:], abs=1e-7)
+    assert model.predict(0, ds).count() == 0
+    for steps in (4, -2):
+        with pytest.raises(ValueError):
+            model.predict(steps, ds)
+
+
+@pytest.mark.parametrize("kind", ["fixed", "auto", "brute"])
+def test_fewest_rows_a_model_takes(panel, kind):
+    """Two trend terms, one error variance, one per variable; fixed and searched orders count their own terms too."""
+    own = 0 if kind == "auto" else 2
+    order, seasonal = (1, 0, 0), (0, 0, 1, 5)
+
+    def run(n):
+        ds = panel({"s": (RNG.normal(size=n), RNG.normal(size=(n, 2)), [])}, n_vars=2)
+        if kind == "brute":
+            return BruteForceARIMARegression(ds, tuple(range(v, v + 1) for v in (*order, *seasonal))).fit(ds)
+        return (SARIMARegression if kind == "fixed" else AutoARIMARegression)(order, seasonal).fit(ds)
+
+    with pytest.raises(OverspecifiedError):
+        run(4 + own)
+    assert run(14 + own).information.count() == 1
+
+
+def test_lags_named_twice(spark):
+    cases = [((p, 0, q), (sp, 0, sq, m)) for p in range(5) for q in range(2) for sp in range(3) for sq in range(3) for m in (2, 4)]
+    for order, seasonal in cases:
+        m = seasonal[3]
+        want = {i for i in range(1, order[0] + 1) if i % m == 0 and i <= m * seasonal[0]} | {i for i in range(1, order[2] + 1) if i % m == 0 and i <= m * seasonal[2]}
+        assert set(repeated_lags(order, seasonal)) == want
+    got = orders_table(spark, cases).withColumn("r", repeats()).orderBy("order_id").collect()
+    assert [r["r"] for r in got] == [bool(repeated_lags(*c)) for c in cases]
+    with pytest.raises(ValueError):
+        SARIMARegression((4, 0, 0), (1, 0, 0, 4))
+    SARIMARegression((3, 0, 0), (1, 0, 0, 4))
+
+
+def test_grid_of_one_order_equals_the_fixed_model(panel):
+    y = np.zeros(60)
+    for t in range(1, 60):
+        y[t] = 0.6 * y[t - 1] + RNG.normal()
+    ds = panel({"s": (y, [], [])})
+    brute = BruteForceARIMARegression(ds, (range(1, 2), range(1), range(1), range(1), range(1), range(1), range(5, 6)))
+    fixed = SARIMARegression((1, 0, 0), (0, 0, 0, 5))
+    assert [v for _, v in by_series(brute.predict(3, ds))["s"]] == pytest.approx([v for _, v in by_series(fixed.predict(3, ds))["s"]], rel=1e-3, abs=1e-3)
+
+
+def test_hopeless_grids_are_refused_at_once(panel):
+    ds = panel({"s": (RNG.normal(size=16), RNG.normal(size=(16, 6)), [])}, n_vars=6)
+    ranges = (range(3, 9), range(2), range(4, 7), range(1, 30), range(2), range(1, 25), range(9, 80))
+    for limit in (60, 1):  # the second call meets a warm session
+        start = time.time()
+        with pytest.raises(OverspecifiedError):
+            BruteForceARIMARegression(ds, ranges)
+        assert time.time() - start < limit
+    plain = panel({"s": (RNG.normal(size=30), [], [])})
+    with pytest.raises(ValueError):
+        BruteForceARIMARegression(plain, (range(3, 4), range(1), range(1), range(1, 2), range(1), range(1), range(3, 4)))
+
+
+def test_components_count_not_variables(panel):
+    base = RNG.normal(size=13)
+    x = np.outer(base, np.arange(1, 11)) + 1e-3 * RNG.normal(size=(13, 10))
+    ds = panel({"s": (RNG.normal(size=13), x, [])}, n_vars=10)
+    with pytest.raises(OverspecifiedError):
+        SARIMARegression((1, 0, 0), (0, 0, 0, 4)).fit(ds)
+    assert SARIMARegression((1, 0, 0), (0, 0, 0, 4)).fit(ds.PCA(0.8)).information.count() == 1
+
+
+def test_a_repeat_does_not_hide_a_gap(panel, spark):
+    from dataclasses import replace
+
+    from periodica import InvariantError
+
+    ds = panel({"ok": (RNG.normal(size=9), [], []), "twice": (RNG.normal(size=9), [], [])})
+    bad = replace(ds, df=ds.df.selectExpr("series_id", "IF(series_id = 'twice' AND period_idx = 24002, 24001, period_idx) AS period_idx", "is_future", "y", "x"))
+    with pytest.raises(InvariantError):
+        SARIMARegression().fit(bad)
+    assert {r["series_id"] for r in SARIMARegression(on_invalid="quarantine").fit(bad).information.collect()} == {"ok"}
+
+
+def test_differencing_longer_than_a_series(panel):
+    ds = panel({"ten": (RNG.normal(size=10), [], []), "forty": (RNG.normal(size=40), [], [])})
+    for order in ((0, 0, 0), (0, 0, 1)):
+        for call in (lambda m: m.fit(ds), lambda m: m.predict(1, ds)):
+            with pytest.raises(OverspecifiedError):
+                call(SARIMARegression(order, (0, 1, 0, 12)))
+        lenient = SARIMARegression(order, (0, 1, 0, 12), on_invalid="quarantine")
+        assert {r["series_id"] for r in lenient.predict(1, ds).collect()} == {"forty"}
+
+
+def test_chosen_orders_meet_other_series(panel):
+    ds = panel({"s": (RNG.normal(size=30), [], [])})
+    model = BruteForceARIMARegression(ds, (range(2, 3), range(1), range(2, 3), range(1), range(1), range(1), range(4, 5)))
+    with pytest.raises(OverspecifiedError):
+        model.fit(panel({"s": (RNG.normal(size=5), [], [])}))
+    with pytest.raises(ValueError):
+        model.predict(1, panel({"other": (RNG.normal(size=30), [], [])}))
