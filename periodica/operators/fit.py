@@ -54,11 +54,11 @@ def require_specified(
         "_lo": F.min("period_idx"),
         "_hi": F.max("period_idx"),
         "_all": F.count("*"),
-        "_nx": F.coalesce(F.max(F.size("x")), F.lit(0)),
+        "_nx": F.max(F.size("x")),
     }
     rows = F.col("n") if window is None else window
     whole = (F.col("_bad") == 0) & (F.col("_hi") - F.col("_lo") + 1 == F.col("_all")) & F.col("_once")
-    short = (rows < F.col("_nx") + needed) | (rows <= lost)
+    short = (rows < F.coalesce("_nx", F.lit(0)) + needed) | (rows <= lost)
     if on_invalid == "raise":
         once = (F.count_distinct("period_idx") == F.count("*")).alias("_once")
         per = ds.df.groupBy("series_id").agg(*[c.alias(k) for k, c in facts.items()], once)

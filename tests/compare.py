@@ -6,7 +6,7 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -20,26 +20,37 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def normal(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)]
-    return df.sort_values(list(df.columns), na_position="last").reset_index(drop=True) if len(df.columns) else df
-
-
-def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
-    a, b = normal(spark_df), normal(sql_df)
-    if list(a.columns) != list(b.columns):
-        return f"columns {list(a.columns)} / {list(b.columns)}"
-    if len(a) != len(b):
-        return f"rows {len(a)} / {len(b)}"
-    for c in a.columns:
-        x, y = a[c].astype(object), b[c].astype(object)
-        differs = ~((x == y) | (x.isna() & y.isna()))
-        if differs.any():
-            i = differs.idxmax()
-            return f"column {c}: {int(differs.sum())} of {len(a)} differ, e.g. {x[i]!r} / {y[i]!r}"
-        kinds = a[c].dtype.kind, b[c].dtype.kind
-        if len(a) and kinds[0] != kinds[1]:
-            return f"column {c}: type {a[c].dtype} / {b[c].dtype}"
+def kind(t: pa.DataType) -> str:
+    """Integers of any width are one kind, and so are floats; other types stand for themselves."""
+    if pa.types.is_integer(t):
+        return "integer"
+    if pa.types.is_floating(t):
+        return "float"
+    if pa.types.is_string(t) or pa.types.is_large_string(t):
+        return "string"
+    return str(t)
+
+
+def sorted_rows(t: pa.Table, columns: list[str]) -> list[tuple]:
+    rows = zip(*[t.column(c).to_pylist() for c in columns])
+    return sorted(rows, key=lambda r: [(v is None, 0 if v is None else v) for v in r])
+
+
+def difference(spark_table: pa.Table, sql_table: pa.Table) -> str | None:
+    """What differs between two tables whose row order does not count, or None."""
+    columns = sorted(spark_table.column_names)
+    if columns != sorted(sql_table.column_names):
+        return f"columns {columns} / {sorted(sql_table.column_names)}"
+    if spark_table.num_rows != sql_table.num_rows:
+        return f"rows {spark_table.num_rows} / {sql_table.num_rows}"
+    for c in columns:
+        kinds = kind(spark_table.schema.field(c).type), kind(sql_table.schema.field(c).type)
+        if kinds[0] != kinds[1]:
+            return f"column {c}: type {kinds[0]} / {kinds[1]}"
+    pairs = zip(sorted_rows(spark_table, columns), sorted_rows(sql_table, columns))
+    for a, b in pairs:
+        if a != b:
+            return f"row {dict(zip(columns, a))} / {dict(zip(columns, b))}"
     return None
 
 
@@ -55,7 +66,7 @@ def main(sf_dir: str, only: list[str]) -> int:
             continue
         start = time.time()
         try:
-            got = build(spark, sf_dir).toPandas()
+            got = build(spark, sf_dir).toArrow()
         except Exception as err:  # noqa: BLE001
             print(f"FAIL {name}: {str(err)[:600]}")
             bad += 1
@@ -65,11 +76,11 @@ def main(sf_dir: str, only: list[str]) -> int:
         note = "no sql"
         if sql is not None:
             try:
-                note = difference(got, con.execute(sql).fetchdf()) or "match"
+                note = difference(got, con.execute(sql).to_arrow_table()) or "match"
             except Exception as err:  # noqa: BLE001
                 note = f"sql error {str(err)[:400]}"
             bad += note != "match"
-        print(f"{'ok  ' if note in ('match', 'no sql') else 'FAIL'} {name}: {len(got)} rows, {took:.2f}s, {note}", flush=True)
+        print(f"{'ok  ' if note in ('match', 'no sql') else 'FAIL'} {name}: {got.num_rows} rows, {took:.2f}s, {note}", flush=True)
     return bad
 
 

@@ -22,11 +22,11 @@ def pytest_generate_tests(metafunc):
 def test_query(spark, con, sf_dir, query):
     import __spark_entry__ as entry
 
-    got = entry.queries()[query](spark, sf_dir).toPandas()
+    got = entry.queries()[query](spark, sf_dir).toArrow()
     sql = entry.oracle_sql().get(query)
-    assert len(got) > 0
+    assert got.num_rows > 0
     if sql is not None:
-        assert difference(got, con.execute(sql).fetchdf()) is None
+        assert difference(got, con.execute(sql).to_arrow_table()) is None
 
 
 def test_every_oracle_has_a_query():
