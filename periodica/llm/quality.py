@@ -247,7 +247,8 @@ def fit(train: DataFrame) -> Model:
     share = np.minimum(1.0, FIT_ROWS / 2 / rows)
     parts = 1 << 20
     least = F.when(F.col("label") == 1, int(share[1] * parts)).otherwise(int(share[0] * parts))
-    drawn = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(parts)) < least
+    place = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(parts))
+    drawn = (place < int(share.max() * parts)) & (place < least)  # the first part needs no label, so it reaches the scan of texts
     shipped = train.sparkSession.sparkContext.broadcast((ratios, share))
 
     def solve(batches):
@@ -297,10 +298,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled documents that are not held out; only their texts and labels are used."""
+    """A model from the labelled documents that are not held out; only their texts and labels are used.
+
+    Texts meet labels in a sort-merge join at every size: labels grow with the documents, so they are never broadcast.
+    """
     texts = docs.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     known = one_label(labels, "doc_id", "quality").filter(~held_out(F.col("id")))
-    return fit(texts.join(known, "id"))
+    return fit(texts.hint("merge").join(known, "id"))
 
 
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
