@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from periodica.functions.css import Order
 from periodica.operators.align import PanelDataset
 from periodica.operators.fit import one_order_units, require_specified, required_rows, split_by_rows
-from periodica.operators.moments import is_linear, linear_rolling
+from periodica.operators.moments import linear_rolling, on_moments
 from periodica.operators.units import rolling_udf, unit_columns
 
 
@@ -58,12 +58,12 @@ def sliding_window_forecast(
     ds = require_specified(ds, required_rows(order, 0, auto), on_invalid, window)
     span = order.lost + order.ar_span
     rest, out = ds, None
-    if is_linear(order, len(ds.exog_vars)) and not ds.ragged and (count is None or count > span):
+    if on_moments(order, len(ds.exog_vars)) and not ds.ragged and (count is None or count > span):
         if count is None and span:  # windows that hold no complete row of lags go the other way
             ds, rest = split_by_rows(ds, window > span)
         else:
             rest = None
-        out = linear_rolling(ds, order, window, count)
+        out = linear_rolling(ds, order, window)
         if rest is None:
             return out
     units = unit_rolling(one_order_units(rest, order).withColumn("w", window), order.trend).drop("order_id")

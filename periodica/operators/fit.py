@@ -11,7 +11,7 @@ from periodica.errors import InvariantError, OverspecifiedError
 from periodica.functions.css import Order
 from periodica.functions.tails import f_two_sided, normal_two_sided
 from periodica.operators.align import PanelDataset
-from periodica.operators.moments import is_linear, linear_estimates, linear_fit, linear_residuals
+from periodica.operators.moments import linear_estimates, linear_fit, linear_residuals, on_moments
 from periodica.operators.orders import ORDER_COLS, TREND_TERMS
 from periodica.operators.panel import dataset_arrays
 from periodica.operators.units import fit_udf, unit_columns
@@ -196,12 +196,12 @@ def residual_diagnostics(residuals: DataFrame, keys: list[str]) -> DataFrame:
 def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise") -> FitTables:
     """Fit ``order`` to every series of ``ds``."""
     ds = require_specified(ds, required_rows(order, 0), on_invalid, lost=order.lost)
-    if not is_linear(order, len(ds.exog_vars)) or ds.ragged:
+    if not on_moments(order, len(ds.exog_vars)) or ds.ragged:
         est = materialize(fit_units(one_order_units(ds, order), order.trend))
         return tables(est, unit_names(ds.exog_vars, order.trend), unit_residuals(est, ["series_id"]), ["series_id"])
     ds, short = split_short(ds, order)
     fits = materialize(linear_fit(ds, order))
-    est = linear_estimates(ds, order, fits)
+    est = linear_estimates(ds, order, fits).drop("converged")
     residuals = linear_residuals(ds, order, fits).select("series_id", "period_idx", "resid")
     if short is not None:
         rest = materialize(fit_units(one_order_units(short, order), order.trend))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from periodica.functions.css import Order
 from periodica.operators.align import PanelDataset
 from periodica.operators.fit import fit_units, one_order_units, require_specified, required_rows, split_short
-from periodica.operators.moments import is_linear, linear_fit, linear_forecast, raw_coefficients
+from periodica.operators.moments import linear_fit, linear_forecast, on_moments, raw_coefficients
 
 FORECAST_SCHEMA = "series_id string, h int, period_idx bigint, prediction double"
 
@@ -34,7 +34,7 @@ def forecast_order(ds: PanelDataset, order: Order, n: int, on_invalid: str = "ra
     ds = require_specified(ds, required_rows(order, 0), on_invalid, lost=order.lost)
     if n == 0:
         return empty_forecast(ds)
-    if is_linear(order, len(ds.exog_vars)) and not ds.ragged:
+    if on_moments(order, len(ds.exog_vars)) and not ds.ragged:
         ds, short = split_short(ds, order)
         est = raw_coefficients(linear_fit(ds, order), order, len(ds.exog_vars))
         out = linear_forecast(ds, order, est, n).filter(F.col("prediction").isNotNull())

@@ -1,34 +1,39 @@
-"""Linear orders as Spark moments: lags by window, cross products by aggregation.
+"""Autoregressive orders as Spark moments: lags by window, cross products by aggregation.
 
-An order without moving-average terms and without a product of lag polynomials
-is ordinary least squares on ``[1, t, differenced x, lagged z]``. Spark builds the
-design columns and sums their products (whole series or sliding window); only the
-small symmetric matrices reach numpy, one stacked solve per Arrow batch.
+Without moving-average terms the model needs only the products of ``[1, t, differenced x, lagged z, lagged x]``: ordinary
+least squares where its coefficients are free, and an iteration on the same matrix where lag polynomials multiply
+(:mod:`periodica.operators.lag_products`). Spark builds the design columns and sums their products (whole series or
+sliding window); only the small symmetric matrices reach numpy, one stacked solve per Arrow batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.functions.css import Order, pull_inside
 from periodica.operators.align import PanelDataset
+from periodica.operators.lag_products import LagProduct, design_width, product_lags, scaled_pinv, unpack
 
 #: Beyond this many design columns the products no longer fit one aggregation.
 MAX_COLUMNS = 40
+#: Orders whose windows are unfolded next to a row in one plan.
+ORDERS_PER_PLAN = 32
 
 
-def is_linear(order: Order, n_exog: int) -> bool:
-    lag_terms = order.p + order.sp
-    one_kind = order.p == 0 or order.sp == 0
-    no_product = n_exog == 0 or lag_terms == 0
-    width = order.trend_cols + n_exog + lag_terms
-    return order.q + order.sq == 0 and one_kind and no_product and width <= MAX_COLUMNS
+def on_moments(order: Order, n_exog: int) -> bool:
+    """Whether an order is answered by sums of products (no moving-average terms, not too wide)."""
+    return order.q + order.sq == 0 and design_width(order, n_exog) <= MAX_COLUMNS
 
 
-def lag_steps(order: Order) -> list[int]:
-    return list(range(1, order.p + 1)) + [order.m * i for i in range(1, order.sp + 1)]
+def is_linear(order: Order, n_exog: int) -> bool:
+    """Whether its coefficients are free, so that one least-squares solve answers it."""
+    one_kind = order.p == 0 or order.sp == 0
+    no_product = n_exog == 0 or order.p + order.sp == 0
+    return on_moments(order, n_exog) and one_kind and no_product
 
 
 def centered(order: Order) -> bool:
@@ -68,10 +73,14 @@ def design(ds: PanelDataset, order: Order) -> DataFrame:
         rows = rows.select(
             *keep, *[(F.col(c) - F.lag(c, step).over(run)).alias(c) for c in ["z", *[f"_x{i}" for i in range(nv)]]]
         )
-    steps = lag_steps(order)
-    rows = rows.select("*", *[F.lag("z", s).over(run).alias(f"_l{s}") for s in steps])
+    steps = product_lags(order)
+    rows = rows.select(
+        "*", *[F.lag("z", s).over(run).alias(f"_l{s}") for s in steps],
+        *[F.lag(f"_x{i}", s).over(run).alias(f"_x{i}l{s}") for s in steps for i in range(nv)],
+    )
     trend = [F.lit(1.0), F.col("t")] if order.trend == "ct" else [F.col("t")]
     parts = trend + [F.col(f"_x{i}") for i in range(nv)] + [F.col(f"_l{s}") for s in steps]
+    parts += [F.col(f"_x{i}l{s}") for s in steps for i in range(nv)]
     ready = F.col("t") > order.lost + order.ar_span
     return rows.select(
         "series_id", "period_idx", "t", "n", "y", "z", "y_mean",
@@ -80,41 +89,24 @@ def design(ds: PanelDataset, order: Order) -> DataFrame:
     )
 
 
-def width(order: Order, n_exog: int) -> int:
-    return order.trend_cols + n_exog + order.p + order.sp
-
-
 def products(k: int) -> list[Column]:
     """Upper triangle of the outer product of ``(v, z)``, row by row."""
     cols = [F.get("v", F.lit(i)) for i in range(k)] + [F.col("z")]
     return [cols[i] * cols[j] for i in range(k + 1) for j in range(i, k + 1)]
 
 
-def unpack(upper: np.ndarray, k: int) -> np.ndarray:
-    i, j = np.triu_indices(k)
-    out = np.zeros((len(upper), k, k))
-    out[:, i, j] = upper
-    out[:, j, i] = upper
-    return out
-
-
-def scaled_pinv(g: np.ndarray, rcond: float) -> np.ndarray:
-    scale = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 0.0))
-    scale[scale == 0] = 1.0
-    outer = scale[:, :, None] * scale[:, None, :]
-    broken = ~np.isfinite(g).all(axis=(1, 2))
-    safe = np.where(broken[:, None, None], np.eye(g.shape[1]), g / outer)
-    out = np.linalg.pinv(safe, rcond=rcond, hermitian=True) / outer
-    out[broken] = np.nan
-    return out
-
-
 def gram_solver(order: Order, n_exog: int):
-    """Coefficients and residual sum of squares from packed products."""
-    k, terms = width(order, n_exog), order.p + order.sp
-    @F.pandas_udf("coef array<double>, adjusted boolean")
+    """Parameters and design coefficients from packed products."""
+    k, terms = design_width(order, n_exog), order.p + order.sp
+    free = is_linear(order, n_exog)
+    product = LagProduct(order, n_exog)
+
+    @F.pandas_udf("coef array<double>, par array<double>, adjusted boolean, converged boolean")
     def solve(packed: pd.Series) -> pd.DataFrame:
         g = unpack(np.stack(packed.to_numpy()).astype(float), k + 1)
+        if not free:
+            s = product.solve(g)
+            return pd.DataFrame({"coef": s.coef.tolist(), "par": s.par.tolist(), "adjusted": s.adjusted, "converged": s.converged})
         a, b = g[:, :k, :k], g[:, :k, k]
         coef = np.einsum("bij,bj->bi", scaled_pinv(a, 1e-11), b)
         hit = np.zeros(len(coef), dtype=bool)
@@ -125,22 +117,25 @@ def gram_solver(order: Order, n_exog: int):
                 rest = b[hit, :f] - np.einsum("bij,bj->bi", a[hit][:, :f, f:], inside[hit])
                 coef[hit, :f] = np.einsum("bij,bj->bi", scaled_pinv(a[hit][:, :f, :f], 1e-11), rest)
                 coef[hit, f:] = inside[hit]
-        return pd.DataFrame({"coef": coef.tolist(), "adjusted": hit})
+        return pd.DataFrame({"coef": coef.tolist(), "par": coef.tolist(), "adjusted": hit, "converged": True})
 
     return solve.asNondeterministic()  # never copied into a filter above it
 
 
 def linear_fit(ds: PanelDataset, order: Order) -> DataFrame:
-    """``(series_id, n, n_eff, coef, adjusted)`` from one grouped pass."""
+    """``(series_id, n, n_eff, gram, y_mean, x_mean, coef, par, adjusted, converged)`` from one grouped pass.
+
+    ``coef`` are the coefficients of the design columns, ``par`` the parameters they follow from.
+    """
     nv = len(ds.exog_vars)
     rows = design(ds, order).filter(F.col("v").isNotNull())
-    sums = [F.sum(c) for c in products(width(order, nv))]
+    sums = [F.sum(c) for c in products(design_width(order, nv))]
     grams = rows.groupBy("series_id").agg(
         F.first("n").alias("n"), F.count("*").alias("n_eff"), F.array(*sums).alias("gram"),
         F.first("y_mean").alias("y_mean"), F.first("x_mean").alias("x_mean"),
     )
     return grams.withColumn("_s", gram_solver(order, nv)("gram")).select(
-        "series_id", "n", "n_eff", "gram", "y_mean", "x_mean", "_s.coef", "_s.adjusted"
+        "series_id", "n", "n_eff", "gram", "y_mean", "x_mean", "_s.coef", "_s.par", "_s.adjusted", "_s.converged"
     )
 
 
@@ -148,19 +143,25 @@ def fitted(v: Column, coef: Column) -> Column:
     return F.aggregate(F.zip_with(v, coef, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def lag_gain(par: Column, order: Order, n_exog: int) -> Column:
+    """``phi(1) Phi(1)`` of the parameters: what the lag polynomials leave of a constant."""
+    first, gain = order.trend_cols + n_exog, F.lit(1.0)
+    for start, count in ((first, order.p), (first + order.p, order.sp)):
+        if count:
+            gain = gain * (1 - F.aggregate(F.slice(par, start + 1, count), F.lit(0.0), lambda s, v: s + v))
+    return gain
+
+
 def raw_coefficients(fits: DataFrame, order: Order, n_exog: int) -> DataFrame:
-    """Add ``est``: the coefficients for the uncentred data, by expression only."""
+    """Add ``est``: the parameters for the uncentred data, by expression only."""
     if not centered(order):
-        return fits.withColumn("est", F.col("coef"))
-    terms = order.p + order.sp
-    shift = F.col("y_mean")
-    if terms:
-        lags = F.slice("coef", -terms, terms)
-        shift = shift * (1 - F.aggregate(lags, F.lit(0.0), lambda s, v: s + v))
+        return fits.withColumn("est", F.col("par"))
+    level = F.col("y_mean")
     if n_exog:
-        shift = shift - fitted(F.slice("coef", 3, n_exog), F.col("x_mean"))
-    rest = F.slice("coef", 2, width(order, n_exog))
-    return fits.withColumn("est", F.concat(F.array(F.col("coef")[0] + shift), rest))
+        level = level - fitted(F.slice("par", 3, n_exog), F.col("x_mean"))
+    shift = level * lag_gain(F.col("par"), order, n_exog)
+    rest = F.slice("par", 2, 1 + n_exog + order.p + order.sp)
+    return fits.withColumn("est", F.concat(F.array(F.col("par")[0] + shift), rest))
 
 
 def linear_residuals(ds: PanelDataset, order: Order, fits: DataFrame) -> DataFrame:
@@ -176,33 +177,39 @@ def linear_estimates(ds: PanelDataset, order: Order, fits: DataFrame) -> DataFra
 
     The second pass sums squared residuals times the products of the regressors.
     """
-    nv, k = len(ds.exog_vars), width(order, len(ds.exog_vars))
+    nv = len(ds.exog_vars)
+    k = design_width(order, nv)
     res = linear_residuals(ds, order, fits)
     e2 = F.col("resid") * F.col("resid")
     v = [F.get("v", F.lit(i)) for i in range(k)]
     meat = [F.sum(e2 * v[i] * v[j]) for i in range(k) for j in range(i, k)]
     sums = res.groupBy("series_id").agg(F.sum(e2).alias("sse"), F.array(*meat).alias("meat"))
-    terms, shift = order.p + order.sp, centered(order)
+    shift, product, g = centered(order), LagProduct(order, nv), order.trend_cols
 
     @F.pandas_udf("array<double>")
-    def errors(gram: pd.Series, meat: pd.Series, y_mean: pd.Series, x_mean: pd.Series) -> pd.Series:
-        a = unpack(np.stack(gram.to_numpy()).astype(float), k + 1)[:, :k, :k]
+    def errors(gram: pd.Series, meat: pd.Series, par: pd.Series, y_mean: pd.Series, x_mean: pd.Series) -> pd.Series:
+        p = np.stack(par.to_numpy()).astype(float)
+        d = product.jacobian(p)
+        a = np.swapaxes(d, 1, 2) @ unpack(np.stack(gram.to_numpy()).astype(float), k + 1)[:, :k, :k] @ d
         bread = scaled_pinv(a, 1e-13)
-        cov = bread @ unpack(np.stack(meat.to_numpy()).astype(float), k) @ bread
-        to_raw = np.tile(np.eye(k), (len(cov), 1, 1))
-        if shift:  # intercept of the uncentred data is linear in the other coefficients
+        cov = bread @ (np.swapaxes(d, 1, 2) @ unpack(np.stack(meat.to_numpy()).astype(float), k) @ d) @ bread
+        to_raw = np.tile(np.eye(d.shape[2]), (len(cov), 1, 1))
+        if shift:  # the intercept of the uncentred data moves with the other parameters
+            lag_sum, by_lag = product.polynomial(p[:, g + nv :])
+            level = y_mean.to_numpy()
             if nv:
-                to_raw[:, 0, 2 : 2 + nv] = -np.stack(x_mean.to_numpy())
-            if terms:
-                to_raw[:, 0, k - terms :] = -y_mean.to_numpy()[:, None]
+                means = np.stack(x_mean.to_numpy())
+                level = level - (p[:, g : g + nv] * means).sum(axis=1)
+                to_raw[:, 0, g : g + nv] = -means * (1.0 - lag_sum.sum(axis=1))[:, None]
+            to_raw[:, 0, g + nv :] = -level[:, None] * by_lag.sum(axis=1)
         cov = to_raw @ cov @ np.swapaxes(to_raw, 1, 2)
         return pd.Series(np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0)).tolist())
 
     return (
         raw_coefficients(fits, order, nv)
         .join(sums, "series_id")
-        .withColumn("se", errors("gram", "meat", "y_mean", "x_mean"))
-        .select("series_id", "n", "n_eff", "sse", "adjusted", "est", "se")
+        .withColumn("se", errors("gram", "meat", "par", "y_mean", "x_mean"))
+        .select("series_id", "n", "n_eff", "sse", "adjusted", "converged", "est", "se")
     )
 
 
@@ -260,53 +267,156 @@ def linear_forecast(ds: PanelDataset, order: Order, estimates: DataFrame, steps:
 
 
 def _full_polynomial(order: Order, offset: int) -> dict[int, Column]:
-    """Weights of lag 1.. of ``phi(B) (1-B)^d (1-B^m)^D`` as columns over ``est``."""
+    """Weights of lag 1.. of ``phi(B) Phi(B^m) (1-B)^d (1-B^m)^D`` as columns over ``est``."""
+    phi = {i + 1: F.col("est")[offset + i] for i in range(order.p)}
+    seasonal = {order.m * (j + 1): F.col("est")[offset + order.p + j] for j in range(order.sp)}
+    ar = {0: F.lit(1.0), **{lag: -c for lag, c in phi.items()}}
+    for lag, c in seasonal.items():
+        for i, first in [(0, F.lit(1.0)), *[(i, -f) for i, f in phi.items()]]:
+            ar[i + lag] = ar.get(i + lag, F.lit(0.0)) - first * c
+    out: dict[int, Column] = {}
+    for j, w in difference_weights(order).items():
+        for lag, c in ar.items():
+            if j + lag:
+                out[j + lag] = out.get(j + lag, F.lit(0.0)) + float(w) * c
+    return out
+
+
+def difference_weights(order: Order) -> dict[int, float]:
+    """Weights of the lags in ``(1-B)^d (1-B^m)^D``."""
     diff = np.array([1.0])
     for s in [order.m] * order.sd + [1] * order.d:
         f = np.zeros(s + 1)
         f[0], f[s] = 1.0, -1.0
         diff = np.convolve(diff, f)
-    out: dict[int, Column] = {}
-    for j, w in enumerate(diff):
-        if w == 0:
-            continue
-        if j:
-            out[j] = out.get(j, F.lit(0.0)) + float(w)
-        for i, lag in enumerate(lag_steps(order)):
-            out[j + lag] = out.get(j + lag, F.lit(0.0)) - float(w) * F.col("est")[offset + i]
-    return out
+    return {j: float(w) for j, w in enumerate(diff) if w}
 
 
-def linear_rolling(ds: PanelDataset, order: Order, window: Column, literal_window: int | None = None) -> DataFrame:
-    """``(series_id, period_idx, prediction, actual)`` of one-step refits on a sliding window.
+# --- sliding windows -----------------------------------------------------------------------
 
-    Cumulative products are differenced over the window, so every refit costs one
-    small solve and no row is copied. The forecast of a row is its value minus
-    the residual of its regressors under the coefficients of the window before it.
-    ``window`` is the window length as a column of ``n``.
+
+def window_rows(ds: PanelDataset, orders: Sequence[Order], window: Column) -> DataFrame:
+    """Design rows of every order: ``(series_id, o, period_idx, i, rows, y, z, v)``.
+
+    ``o`` numbers the orders, ``i`` the rows of a series that have all lags of their order, ``rows`` is how many of them a
+    window of ``window`` observations (a column of ``n``) holds. Lags of y and x are taken once for all orders; differences
+    and lags of differences are weighted sums of them, and the orders are unfolded in place.
     """
     nv = len(ds.exog_vars)
-    k = width(order, nv)
-    span = order.lost + order.ar_span
-    run = Window.partitionBy("series_id").orderBy("period_idx")
-    upto = run.rowsBetween(Window.unboundedPreceding, -1)
-    rows = design(ds, order).withColumn("w", window)
-    before = [F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for c in products(k)]
-    rows = rows.withColumn("_c", F.array(*before))
-    # take out the products of rows before the window; _c already excludes its own row
-    is_test = (F.col("t") > F.col("w")) & F.col("v").isNotNull()
-    if literal_window is not None:
-        both = rows.withColumn("_g", F.lag("_c", literal_window - span).over(run)).filter(is_test)
-    else:
-        left = rows.filter(is_test).withColumn("_at", F.col("period_idx") - F.col("w") + span)
-        early = rows.filter(F.col("t") <= F.col("n") - F.col("w") + span)
-        right = early.select("series_id", F.col("period_idx").alias("_at"), F.col("_c").alias("_g"))
-        both = left.join(right, ["series_id", "_at"], "left")
-    gram = F.when(F.col("_g").isNull(), F.col("_c")).otherwise(F.zip_with("_c", "_g", lambda a, b: a - b))
-    tests = both.select("series_id", "period_idx", "y", "z", "v", gram.alias("gram"))
-    return tests.withColumn("_s", gram_solver(order, nv)("gram")).select(
-        "series_id",
-        "period_idx",
-        (F.col("y") - F.col("z") + fitted(F.col("v"), F.col("_s.coef"))).alias("prediction"),
-        F.col("y").alias("actual"),
+    weights = [difference_weights(o) for o in orders]
+    needed = sorted({j + lag for o, w in zip(orders, weights, strict=True) for j in w for lag in [0, *product_lags(o)]})
+    whole = Window.partitionBy("series_id")
+    run = whole.orderBy("period_idx")
+    base = ds.realized.select(
+        "series_id", "period_idx", "y", F.count("*").over(whole).alias("n"),
+        (F.col("period_idx") - F.min("period_idx").over(whole) + 1).cast("double").alias("t"),
+        *[F.get("x", F.lit(i)).alias(f"_x{i}") for i in range(nv)],
+    )
+    base = base.select(
+        "*", *[F.lag("y", s).over(run).alias(f"_y_{s}") for s in needed],
+        *[F.lag(f"_x{i}", s).over(run).alias(f"_x{i}_{s}") for s in needed for i in range(nv)],
+    ).withColumn("w", window.cast("long"))
+
+    def differenced(name: str, lag: int, w: dict[int, float]) -> Column:
+        terms = [F.col(f"{name}_{j + lag}") * c if c != 1 else F.col(f"{name}_{j + lag}") for j, c in w.items()]
+        return sum(terms[1:], terms[0])
+
+    units = []
+    for k, (o, w) in enumerate(zip(orders, weights, strict=True)):
+        lags, span = product_lags(o), o.lost + o.ar_span
+        trend = [F.lit(1.0), F.col("t")] if o.trend == "ct" else [F.col("t")]
+        v = trend + [differenced(f"_x{i}", 0, w) for i in range(nv)] + [differenced("_y", s, w) for s in lags]
+        v += [differenced(f"_x{i}", s, w) for s in lags for i in range(nv)]
+        units.append(F.struct(
+            F.lit(k).alias("o"), (F.col("t") - 1 - span).cast("long").alias("i"), (F.col("w") - span).alias("rows"),
+            differenced("_y", 0, w).alias("z"), F.array(*v).alias("v"),
+        ))
+    rows = base.select("series_id", "period_idx", "y", F.explode(F.array(*units)).alias("_u"))
+    return rows.select("series_id", "period_idx", "y", "_u.*").filter((F.col("i") >= 0) & (F.col("rows") > 0))
+
+
+def window_grams(rows: DataFrame, k: int, shifted: bool) -> DataFrame:
+    """Products of the window before every row, ``(series_id, o, period_idx, y, z, z0, u, gram)``.
+
+    Rows are cut into blocks as long as a window. A window then is the end of one block and the start of the next: a suffix
+    sum and a prefix sum, both around an origin of their own (the last row before the later block), so that only numbers
+    of the window's own size are added and none is ever taken away. ``u`` is the regressor vector from that origin,
+    ``z0`` the origin's z. Without an intercept (``shifted`` false) the origin is zero. Windows are partitioned by series,
+    order and block, so one long series does not meet in one task; the suffix sum travels to the row that needs it.
+    """
+    per = Window.partitionBy("series_id", "o")
+    block = Window.partitionBy("series_id", "o", "b")
+    up, down = block.orderBy("i"), block.orderBy(F.col("i").desc())
+    rows = rows.withColumn("b", F.floor(F.col("i") / F.col("rows")))
+    here = F.struct("v", "z")
+    if shifted:
+        rows = rows.withColumn("_before", F.lag(here).over(per.orderBy("i")))
+        rows = rows.select("*", F.first("_before").over(up).alias("_o1"), F.first(here).over(down).alias("_o2"))
+
+    def columns(origin: str) -> list[Column]:
+        v = [F.get("v", F.lit(j)) for j in range(k)]
+        if not shifted:
+            return [*v, F.col("z")]
+        return [v[0], *[c - F.get(F.col(f"{origin}.v"), F.lit(j)) for j, c in enumerate(v) if j], F.col("z") - F.col(f"{origin}.z")]
+
+    def sums(c: list[Column], frame) -> Column:
+        return F.array(*[F.sum(c[i] * c[j]).over(frame) for i in range(k + 1) for j in range(i, k + 1)])
+
+    one, two = columns("_o1"), columns("_o2")
+    summed = rows.select(
+        "series_id", "o", "i", "rows", "period_idx", "y", "z", F.array(*one[:k]).alias("u"),
+        (F.col("_o1.z") if shifted else F.lit(0.0)).alias("z0"),
+        sums(one, up.rowsBetween(Window.unboundedPreceding, -1)).alias("_start"),
+        sums(two, down.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
+    )
+    own = F.struct("period_idx", "y", "z", "z0", "u", "rows")
+    both = summed.select("series_id", "o", F.explode(F.array(
+        F.struct(F.col("i").alias("at"), own.alias("own"), F.col("_start").alias("g")),
+        F.struct((F.col("i") + F.col("rows")).alias("at"), F.lit(None).alias("own"), F.col("_end").alias("g")),
+    )).alias("_p")).select("series_id", "o", "_p.*")
+    size = (k + 1) * (k + 2) // 2
+    met = both.groupBy("series_id", "o", "at").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.array(*[F.sum(F.get("g", F.lit(j))) for j in range(size)]).alias("gram")
     )
+    return met.filter(F.col("at") >= F.col("own.rows")).select("series_id", "o", "own.period_idx", "own.y", "own.z", "own.z0", "own.u", "gram")
+
+
+def window_solver(orders: Sequence[Order], n_exog: int, k: int):
+    """Design coefficients of every window of a batch, whatever order each of them has."""
+    products_of = [LagProduct(o, n_exog) for o in orders]
+
+    @F.pandas_udf("array<double>")
+    def solve(o: pd.Series, packed: pd.Series) -> pd.Series:
+        out = np.empty(len(o), dtype=object)
+        for number in o.unique():
+            mine = np.flatnonzero(o.to_numpy() == number)
+            own = products_of[number]
+            keep = [*range(own.g + own.width), k]  # z stands behind the widest order's columns
+            grams = unpack(np.stack(packed.to_numpy()[mine]).astype(float), k + 1)[:, keep][:, :, keep]
+            for at, coef in zip(mine, own.solve(grams).coef, strict=True):
+                out[at] = coef
+        return pd.Series(out)
+
+    return solve.asNondeterministic()
+
+
+def rolling_orders(ds: PanelDataset, orders: Sequence[Order], window: Column) -> DataFrame:
+    """``(series_id, o, period_idx, prediction, actual)``: one-step forecasts of every order from a refit on each window.
+
+    All orders share one trend. The forecast of a row is its value minus the residual of its regressors under the
+    coefficients of the window before it. Series whose window holds no complete row of an order's lags give no row for it.
+    """
+    nv = len(ds.exog_vars)
+    k = max(design_width(o, nv) for o in orders)
+    grams = window_grams(window_rows(ds, orders, window), k, orders[0].trend == "ct")
+    solved = grams.withColumn("coef", window_solver(orders, nv, k)("o", "gram"))
+    used = F.slice("u", 1, F.size("coef"))
+    return solved.select(
+        "series_id", "o", "period_idx",
+        (F.col("y") - F.col("z") + F.col("z0") + fitted(used, F.col("coef"))).alias("prediction"), F.col("y").alias("actual"),
+    )
+
+
+def linear_rolling(ds: PanelDataset, order: Order, window: Column) -> DataFrame:
+    """``(series_id, period_idx, prediction, actual)`` of one-step refits of one order on a sliding window."""
+    return rolling_orders(ds, [order], window).drop("o")
