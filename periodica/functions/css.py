@@ -170,12 +170,12 @@ def pull_inside(coef: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Block:
-    def __init__(self, y: np.ndarray, x: np.ndarray, order: Order):
+    def __init__(self, y: np.ndarray, x: np.ndarray, order: Order, whole: bool = False):
         n = y.shape[1]
         self.order, self.n, self.k = order, n, x.shape[2]
         z, zx = difference(y, order), difference(x, order)
         t = np.arange(1, n + 1, dtype=float)[order.lost :]
-        pad = order.ar_span if z.shape[1] <= order.ar_span else 0
+        pad = order.ar_span if whole or z.shape[1] <= order.ar_span else 0
         if pad:  # a block too short to condition on its own rows starts from its mean
             z = np.concatenate([np.repeat(z.mean(axis=1, keepdims=True), pad, 1), z], 1)
             zx = np.concatenate([np.repeat(zx.mean(axis=1, keepdims=True), pad, 1), zx], 1)
@@ -261,14 +261,19 @@ class _Block:
         return np.concatenate([jl, stacked], axis=2)
 
 
-def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True, tol: float = 1e-10, max_iter: int = MAX_ITER) -> Fit | None:
-    """Fit ``y (B, n)`` on ``x (B, n, k)``; None when differencing leaves no row."""
+def fit(
+    y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True, tol: float = 1e-10, max_iter: int = MAX_ITER, whole: bool = False
+) -> Fit | None:
+    """Fit ``y (B, n)`` on ``x (B, n, k)``; None when differencing leaves no row.
+
+    ``whole`` starts every block from its mean, so that each row left by differencing has a residual.
+    """
     if y.shape[1] <= order.lost:
         return None
     shift_y, shift_x = np.zeros(len(y)), np.zeros((len(y), x.shape[2]))
     if order.trend == "ct" and order.lost == 0:  # same model, better conditioned
         shift_y, shift_x = y.mean(axis=1), x.mean(axis=1)
-    blk = _Block(y - shift_y[:, None], x - shift_x[:, None, :], order)
+    blk = _Block(y - shift_y[:, None], x - shift_x[:, None, :], order, whole)
     size = len(y)
     nl = np.zeros((size, order.p + order.sp + order.q + order.sq))
     lin, e, jl = blk.evaluate(nl)
@@ -317,7 +322,7 @@ def fit(y: np.ndarray, x: np.ndarray, order: Order, robust: bool = True, tol: fl
     est = np.concatenate([lin, nl], axis=1)
     se = np.full_like(est, np.nan)
     if robust:
-        raw = _Block(y, x, order)
+        raw = _Block(y, x, order, whole)
         a, b = _mul(pa, psa), _mul(*raw.polys(nl)[2:])
         jl = _invert_ma(_impulse(b, e.shape[1]), raw.linear_columns(a))
         j = raw.jacobian(nl, lin, e, jl)

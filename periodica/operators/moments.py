@@ -295,12 +295,13 @@ def difference_weights(order: Order) -> dict[int, float]:
 # --- sliding windows -----------------------------------------------------------------------
 
 
-def window_rows(ds: PanelDataset, orders: Sequence[Order], window: Column) -> DataFrame:
+def window_rows(ds: PanelDataset, orders: Sequence[Order], window: Column, above: Sequence[int] | None = None) -> DataFrame:
     """Design rows of every order: ``(series_id, o, period_idx, i, rows, y, z, v)``.
 
     ``o`` numbers the orders, ``i`` the rows of a series that have all lags of their order, ``rows`` is how many of them a
     window of ``window`` observations (a column of ``n``) holds. Lags of y and x are taken once for all orders; differences
-    and lags of differences are weighted sums of them, and the orders are unfolded in place.
+    and lags of differences are weighted sums of them, and the orders are unfolded in place. An order with a number in
+    ``above`` is left out for series whose windows are not longer than that.
     """
     nv = len(ds.exog_vars)
     weights = [difference_weights(o) for o in orders]
@@ -327,8 +328,11 @@ def window_rows(ds: PanelDataset, orders: Sequence[Order], window: Column) -> Da
         trend = [F.lit(1.0), F.col("t")] if o.trend == "ct" else [F.col("t")]
         v = trend + [differenced(f"_x{i}", 0, w) for i in range(nv)] + [differenced("_y", s, w) for s in lags]
         v += [differenced(f"_x{i}", s, w) for s in lags for i in range(nv)]
+        rows = F.col("w") - span
+        if above is not None:
+            rows = F.when(F.col("w") > above[k], rows).otherwise(F.lit(0))
         units.append(F.struct(
-            F.lit(k).alias("o"), (F.col("t") - 1 - span).cast("long").alias("i"), (F.col("w") - span).alias("rows"),
+            F.lit(k).alias("o"), (F.col("t") - 1 - span).cast("long").alias("i"), rows.alias("rows"),
             differenced("_y", 0, w).alias("z"), F.array(*v).alias("v"),
         ))
     rows = base.select("series_id", "period_idx", "y", F.explode(F.array(*units)).alias("_u"))
@@ -400,7 +404,7 @@ def window_solver(orders: Sequence[Order], n_exog: int, k: int):
     return solve.asNondeterministic()
 
 
-def rolling_orders(ds: PanelDataset, orders: Sequence[Order], window: Column) -> DataFrame:
+def rolling_orders(ds: PanelDataset, orders: Sequence[Order], window: Column, above: Sequence[int] | None = None) -> DataFrame:
     """``(series_id, o, period_idx, prediction, actual)``: one-step forecasts of every order from a refit on each window.
 
     All orders share one trend. The forecast of a row is its value minus the residual of its regressors under the
@@ -408,7 +412,7 @@ def rolling_orders(ds: PanelDataset, orders: Sequence[Order], window: Column) ->
     """
     nv = len(ds.exog_vars)
     k = max(design_width(o, nv) for o in orders)
-    grams = window_grams(window_rows(ds, orders, window), k, orders[0].trend == "ct")
+    grams = window_grams(window_rows(ds, orders, window, above), k, orders[0].trend == "ct")
     solved = grams.withColumn("coef", window_solver(orders, nv, k)("o", "gram"))
     used = F.slice("u", 1, F.size("coef"))
     return solved.select(

@@ -76,10 +76,14 @@ def brute_ranges(pdq: Sequence[int], seasonal: Sequence[int]) -> tuple[range, ..
     return tuple(range(v + 1) for v in terms) + (range(m, m + 1),)
 
 
+def auto_ranges(m: int) -> tuple[range, ...]:
+    pq, s = range(AUTO_MAX_PQ + 1), range(AUTO_MAX_SEASONAL + 1)
+    return pq, range(1), pq, s, range(1), s, range(m, m + 1)
+
+
 def auto_grid(spark: SparkSession, m: int) -> DataFrame:
     """Candidates of the automatic search under its caps; d and D are filled in later."""
-    pq, s = range(AUTO_MAX_PQ + 1), range(AUTO_MAX_SEASONAL + 1)
-    grid = order_grid(spark, (pq, range(1), pq, s, range(1), s, range(m, m + 1)))
+    grid = order_grid(spark, auto_ranges(m))
     return grid.filter(F.col("p") + F.col("q") + F.col("sp") + F.col("sq") <= AUTO_MAX_TOTAL).filter(~repeats())
 
 

@@ -136,21 +136,18 @@ def rolling_udf(trend: str):
 
 
 def information_udf(trend: str):
-    """Sum of squares of every unit on a common tail of ``common`` rows of its series."""
+    """Sum of squares of every unit over all rows that differencing leaves."""
 
     @F.pandas_udf("sse double, n_eff bigint")
     def run(units: pd.DataFrame) -> pd.DataFrame:
         sse, n_eff = [np.nan] * len(units), [0] * len(units)
-        for named, rows in _shapes(units, ["common"]):
-            n, nx, common = int(named["n"]), int(named["nx"]), int(named["common"])
-            order = _order(named, trend)
-            y, x = _stack(units, rows, n, nx)
-            f = css.fit(y, x, order, robust=False)
-            if f is None or f.resid.shape[1] < common:
+        for named, rows in _shapes(units, []):
+            y, x = _stack(units, rows, int(named["n"]), int(named["nx"]))
+            f = css.fit(y, x, _order(named, trend), robust=False, whole=True)
+            if f is None:
                 continue
-            tail = (f.resid[:, f.resid.shape[1] - common :] ** 2).sum(axis=1)
             for i, r in enumerate(rows):
-                sse[r], n_eff[r] = float(tail[i]), common
+                sse[r], n_eff[r] = float(f.sse[i]), f.resid.shape[1]
         return pd.DataFrame({"sse": sse, "n_eff": n_eff})
 
     return run.asNondeterministic()
