@@ -319,16 +319,17 @@ oracle(
     SELECT k0.series_id, (CASE WHEN k0.const OR k0.kpss <= 0.463 THEN 0 WHEN k1.const OR k1.kpss <= 0.463 THEN 1 ELSE 2 END)::BIGINT AS ndiffs
     FROM k0 JOIN k1 USING (series_id)""",
 )
-def _orthogonal(src: str, cols: list[str], target: str, out: str) -> str:
+def _orthogonal(src: str, cols: list[str], target: str, out: str, keep: tuple[str, ...] = ()) -> str:
     """CTEs that take out of ``target`` and the later columns what each earlier column explains.
 
-    ``out`` then holds the last column and the target, both orthogonal to all the others.
+    ``out`` then holds the last column and the target, both orthogonal to all the others, and the columns of ``keep``.
     """
+    kept = "".join(f", {c}" for c in keep)
     steps, prev = [], src
     for i, c in enumerate(cols[:-1]):
         rest = cols[i + 1 :] + [target]
         less = ", ".join(f"{r} - {c} * sum({r} * {c}) OVER s / nullif(sum({c} * {c}) OVER s, 0) AS {r}" for r in rest)
-        steps.append(f"{out}_{i} AS (SELECT series_id, {less} FROM {prev} WINDOW s AS (PARTITION BY series_id))")
+        steps.append(f"{out}_{i} AS (SELECT series_id{kept}, {less} FROM {prev} WINDOW s AS (PARTITION BY series_id))")
         prev = f"{out}_{i}"
     steps.append(f"{out} AS (SELECT * FROM {prev})")
     return ", ".join(steps)
@@ -555,3 +556,47 @@ oracle(
     {_grid((range(2), range(1), range(2), range(2), range(1), range(1), range(2, 3)))}
     SELECT series_id, order_id, n, repeated_lags, NOT (1 + p + q + sp + sq + 1 < n) AS overspecified FROM o, c""",
 )
+
+
+# one Gram matrix of z, t and the lags that orders up to (2, 0, 0)(1, 0, 0)4 need, in thousands and about the mean
+_PRODUCT_LAGS = (1, 2, 4, 5, 6)
+_GRAM = ["1.0", "t", *[f"lag(z, {j}) OVER o" for j in _PRODUCT_LAGS], "z"]
+oracle(
+    "autoregression_gram",
+    f"""WITH {numbered()}, c AS (SELECT series_id, t, (y - avg(y) OVER (PARTITION BY series_id)) / 1000 AS z FROM s),
+    l AS (SELECT series_id, t, [{', '.join(f'({c})::DOUBLE' for c in _GRAM)}] AS v FROM c WINDOW o AS (PARTITION BY series_id ORDER BY t))
+    SELECT series_id, i::BIGINT AS i, j::BIGINT AS j, round(sum(v[i + 1] * v[j + 1]), 4) AS value
+    FROM l, generate_series(0, {len(_GRAM) - 1}) a(i), generate_series(0, {len(_GRAM) - 1}) b(j) WHERE i <= j AND t > 6 GROUP BY ALL""",
+)
+
+# orders (p, d) of the grid p, d in 0..1, in grid order; a window of w rows holds w - d - p rows with all lags
+_AR_SCORES = " UNION ALL ".join(
+    f"""SELECT series_id, {i}::BIGINT AS order_id, {p_}::BIGINT AS p, {d}::BIGINT AS d, sqrt(avg((z - a - b * t{' - k * l' if p_ else ''}) ** 2)) AS rmse
+    FROM (SELECT *, {_LINE if p_ else '(stz / stt) AS b, mz - stz / stt * mt AS a'} FROM (
+      SELECT series_id, t, w, z, l, {_two('z', 'l', 'OVER v')} FROM (
+        SELECT series_id, t, w, z, lag(z) OVER (PARTITION BY series_id ORDER BY t) AS l FROM (
+          SELECT series_id, t, w, {'y - lag(y) OVER (PARTITION BY series_id ORDER BY t)' if d else 'y'} AS z FROM p))
+      WINDOW v AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN (w - {p_ + d})::INTEGER PRECEDING AND 1 PRECEDING)))
+    WHERE t > w GROUP BY 1"""
+    for i, (p_, d) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1)))
+)
+oracle(
+    "brute_autoregression_grid",
+    f"""WITH {numbered()}, p AS (SELECT *, least(greatest(ceil(0.8 * n), 1), n - 1) AS w FROM s), r AS ({_AR_SCORES})
+    SELECT series_id, order_id, p, d, round(rmse, 4) AS rmse FROM r""",
+)
+
+# first pass: four lags and the trend; its residuals lagged once beside the trend
+_LONG = ["one", "tt", "l1", "l2", "l3", "l4", "spare"]
+oracle(
+    "fit_ma_two_stage",
+    f"""WITH {numbered()}, b AS (SELECT series_id, t, 1.0::DOUBLE AS one, t AS tt, y AS y0, y,
+      {', '.join(f'lag(y, {j}) OVER (PARTITION BY series_id ORDER BY t) AS l{j}' for j in range(1, 5))} FROM s),
+    f AS (SELECT series_id, one, tt, l1, l2, l3, l4, l1 AS spare, t AS pos, y0, y FROM b WHERE l4 IS NOT NULL),
+    {_orthogonal('f', _LONG, 'y', 'q', ("pos", "y0"))},
+    e AS (SELECT series_id, pos AS t, y0 AS y, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS e1 FROM q),
+    w AS (SELECT series_id, {_two('y', 'e1')} FROM e WHERE e1 IS NOT NULL GROUP BY 1),
+    co AS (SELECT series_id, {_LINE} FROM w)
+    SELECT series_id, 'intercept' AS param, round(a, 4) AS estimate FROM co
+    UNION ALL SELECT series_id, 'drift', round(b, 4) FROM co UNION ALL SELECT series_id, 'ma.L1', round(k, 4) FROM co""",
+)

@@ -28,13 +28,16 @@ from periodica.operators.align import (
 )
 from periodica.operators.backtest import sliding_window_forecast, sliding_window_rmse
 from periodica.operators.fill import backfill_forward_fill, drop_empty_vars
-from periodica.operators.fit import fit_order
+from periodica.operators.fit import coefficient_table, fit_order
 from periodica.operators.forecast import forecast_order
+from periodica.operators.lag_products import design_width
+from periodica.operators.moments import design, products
 from periodica.operators.orders import brute_ranges, order_grid, order_rules, overspecified, repeats
 from periodica.operators.quality import series_rules
 from periodica.operators.reduce import pca_fit, pca_loadings, standardize
+from periodica.operators.two_stage import two_stage_fit
 from periodica.operators.stats import adf_ndiffs, autocorrelation, difference, kpss_ndiffs, kpss_stat
-from periodica.plans.models import AutoARIMARegression, BruteForceARIMARegression
+from periodica.plans.models import AutoARIMARegression, BruteForceARIMARegression, SARIMARegression
 from periodica.plans.run import RunConfig, run_on_dataset
 from periodica.sources.layouts import statement_series, year_month_series
 
@@ -330,6 +333,7 @@ def seasonal_difference(spark, sf):
 
 TREND = Order(0, 0, 0, 0, 0, 0, 4)
 AR1 = Order(1, 0, 0, 0, 0, 0, 4)
+MA1 = Order(0, 0, 1, 0, 0, 0, 4)
 DIFF1 = Order(0, 1, 0, 0, 0, 0, 4)
 ONE = ("l_discount",)
 
@@ -371,6 +375,40 @@ def fit_ma(spark, sf):
     return _coef(fit_order(dataset(spark, sf, "M", ()), Order(0, 0, 1, 0, 0, 1, 4), "quarantine").coefficients)
 
 
+def fit_ma_two_stage(spark, sf):
+    est, _ = two_stage_fit(dataset(spark, sf, "M", ()), MA1, long=4)
+    names = F.array(*[F.lit(v) for v in MA1.names([])])
+    return _coef(coefficient_table(est, names, ["series_id"]))
+
+
+def fit_arma_two_stage(spark, sf):
+    """Products of ordinary and seasonal terms on both sides, with a variable."""
+    model = SARIMARegression((1, 0, 1), (0, 0, 1, 4), on_invalid="quarantine", estimator="two_stage")
+    return _coef(model.fit(dataset(spark, sf, "M", ONE)).coefficients)
+
+
+def forecast_arma_two_stage(spark, sf):
+    model = SARIMARegression((1, 0, 1), (0, 0, 1, 4), on_invalid="quarantine", estimator="two_stage")
+    return _forecast(model.predict(3, dataset(spark, sf, "M", ())))
+
+
+def autoregression_gram(spark, sf):
+    """The one matrix that answers every order up to (2, 0, 0)(1, 0, 0)4: summed products, in thousands."""
+    order = Order(2, 0, 0, 1, 0, 0, 4)
+    k = design_width(order, 0)
+    scaled = [F.get("v", F.lit(i)) / (1 if i < 2 else 1000) for i in range(k)]
+    rows = design(dataset(spark, sf, "M", ()), order).filter("v IS NOT NULL").select("series_id", (F.col("z") / 1000).alias("z"), F.array(*scaled).alias("v"))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    grams = rows.groupBy("series_id").agg(F.array(*[F.sum(c) for c in products(k)]).alias("g"))
+    place = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i, j in pairs])
+    cells = grams.select("series_id", F.explode(F.arrays_zip(place.alias("at"), F.col("g").alias("value"))).alias("c"))
+    return cells.select("series_id", "c.at.i", "c.at.j", _r("c.value", 4).alias("value"))
+
+
+def fit_seasonal_product(spark, sf):
+    return _coef(fit_order(dataset(spark, sf, "M", ()), Order(2, 0, 0, 1, 0, 0, 4), "quarantine").coefficients)
+
+
 def fit_exog_ar(spark, sf):
     return _coef(fit_order(dataset(spark, sf), Order(1, 0, 0, 1, 0, 0, 4), "quarantine").coefficients)
 
@@ -440,6 +478,24 @@ def rolling_forecast_arma(spark, sf):
     return _backtest(sliding_window_forecast(dataset(spark, sf, "M", ()), Order(1, 0, 1, 0, 0, 0, 4), 0.8, on_invalid="quarantine"))
 
 
+AR_GRID = (range(2), range(2), range(1), range(1), range(1), range(1), range(4, 5))
+
+
+def brute_autoregression_grid(spark, sf):
+    scores = search.brute_scores(dataset(spark, sf, "M", ()), AR_GRID, on_invalid="quarantine")
+    return scores.select("series_id", "order_id", F.col("p").cast("bigint").alias("p"), F.col("d").cast("bigint").alias("d"), _r("rmse", 4).alias("rmse"))
+
+
+def rolling_forecast_seasonal_product(spark, sf):
+    return _backtest(sliding_window_forecast(dataset(spark, sf, "M", ()), Order(1, 1, 0, 1, 0, 0, 12), 0.8, on_invalid="quarantine"))
+
+
+def auto_candidates(spark, sf):
+    """Every candidate of the automatic search, with its AIC or the reason why it has none."""
+    out = search.auto_scores(dataset(spark, sf, "Q", ()), 4, None, None)
+    return out.select("series_id", "order_id", "p", "d", "q", "sp", "sd", "sq", "n_params", "n_eff", "reason", _r("aic", 2).alias("aic"))
+
+
 ZERO_LAG_GRID = (range(1), range(2), range(1), range(1), range(2), range(1), range(12, 13))
 
 
@@ -501,10 +557,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         drop_empty_variables, standardized, pca_loadings_2var, pca_scores_2var, pca_components_kept,
         pca_nvar, acf_table, acf_daily_events, kpss_statistic, kpss_differencing, adf_differencing,
         ordinary_difference, seasonal_difference, fit_trend, fit_trend_exog1, fit_ar1_trend, fit_info,
-        fit_diagnostics, fit_residuals, fit_ma, fit_exog_ar, order_grid_valid, overspecified_flags,
+        fit_diagnostics, fit_residuals, fit_ma, fit_ma_two_stage, fit_arma_two_stage, autoregression_gram, fit_seasonal_product, fit_exog_ar, order_grid_valid, overspecified_flags,
         forecast_trend, forecast_trend_exog1, forecast_ar1, forecast_differenced, forecast_seasonal_arma,
         rolling_forecast_trend, rolling_forecast_exog1, rolling_forecast_ar1, rolling_rmse,
-        rolling_forecast_arma, brute_best_order, brute_full, brute_wide_grid, brute_model_forecast, auto_order, auto_sliding,
+        rolling_forecast_arma, rolling_forecast_seasonal_product, brute_autoregression_grid, auto_candidates, forecast_arma_two_stage,
+        brute_best_order, brute_full, brute_wide_grid, brute_model_forecast, auto_order, auto_sliding,
         chain_subset_pca_forecast, quarterly_trend_backtest,
     )
 }

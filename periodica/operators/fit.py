@@ -14,6 +14,7 @@ from periodica.operators.align import PanelDataset
 from periodica.operators.moments import linear_estimates, linear_fit, linear_residuals, on_moments
 from periodica.operators.orders import ORDER_COLS, TREND_TERMS
 from periodica.operators.panel import dataset_arrays
+from periodica.operators.two_stage import long_enough, two_stage_fit
 from periodica.operators.units import fit_udf, unit_columns
 from periodica.session import materialize
 
@@ -193,9 +194,28 @@ def residual_diagnostics(residuals: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise") -> FitTables:
-    """Fit ``order`` to every series of ``ds``."""
+ESTIMATORS = ("conditional", "two_stage")
+
+
+def require_two_stages(ds: PanelDataset, order: Order, on_invalid: str) -> PanelDataset:
+    """Series long enough for a two-stage fit; in raise mode all must be."""
+    kept, short = long_enough(ds, order)
+    if on_invalid == "raise" and not short.isEmpty():
+        raise OverspecifiedError("a series is too short for a two-stage fit")
+    return kept
+
+
+def fit_order(ds: PanelDataset, order: Order, on_invalid: str = "raise", estimator: str = "conditional") -> FitTables:
+    """Fit ``order`` to every series of ``ds``.
+
+    ``estimator`` says how moving-average terms are fitted: by iterated conditional least squares, or by two passes.
+    """
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator!r}; expected one of {ESTIMATORS}")
     ds = require_specified(ds, required_rows(order, 0), on_invalid, lost=order.lost)
+    if estimator == "two_stage" and order.q + order.sq and not ds.ragged:
+        est, residuals = two_stage_fit(require_two_stages(ds, order, on_invalid), order)
+        return tables(est.drop("converged"), F.array(*[F.lit(v) for v in order.names(list(ds.exog_vars))]), residuals, ["series_id"])
     if not on_moments(order, len(ds.exog_vars)) or ds.ragged:
         est = materialize(fit_units(one_order_units(ds, order), order.trend))
         return tables(est, unit_names(ds.exog_vars, order.trend), unit_residuals(est, ["series_id"]), ["series_id"])

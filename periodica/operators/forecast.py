@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from periodica.functions.css import Order
 from periodica.operators.align import PanelDataset
-from periodica.operators.fit import fit_units, one_order_units, require_specified, required_rows, split_short
+from periodica.operators.fit import fit_units, one_order_units, require_specified, require_two_stages, required_rows, split_short
 from periodica.operators.moments import linear_fit, linear_forecast, on_moments, raw_coefficients
+from periodica.operators.two_stage import two_stage_fit
 
 FORECAST_SCHEMA = "series_id string, h int, period_idx bigint, prediction double"
 
@@ -25,7 +26,7 @@ def check_horizon(ds: PanelDataset, n: int, on_invalid: str) -> PanelDataset:
     return ds
 
 
-def forecast_order(ds: PanelDataset, order: Order, n: int, on_invalid: str = "raise") -> DataFrame:
+def forecast_order(ds: PanelDataset, order: Order, n: int, on_invalid: str = "raise", estimator: str = "conditional") -> DataFrame:
     """``(series_id, h, period_idx, prediction)`` of ``n`` periods, refitted on all rows.
 
     In quarantine mode a series without enough future variables has no forecast.
@@ -34,6 +35,10 @@ def forecast_order(ds: PanelDataset, order: Order, n: int, on_invalid: str = "ra
     ds = require_specified(ds, required_rows(order, 0), on_invalid, lost=order.lost)
     if n == 0:
         return empty_forecast(ds)
+    if estimator == "two_stage" and order.q + order.sq and not ds.ragged:
+        ds = require_two_stages(ds, order, on_invalid)
+        est, residuals = two_stage_fit(ds, order)
+        return linear_forecast(ds, order, est, n, residuals).filter(F.col("prediction").isNotNull())
     if on_moments(order, len(ds.exog_vars)) and not ds.ragged:
         ds, short = split_short(ds, order)
         est = raw_coefficients(linear_fit(ds, order), order, len(ds.exog_vars))

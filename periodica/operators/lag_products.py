@@ -2,9 +2,12 @@
 
 ``phi(B) Phi(B^m) (z_t - x_t beta) = trend + e_t`` is linear in the lagged values of z and x once the coefficients of the
 product are known, so its sum of squares is a quadratic form of one Gram matrix over the columns ``[trend, x, lags of z,
-lags of x, z]``. That matrix is summed by Spark once; everything here works on a stack of such small matrices, one per
-series or window: the trend is projected out, beta, phi and Phi are solved in turn on sub-matrices, and Gauss-Newton steps
-on the same matrix finish. No data row is read again.
+lags of x, lagged errors, z]``. That matrix is summed by Spark once; everything here works on a stack of such small
+matrices, one per series or window: the trend is projected out, beta, phi and Phi are solved in turn on sub-matrices, and
+Gauss-Newton steps on the same matrix finish. No data row is read again.
+
+Lagged errors are columns like any other: whoever has estimates of the errors (see :mod:`periodica.operators.two_stage`) gets
+moving-average terms, products of theta and Theta included, from the same solve. Without such terms there are none.
 """
 
 from __future__ import annotations
@@ -28,6 +31,11 @@ def product_lags(order: Order) -> list[int]:
     return sorted({i + order.m * j for i in range(order.p + 1) for j in range(order.sp + 1)} - {0})
 
 
+def error_lags(order: Order) -> list[int]:
+    """Lags with a coefficient in ``theta(B) Theta(B^m)``, ascending."""
+    return sorted({i + order.m * j for i in range(order.q + 1) for j in range(order.sq + 1)} - {0})
+
+
 def design_width(order: Order, n_exog: int) -> int:
     return order.trend_cols + n_exog + len(product_lags(order)) * (1 + n_exog)
 
@@ -54,10 +62,10 @@ def scaled_pinv(g: np.ndarray, rcond: float) -> np.ndarray:
 
 @dataclass
 class Solution:
-    par: np.ndarray  # trend, beta, phi, Phi
+    par: np.ndarray  # trend, beta, phi, Phi, theta, Theta
     coef: np.ndarray  # of the design columns, products of lag terms multiplied out
     sse: np.ndarray
-    adjusted: np.ndarray  # lag terms pushed back inside the stationary region
+    adjusted: np.ndarray  # lag terms pushed back inside the stationary or invertible region
     converged: np.ndarray
 
 
@@ -66,49 +74,65 @@ class LagProduct:
 
     def __init__(self, order: Order, n_exog: int):
         self.order, self.nv, self.g = order, n_exog, order.trend_cols
-        self.lags = product_lags(order)
-        self.terms = order.p + order.sp
-        self.width = n_exog + len(self.lags) * (1 + n_exog)
-
-    def polynomial(self, nl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Coefficients of the lags and their derivatives by phi and Phi."""
-        o, at = self.order, {lag: b for b, lag in enumerate(self.lags)}
-        a, da = np.zeros((len(nl), len(self.lags))), np.zeros((len(nl), len(self.lags), self.terms))
-        for i in range(o.p):
-            a[:, at[i + 1]] += nl[:, i]
+        self.lags, self.shocks = product_lags(order), error_lags(order)
+        self.ar_terms = order.p + order.sp
+        self.terms = self.ar_terms + order.q + order.sq
+        self.width = n_exog + len(self.lags) * (1 + n_exog) + len(self.shocks)
+
+    def _product(self, c: np.ndarray, first: int, lags: list[int], sign: float) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients at ``lags`` of the product of an ordinary and a seasonal polynomial, and their derivatives.
+
+        The first ``first`` columns of ``c`` belong to the ordinary one; cross terms carry ``sign``.
+        """
+        at, m, seasonal = {lag: b for b, lag in enumerate(lags)}, self.order.m, c.shape[1] - first
+        a, da = np.zeros((len(c), len(lags))), np.zeros((len(c), len(lags), c.shape[1]))
+        for i in range(first):
+            a[:, at[i + 1]] += c[:, i]
             da[:, at[i + 1], i] += 1.0
-        for j in range(o.sp):
-            s = o.p + j
-            a[:, at[o.m * (j + 1)]] += nl[:, s]
-            da[:, at[o.m * (j + 1)], s] += 1.0
-            for i in range(o.p):
-                b = at[i + 1 + o.m * (j + 1)]
-                a[:, b] -= nl[:, i] * nl[:, s]
-                da[:, b, i] -= nl[:, s]
-                da[:, b, s] -= nl[:, i]
+        for j in range(seasonal):
+            s = first + j
+            a[:, at[m * (j + 1)]] += c[:, s]
+            da[:, at[m * (j + 1)], s] += 1.0
+            for i in range(first):
+                b = at[i + 1 + m * (j + 1)]
+                a[:, b] += sign * c[:, i] * c[:, s]
+                da[:, b, i] += sign * c[:, s]
+                da[:, b, s] += sign * c[:, i]
         return a, da
 
-    def residual_weights(self, beta: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """The residual as weights of the columns ``[x, lags of z, lags of x, z]``."""
-        cross = (a[:, :, None] * beta[:, None, :]).reshape(len(a), -1)
-        return np.concatenate([-beta, -a, cross, np.ones((len(a), 1))], axis=1)
+    def polynomial(self, nl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of the lags of z and their derivatives by phi and Phi."""
+        return self._product(nl[:, : self.ar_terms], self.order.p, self.lags, -1.0)
 
-    def derivatives(self, beta: np.ndarray, a: np.ndarray, da: np.ndarray) -> np.ndarray:
-        """Those weights' derivatives by beta, phi and Phi."""
-        size, lags, nv = len(a), len(self.lags), self.nv
-        d = np.zeros((size, self.width + 1, nv + self.terms))
-        d[:, nv : nv + lags, nv:] = -da
+    def shock_polynomial(self, nl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of the lagged errors and their derivatives by theta and Theta."""
+        return self._product(nl[:, self.ar_terms :], self.order.q, self.shocks, 1.0)
+
+    def residual_weights(self, beta: np.ndarray, nl: np.ndarray) -> np.ndarray:
+        """The residual as weights of the columns ``[x, lags of z, lags of x, lagged errors, z]``."""
+        a = self.polynomial(nl)[0]
+        cross = (a[:, :, None] * beta[:, None, :]).reshape(len(a), -1)
+        return np.concatenate([-beta, -a, cross, -self.shock_polynomial(nl)[0], np.ones((len(a), 1))], axis=1)
+
+    def derivatives(self, beta: np.ndarray, nl: np.ndarray) -> np.ndarray:
+        """Those weights' derivatives by beta, phi, Phi, theta and Theta."""
+        (a, da), (_, db) = self.polynomial(nl), self.shock_polynomial(nl)
+        lags, nv, ar = len(self.lags), self.nv, self.ar_terms
+        d = np.zeros((len(a), self.width + 1, nv + self.terms))
+        d[:, nv : nv + lags, nv : nv + ar] = -da
+        d[:, self.width - len(self.shocks) : self.width, nv + ar :] = -db
         for j in range(nv):
             d[:, j, j] = -1.0
             rows = nv + lags + np.arange(lags) * nv + j
             d[:, rows, j] = a
-            d[:, rows, nv:] = da * beta[:, j, None, None]
+            d[:, rows, nv : nv + ar] = da * beta[:, j, None, None]
         return d
 
     def project(self, nl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = self.order.p
-        (phi, one), (seasonal, two) = pull_inside(nl[:, :p], 1.0), pull_inside(nl[:, p:], 1.0)
-        return np.concatenate([phi, seasonal], axis=1), one | two
+        o = self.order
+        blocks = np.split(nl, np.cumsum([o.p, o.sp, o.q]), axis=1)
+        parts, hits = zip(*[pull_inside(c, sign) for c, sign in zip(blocks, (1.0, 1.0, -1.0, -1.0), strict=True)])
+        return np.concatenate(parts, axis=1), np.any(hits, axis=0)
 
     def _step(self, s: np.ndarray, d: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The step along ``d`` that lowers the quadratic form most, and by how much."""
@@ -119,14 +143,12 @@ class LagProduct:
 
     def _profile(self, s: np.ndarray, nl: np.ndarray):
         """beta for given lag terms, with the weights and the sum of squares."""
-        a, da = self.polynomial(nl)
         beta = np.zeros((len(nl), self.nv))
-        theta = self.residual_weights(beta, a)
+        theta = self.residual_weights(beta, nl)
         if self.nv:
-            d = self.derivatives(beta, a, da)[:, :, : self.nv]
-            beta = self._step(s, d, theta)[0]
-            theta = self.residual_weights(beta, a)
-        return beta, theta, np.maximum(np.einsum("bi,bij,bj->b", theta, s, theta), 0.0), a, da
+            beta = self._step(s, self.derivatives(beta, nl)[:, :, : self.nv], theta)[0]
+            theta = self.residual_weights(beta, nl)
+        return beta, theta, np.maximum(np.einsum("bi,bij,bj->b", theta, s, theta), 0.0)
 
     def solve(self, gram: np.ndarray) -> Solution:
         """``gram`` (units, columns, columns) over ``[trend, x, lags of z, lags of x, z]``."""
@@ -140,18 +162,19 @@ class LagProduct:
         gone[:, -1] = False
         s = np.where(gone[:, :, None] | gone[:, None, :], 0.0, s)
         nl, adjusted, converged = np.zeros((size, self.terms)), np.zeros(size, bool), np.ones(size, bool)
-        beta, theta, sse, a, da = self._profile(s, nl)
+        beta, theta, sse = self._profile(s, nl)
         if self.terms:
-            blocks = [c for c in (range(nv, nv + self.order.p), range(nv + self.order.p, nv + self.terms)) if len(c)]
+            cuts = nv + np.cumsum([0, self.order.p, self.order.sp, self.order.q, self.order.sq])
+            blocks = [range(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi > lo]
             for _ in range(ALTERNATIONS if len(blocks) > 1 or nv else 1):
                 for block in blocks:
-                    step, _ = self._step(s, self.derivatives(beta, a, da)[:, :, list(block)], theta)
+                    step, _ = self._step(s, self.derivatives(beta, nl)[:, :, list(block)], theta)
                     trial = nl.copy()
                     trial[:, [c - nv for c in block]] += step
-                    nl, adjusted, beta, theta, sse, a, da = self._keep(s, nl, adjusted, beta, theta, sse, a, da, trial)
+                    nl, adjusted, beta, theta, sse = self._keep(s, nl, adjusted, beta, theta, sse, trial)
             converged[:] = False
             for _ in range(MAX_STEPS):
-                step, gain = self._step(s, self.derivatives(beta, a, da), theta)
+                step, gain = self._step(s, self.derivatives(beta, nl), theta)
                 converged |= ~(gain > TOLERANCE * sse)
                 if converged.all():
                     break
@@ -161,31 +184,29 @@ class LagProduct:
                     if not open_units.any():
                         break
                     trial = np.where(open_units[:, None], nl + share * step[:, nv:], nl)
-                    nl, adjusted, beta, theta, sse, a, da = self._keep(s, nl, adjusted, beta, theta, sse, a, da, trial)
-                stuck = sse >= before  # no share of the step helps: at the edge of the region, or at the end of precision
-                converged |= stuck
+                    nl, adjusted, beta, theta, sse = self._keep(s, nl, adjusted, beta, theta, sse, trial)
+                converged |= sse >= before  # no share of the step helps: the edge of the region, or the end of precision
         trend = np.einsum("bgi,bi->bg", to_trend, theta)
         par = np.concatenate([trend, beta, nl], axis=1)
         coef = np.concatenate([trend, -theta[:, :-1]], axis=1)
         par[broken], coef[broken], sse[broken] = np.nan, np.nan, np.nan
         return Solution(par, coef, sse, adjusted, converged)
 
-    def _keep(self, s, nl, adjusted, beta, theta, sse, a, da, trial):
-        """``trial`` where it lowers the sum of squares, once pulled inside the stationary region."""
+    def _keep(self, s, nl, adjusted, beta, theta, sse, trial):
+        """``trial`` where it lowers the sum of squares, once pulled inside the allowed region."""
         inside, hit = self.project(trial)
-        new = self._profile(s, inside)
-        better = new[2] < sse
+        new_beta, new_theta, new_sse = self._profile(s, inside)
+        better = new_sse < sse
         row = better[:, None]
         return (
-            np.where(row, inside, nl), np.where(better, hit, adjusted), np.where(row, new[0], beta), np.where(row, new[1], theta),
-            np.where(better, new[2], sse), np.where(row, new[3], a), np.where(row[:, :, None], new[4], da),
+            np.where(row, inside, nl), np.where(better, hit, adjusted), np.where(row, new_beta, beta),
+            np.where(row, new_theta, theta), np.where(better, new_sse, sse),
         )
 
     def jacobian(self, par: np.ndarray) -> np.ndarray:
         """Derivatives of the fitted value's design coefficients by all parameters."""
         g, nv = self.g, self.nv
-        a, da = self.polynomial(par[:, g + nv :])
-        inner = -self.derivatives(par[:, g : g + nv], a, da)[:, :-1]
+        inner = -self.derivatives(par[:, g : g + nv], par[:, g + nv :])[:, :-1]
         out = np.zeros((len(par), g + self.width, g + nv + self.terms))
         out[:, range(g), range(g)] = 1.0
         out[:, g:, g:] = inner

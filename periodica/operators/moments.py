@@ -213,11 +213,12 @@ def linear_estimates(ds: PanelDataset, order: Order, fits: DataFrame) -> DataFra
     )
 
 
-def linear_forecast(ds: PanelDataset, order: Order, estimates: DataFrame, steps: int) -> DataFrame:
+def linear_forecast(ds: PanelDataset, order: Order, estimates: DataFrame, steps: int, residuals: DataFrame | None = None) -> DataFrame:
     """``(series_id, h, period_idx, prediction)`` by a fold over the future rows of a series.
 
     The fold keeps the last levels of ``u = y - x beta`` and applies the lag and
-    difference polynomials as one recursion.
+    difference polynomials as one recursion. Moving-average terms weigh the last
+    ``residuals`` (series_id, period_idx, resid).
     """
     g, nv = order.trend_cols, len(ds.exog_vars)
     span = order.lost + order.ar_span
@@ -237,6 +238,13 @@ def linear_forecast(ds: PanelDataset, order: Order, estimates: DataFrame, steps:
         F.sort_array(F.collect_list(F.when(~F.col("is_future"), F.struct("period_idx", "y", "x")))).alias("past"),
         F.sort_array(F.collect_list(F.when(F.col("is_future"), F.struct("period_idx", "x")))).alias("ahead"),
     ).join(estimates.select("series_id", "est"), "series_id")
+    shocks = error_weights(order, g + nv + order.p + order.sp)
+    if shocks:
+        late = residuals.withColumn("_back", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("period_idx").desc())))
+        late = late.filter(F.col("_back") <= max(shocks)).groupBy("series_id").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("_back", "resid"))), lambda r: r["resid"]).alias("shocks")
+        )
+        packed = packed.join(late, "series_id")
 
     def effect(x: Column) -> Column:
         return fitted(x, beta) if nv else F.lit(0.0)
@@ -254,6 +262,8 @@ def linear_forecast(ds: PanelDataset, order: Order, estimates: DataFrame, steps:
         for lag, weight in poly.items():
             ar = ar + weight * F.element_at(acc["hist"], F.lit(-lag))
         u = drift - ar
+        for lag, weight in shocks.items():  # errors after the last row are expected to be zero
+            u = u + F.when(h <= lag, weight * F.coalesce(F.get("shocks", lag - h), F.lit(0.0))).otherwise(F.lit(0.0))
         gain = effect(F.get("ahead", h - 1)["x"]) if nv else F.lit(0.0)
         keep = F.concat(F.slice(acc["hist"], -(span - 1), span - 1), F.array(u)) if span > 1 else (
             F.array(u) if span else acc["hist"]
@@ -282,6 +292,17 @@ def _full_polynomial(order: Order, offset: int) -> dict[int, Column]:
     return out
 
 
+def error_weights(order: Order, offset: int) -> dict[int, Column]:
+    """Weights of lag 1.. of ``theta(B) Theta(B^m)`` as columns over ``est``."""
+    theta = {i + 1: F.col("est")[offset + i] for i in range(order.q)}
+    out = dict(theta)
+    for j in range(order.sq):
+        c, lag = F.col("est")[offset + order.q + j], order.m * (j + 1)
+        for i, first in [(0, F.lit(1.0)), *theta.items()]:
+            out[i + lag] = out.get(i + lag, F.lit(0.0)) + first * c
+    return out
+
+
 def difference_weights(order: Order) -> dict[int, float]:
     """Weights of the lags in ``(1-B)^d (1-B^m)^D``."""
     diff = np.array([1.0])

@@ -46,6 +46,7 @@ class SARIMARegression:
         p_d_q_order: Sequence[int] = (0, 0, 0),
         P_D_Q_order: Sequence[int] = (0, 0, 0, 4),
         on_invalid: str = "raise",
+        estimator: str = "conditional",
     ):
         check_order(p_d_q_order, P_D_Q_order)
         repeats = repeated_lags(p_d_q_order, P_D_Q_order)
@@ -54,16 +55,17 @@ class SARIMARegression:
         self.p_d_q_order = tuple(p_d_q_order)
         self.P_D_Q_order = tuple(P_D_Q_order)
         self.on_invalid = on_invalid
+        self.estimator = estimator
 
     @property
     def order(self) -> Order:
         return Order(*self.p_d_q_order, *self.P_D_Q_order, trend=self.trend)
 
     def fit(self, ds: PanelDataset) -> FitTables:
-        return fit_order(ds, self.order, self.on_invalid)
+        return fit_order(ds, self.order, self.on_invalid, self.estimator)
 
     def predict(self, n: int, ds: PanelDataset) -> DataFrame:
-        return forecast_order(ds, self.order, n, self.on_invalid)
+        return forecast_order(ds, self.order, n, self.on_invalid, self.estimator)
 
     def sliding_window_forecast(
         self,
