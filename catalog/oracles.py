@@ -600,3 +600,17 @@ oracle(
     SELECT series_id, 'intercept' AS param, round(a, 4) AS estimate FROM co
     UNION ALL SELECT series_id, 'drift', round(b, 4) FROM co UNION ALL SELECT series_id, 'ma.L1', round(k, 4) FROM co""",
 )
+
+oracle(
+    "fit_autoregressive_errors",
+    f"""WITH {aligned()}, s AS (SELECT series_id, (period_idx - min(period_idx) OVER (PARTITION BY series_id) + 1)::DOUBLE AS t, y, l_discount AS x FROM rows WHERE NOT is_future),
+    w0 AS (SELECT series_id, {_two('y', 'x')} FROM s GROUP BY 1), c0 AS (SELECT series_id, k AS beta FROM w0),
+    u AS (SELECT s.*, s.y - beta * x AS u FROM s JOIN c0 USING (series_id)),
+    l AS (SELECT *, lag(u) OVER o AS u1, lag(y) OVER o AS y1, lag(x) OVER o AS x1 FROM u WINDOW o AS (PARTITION BY series_id ORDER BY t)),
+    w1 AS (SELECT series_id, {_two('u', 'u1')} FROM l WHERE u1 IS NOT NULL GROUP BY 1), c1 AS (SELECT series_id, k AS phi FROM w1),
+    f AS (SELECT series_id, t, phi, y - phi * y1 AS ys, x - phi * x1 AS xs FROM l JOIN c1 USING (series_id) WHERE u1 IS NOT NULL),
+    w2 AS (SELECT series_id, any_value(phi) AS phi, {_two('ys', 'xs')} FROM f GROUP BY 1), co AS (SELECT series_id, phi, {_LINE} FROM w2),
+    r AS (SELECT series_id, 'intercept' AS param, a AS estimate FROM co UNION ALL SELECT series_id, 'drift', b FROM co
+      UNION ALL SELECT series_id, 'l_discount', k FROM co UNION ALL SELECT series_id, 'ar.L1', phi FROM co)
+    SELECT series_id, param, round(estimate, 3) AS estimate, false AS converged FROM r""",
+)

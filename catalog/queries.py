@@ -30,6 +30,7 @@ from periodica.operators.backtest import sliding_window_forecast, sliding_window
 from periodica.operators.fill import backfill_forward_fill, drop_empty_vars
 from periodica.operators.fit import coefficient_table, fit_order
 from periodica.operators.forecast import forecast_order
+from periodica.operators.iterated import iterated_fit
 from periodica.operators.lag_products import design_width
 from periodica.operators.moments import design, products
 from periodica.operators.orders import brute_ranges, order_grid, order_rules, overspecified, repeats
@@ -409,6 +410,21 @@ def fit_seasonal_product(spark, sf):
     return _coef(fit_order(dataset(spark, sf, "M", ()), Order(2, 0, 0, 1, 0, 0, 4), "quarantine").coefficients)
 
 
+def fit_autoregressive_errors(spark, sf):
+    """One pass of the iteration: errors regressed on their last value, then filtered values on filtered values."""
+    out = iterated_fit(dataset(spark, sf, "M", ONE), AR1, max_passes=1)
+    names = F.array(*[F.lit(v) for v in AR1.names(list(ONE))])
+    rows = out.select("series_id", "converged", F.explode(F.arrays_zip(names.alias("param"), F.col("est").alias("estimate"))).alias("r"))
+    return rows.select("series_id", "r.param", _r("r.estimate", 3).alias("estimate"), "converged")
+
+
+def unconverged_series(spark, sf):
+    """How many passes the series take with all measures, and which had not settled by then."""
+    ds = dataset(spark, sf, "M")
+    out = iterated_fit(ds, Order(1, 0, 0, 1, 0, 0, 12), max_passes=4, tolerance=1e-4)
+    return out.select("series_id", F.col("passes").cast("bigint").alias("passes"), "converged", (F.col("move") > 0).alias("moved"))
+
+
 def fit_exog_ar(spark, sf):
     return _coef(fit_order(dataset(spark, sf), Order(1, 0, 0, 1, 0, 0, 4), "quarantine").coefficients)
 
@@ -557,7 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         drop_empty_variables, standardized, pca_loadings_2var, pca_scores_2var, pca_components_kept,
         pca_nvar, acf_table, acf_daily_events, kpss_statistic, kpss_differencing, adf_differencing,
         ordinary_difference, seasonal_difference, fit_trend, fit_trend_exog1, fit_ar1_trend, fit_info,
-        fit_diagnostics, fit_residuals, fit_ma, fit_ma_two_stage, fit_arma_two_stage, autoregression_gram, fit_seasonal_product, fit_exog_ar, order_grid_valid, overspecified_flags,
+        fit_diagnostics, fit_residuals, fit_ma, fit_ma_two_stage, fit_arma_two_stage, autoregression_gram, fit_seasonal_product, fit_autoregressive_errors, unconverged_series, fit_exog_ar, order_grid_valid, overspecified_flags,
         forecast_trend, forecast_trend_exog1, forecast_ar1, forecast_differenced, forecast_seasonal_arma,
         rolling_forecast_trend, rolling_forecast_exog1, rolling_forecast_ar1, rolling_rmse,
         rolling_forecast_arma, rolling_forecast_seasonal_product, brute_autoregression_grid, auto_candidates, forecast_arma_two_stage,
