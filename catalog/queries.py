@@ -245,7 +245,7 @@ def backfill_forward_fill_instants(spark, sf):
         F.col("event_type").alias("var"), "ts", "event_id",
         F.when(F.col("value") >= 20, F.col("value")).alias("value"),
     )
-    return backfill_forward_fill(events, tie=["event_id"], resolution="timestamp").select("var", "event_id", "value")
+    return backfill_forward_fill(events, tie=["event_id"]).select("var", "event_id", "value")
 
 
 def backfill_forward_fill_days(spark, sf):

@@ -1,61 +1,60 @@
 """Backfill and forward fill of long dated tables without one task per variable.
 
-A window over a whole variable would put a hot variable in one task. Rows are
-cut into chunks that are consistent with time order; each chunk is summarised by
-its first and last non-null value (combined map-side), the summaries are
-resolved among themselves, and rows only look inside their own chunk plus the
-two values their chunk inherits. Every window partition has a fixed bound.
+A window over a whole variable would put a hot variable in one task. Rows are dealt instead by ranges of
+(variable, time, tie), which cuts a hot variable, and a hot instant of it, into as many pieces as their size asks for. Each
+partition reports what it holds at its two edges; what flows over an edge is resolved on that table of one row a partition,
+and rows then look only inside their own variable in their own partition, plus the two values that flow in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from periodica.session import materialize
 
-#: Rows of one timestamp are split in blocks of this many consecutive row numbers.
-BLOCK_BITS = 20
 
+def _edges(placed: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """One row a partition: its first and its last variable, each with its first and last value there."""
+    at = F.when(F.col(value).isNotNull(), F.struct(*order))
+    own = placed.groupBy("_pid", *keys).agg(F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
+    facts = F.struct(*keys, "_first", "_last")
+    return own.groupBy("_pid").agg(F.min_by(facts, F.struct(*keys)).alias("low"), F.max_by(facts, F.struct(*keys)).alias("high"))
 
-def _nearest(df: DataFrame, part: list[str], order: list[str], first: str, last: str) -> tuple[Column, Column]:
+
+def _flows(edges: Sequence[Row], keys: list[str]) -> list[tuple]:
+    """(partition, its first variable, value that flows into it from before, its last variable, value that flows in from after)."""
+    def name(edge: Row) -> tuple:
+        return tuple(edge[k] for k in keys)
+
+    before, held = [], None
+    for e in edges:
+        low, high = name(e["low"]), name(e["high"])
+        inflow = held[1] if held is not None and held[0] == low else None
+        before.append(inflow)
+        out = e["high"]["_last"]
+        held = high, inflow if out is None and low == high else out
+    after, held = [], None
+    for e in reversed(edges):
+        low, high = name(e["low"]), name(e["high"])
+        inflow = held[1] if held is not None and held[0] == high else None
+        after.append(inflow)
+        out = e["low"]["_first"]
+        held = low, inflow if out is None and low == high else out
+    return [(e["_pid"], name(e["low"]), b, name(e["high"]), a) for e, b, a in zip(edges, before, reversed(after), strict=True)]
+
+
+def _nearest(part: list[str], order: list[str], value: str) -> tuple[Column, Column]:
     # "rows ... unbounded following" is quadratic in Spark, so the later
     # neighbour is read from a descending window with a growing frame.
     back = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
     fore = Window.partitionBy(*part).orderBy(*order)
     seen = (Window.unboundedPreceding, -1)
     return (
-        F.last(first, ignorenulls=True).over(back.rowsBetween(*seen)),
-        F.last(last, ignorenulls=True).over(fore.rowsBetween(*seen)),
-    )
-
-
-def _with_neighbours(
-    df: DataFrame, keys: list[str], levels: list[list[str]], order: list[str], first: str, last: str
-) -> DataFrame:
-    """Add ``_next``/``_prev``: nearest non-null value strictly after/before each row."""
-    if not levels:
-        nxt, prv = _nearest(df, keys, order, first, last)
-        return df.select("*", nxt.alias("_next"), prv.alias("_prev"))
-    chunk = keys + levels[-1]
-    at = F.struct(*order)
-    summary = df.groupBy(*chunk).agg(
-        F.min_by(first, F.when(F.col(first).isNotNull(), at)).alias("_first"),
-        F.max_by(last, F.when(F.col(last).isNotNull(), at)).alias("_last"),
-    )
-    if len(levels) > 1:  # read by its own windows and by the next coarser summary
-        summary = materialize(summary)
-    inherited = _with_neighbours(summary, keys, levels[:-1], levels[-1], "_first", "_last").select(
-        *chunk, F.col("_next").alias("_cnext"), F.col("_prev").alias("_cprev")
-    )
-    nxt, prv = _nearest(df, chunk, order, first, last)
-    local = df.select("*", nxt.alias("_lnext"), prv.alias("_lprev"))
-    return (
-        local.join(inherited, chunk)
-        .withColumn("_next", F.coalesce("_lnext", "_cnext"))
-        .withColumn("_prev", F.coalesce("_lprev", "_cprev"))
-        .drop("_lnext", "_lprev", "_cnext", "_cprev")
+        F.last(value, ignorenulls=True).over(back.rowsBetween(*seen)),
+        F.last(value, ignorenulls=True).over(fore.rowsBetween(*seen)),
     )
 
 
@@ -65,29 +64,30 @@ def backfill_forward_fill(
     ts: str = "ts",
     tie: Sequence[str] = ("row_no",),
     value: str = "value",
-    resolution: str = "date",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Null values take the next later value, else the last earlier one.
 
-    Ties on ``ts`` are ordered by the ``tie`` columns, whose first one is a whole
-    number (a row number, say) and also cuts the row blocks. ``resolution='date'``
-    needs date-only timestamps and uses one chunk level (day, row block);
-    ``'timestamp'`` nests day, second and instant.
+    Ties on ``ts`` are ordered by the ``tie`` columns. Rows are dealt to ``partitions`` ranges (the session's number of
+    shuffle partitions unless given) and written once, because ranges come from a sample and must not be drawn again.
     """
-    keys, order = list(keys), list(tie)
-    cut = (
-        df.withColumn("_day", F.unix_date(F.col(ts).cast("date")))
-        .withColumn("_blk", F.shiftright(F.col(order[0]).cast("bigint"), BLOCK_BITS))
-    )
-    if resolution == "date":
-        levels = [["_day", "_blk"]]
-    elif resolution == "timestamp":
-        cut = cut.withColumn("_sec", F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).withColumn("_at", F.col(ts))
-        levels = [["_day"], ["_day", "_sec"], ["_day", "_sec", "_at", "_blk"]]
-    else:
-        raise ValueError(f"unknown resolution {resolution!r}")
-    out = _with_neighbours(cut, keys, levels, order, value, value)
-    return out.withColumn(value, F.coalesce(value, "_next", "_prev")).select(*df.columns)
+    spark, keys, order = df.sparkSession, list(keys), [ts, *tie]
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(parts, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    edges = _edges(placed, keys, order, value).orderBy("_pid").collect()  # one row a partition
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = StructType([StructField(k, types[k]) for k in keys])
+    flow_type = StructType([
+        StructField("_pid", IntegerType()), StructField("_low", names), StructField("_before", types[value]),
+        StructField("_high", names), StructField("_after", types[value]),
+    ])
+    flows = F.broadcast(spark.createDataFrame(_flows(edges, keys), flow_type))
+    later, earlier = _nearest(["_pid", *keys], order, value)
+    rows = placed.select("*", later.alias("_next"), earlier.alias("_prev")).join(flows, "_pid")
+    name = F.struct(*keys)
+    from_after = F.when(name.eqNullSafe(F.col("_high")), F.col("_after"))
+    from_before = F.when(name.eqNullSafe(F.col("_low")), F.col("_before"))
+    return rows.withColumn(value, F.coalesce(value, "_next", from_after, "_prev", from_before)).select(*df.columns)
 
 
 def drop_empty_vars(filled: DataFrame, value: str = "value") -> DataFrame:
