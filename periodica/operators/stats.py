@@ -6,10 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from periodica.operators.lag_products import unpack
 from periodica.operators.panel import series_arrays
 
 MAX_D = 2
 ALPHA = 0.05
+#: Values of one stacked transform.
+ACF_VALUES = 1 << 20
 
 # KPSS level test (fixed values): statistic and p-value.
 KPSS_STAT = (0.347, 0.463, 0.574, 0.739)
@@ -128,38 +131,69 @@ def kpss_ndiffs(endog: DataFrame) -> DataFrame:
     return ndiffs_of_arrays(series_arrays(endog)).select("series_id", "ndiffs")
 
 
-def adf_test(y: np.ndarray) -> tuple[float, float]:
-    """t statistic of the lagged level in the Dickey-Fuller regression with trend, and its p-value.
+def adf_lags(n: Column) -> Column:
+    """Lagged differences of the Dickey-Fuller regression for ``n`` observations."""
+    return F.greatest(F.floor(F.pow(F.greatest(n - 1, F.lit(0)).cast("double"), F.lit(1 / 3)) + 1e-9), F.lit(0)).cast("int")
 
-    The p-value is interpolated over the sample size, then over the statistic.
-    """
-    n = len(y)
-    k = int((n - 1) ** (1 / 3) + 1e-9) if n > 1 else 0
-    dy = np.diff(y)
-    rows = np.arange(k, n - 1)
-    width = 3 + k
-    if len(rows) <= width:
-        return np.nan, np.nan
-    a = np.column_stack([np.ones(len(rows)), rows + 1.0, y[rows]] + [dy[rows - i] for i in range(1, k + 1)])
-    coef, _, rank, _ = np.linalg.lstsq(a, dy[rows], rcond=None)
-    resid = dy[rows] - a @ coef
-    var = (np.linalg.pinv(a.T @ a) * (resid @ resid / (len(rows) - width)))[2, 2]
-    if rank < width or not var > 0:
-        return np.nan, np.nan
-    stat = coef[2] / np.sqrt(var)
-    at_n = [np.interp(n - 1, DF_SIZES, column) for column in zip(*DF_STAT)]
-    return float(stat), float(np.interp(stat, at_n, DF_P))
-
-
-_TEST = T.StructType([T.StructField("stat", T.DoubleType()), T.StructField("p", T.DoubleType())])
 
+def _unit_root_solver(columns: int, level: int):
+    """t statistic of column ``level`` from packed products, whose last column is the target; null where it has none.
 
-@F.pandas_udf(_TEST)
-def adf_columns(y: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([adf_test(np.asarray(v, dtype=float)) for v in y], columns=["stat", "p"])
-
+    Columns are scaled to length one; ``used`` of them are not zero, and more rows than that are needed.
+    """
 
-adf_columns = adf_columns.asNondeterministic()
+    @F.pandas_udf("double")
+    def solve(packed: pd.Series, rows: pd.Series, used: pd.Series) -> pd.Series:
+        g = unpack(np.stack(packed.to_numpy()).astype(float), columns + 1)
+        first = g[:, :1, :] / np.maximum(g[:, :1, :1], 1.0)  # the constant's means: taken out before anything is scaled
+        g = g[:, 1:, 1:] - np.swapaxes(g[:, :1, 1:], 1, 2) @ first[:, :, 1:]
+        a, b, total = g[:, :-1, :-1], g[:, :-1, -1], g[:, -1, -1]
+        scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 0.0))
+        safe = np.where(scale > 0, scale, 1.0)
+        values, vectors = np.linalg.eigh(a / (safe[:, :, None] * safe[:, None, :]))
+        kept = values > 1e-11 * np.maximum(values[:, -1:], 1e-300)
+        inverse = (vectors * np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)[:, None, :]) @ np.swapaxes(vectors, 1, 2)
+        inverse /= safe[:, :, None] * safe[:, None, :]
+        coef = np.einsum("bij,bj->bi", inverse, b)
+        free = rows.to_numpy() - used.to_numpy()
+        left = np.maximum(total - (coef * b).sum(axis=1), 0.0)
+        at = level - 1
+        var = inverse[:, at, at] * left / np.where(free > 0, free, 1)
+        good = (free > 0) & (kept.sum(axis=1) + 1 == used.to_numpy()) & (var > 0) & (left > 1e-13 * np.maximum(total, 1e-300))
+        return pd.Series(np.where(good, coef[:, at] / np.sqrt(np.where(good, var, 1.0)), np.nan)).where(good, None)
+
+    return solve.asNondeterministic()
+
+
+def adf_stat(endog: DataFrame, most_lags: int) -> DataFrame:
+    """``(series_id, n, stat)``: t statistic of the lagged level in the Dickey-Fuller regression with constant and trend.
+
+    ``most_lags`` is the number of lagged differences of the longest series; a shorter one has the columns beyond its own
+    number set to zero. Products are summed by Spark, one small matrix per series is solved.
+    """
+    whole = Window.partitionBy("series_id")
+    run = whole.orderBy("period_idx")
+    rows = endog.select("series_id", "period_idx", F.count("*").over(whole).alias("n"), (F.col("y") - F.avg("y").over(whole)).alias("y"), F.row_number().over(run).alias("t"))
+    rows = rows.select("series_id", "n", "t", adf_lags(F.col("n")).alias("k"), F.lag("y").over(run).alias("level"), (F.col("y") - F.lag("y").over(run)).alias("dy"), "period_idx")
+    lagged = [F.when(F.col("k") >= i, F.lag("dy", i).over(run)).otherwise(F.lit(0.0)).alias(f"d{i}") for i in range(1, most_lags + 1)]
+    rows = rows.select("series_id", "n", "t", "k", "level", "dy", *lagged)
+    middle = F.col("t") - F.col("n") / 2
+    columns = [F.lit(1.0), middle, F.col("level"), *[F.col(f"d{i}") for i in range(1, most_lags + 1)], F.col("dy")]
+    packed = F.array(*[F.sum(columns[i] * columns[j]) for i in range(len(columns)) for j in range(i, len(columns))])
+    found = rows.filter(F.col("t") > F.col("k") + 1).groupBy("series_id").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.count("*").alias("rows"), packed.alias("gram"))
+    stat = _unit_root_solver(len(columns) - 1, 2)("gram", "rows", F.col("k") + 3)
+    return found.select("series_id", "n", stat.alias("stat"))
+
+
+def adf_p_value(stat: Column, n: Column) -> Column:
+    """p-value interpolated over the sample size, then over the statistic, clamped at the ends of the table."""
+    size = (n - 1).cast("double")
+    at = [interpolate(size, tuple(float(v) for v in DF_SIZES), column) for column in zip(*DF_STAT)]
+    out = F.lit(DF_P[-1])
+    for j in reversed(range(len(DF_P) - 1)):
+        share = (stat - at[j]) / (at[j + 1] - at[j])
+        out = F.when(stat < at[j + 1], DF_P[j] + share * (DF_P[j + 1] - DF_P[j])).otherwise(out)
+    return F.when(stat.isNotNull(), F.when(stat <= at[0], F.lit(DF_P[0])).otherwise(out))
 
 
 def adf_ndiffs(endog: DataFrame) -> DataFrame:
@@ -168,33 +202,42 @@ def adf_ndiffs(endog: DataFrame) -> DataFrame:
     ``(series_id, adf_stat, p_value, ndiffs)``; statistic and p-value are those of
     the undifferenced series.
     """
-    df = series_arrays(endog).withColumnRenamed("y", "y0")
-    df = df.withColumn("y1", array_difference(F.col("y0"))).withColumn("y2", array_difference(F.col("y1")))
-    df = df.withColumn("t0", adf_columns("y0")).withColumn("t1", adf_columns("y1"))
-    p = [F.col(f"t{d}.p") for d in range(MAX_D)]
-    known = [c.isNotNull() & ~F.isnan(c) for c in p]
-    const = [_constant(f"y{d}") for d in range(MAX_D + 1)]
-    return df.select(
-        "series_id",
-        F.col("t0.stat").alias("adf_stat"),
-        F.col("t0.p").alias("p_value"),
-        _ndiffs(const, [c > ALPHA for c in p], known).cast("bigint").alias("ndiffs"),
+    longest = endog.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max(adf_lags(F.col("n")))).first()[0] or 0
+    out = endog.groupBy("series_id").agg(F.count("*").alias("n"))
+    for d in range(MAX_D + 1):
+        level = difference(endog, d).withColumnRenamed("z", "y")
+        flat = level.groupBy("series_id").agg((F.min("y") == F.max("y")).alias(f"flat{d}"))
+        out = out.join(flat, "series_id", "left")
+        if d < MAX_D:
+            tested = adf_stat(level, longest).select("series_id", F.col("stat").alias(f"stat{d}"), adf_p_value(F.col("stat"), F.col("n")).alias(f"p{d}"))
+            out = out.join(tested, "series_id", "left")
+    p = [F.col(f"p{d}") for d in range(MAX_D)]
+    const = [F.coalesce(f"flat{d}", F.lit(True)) for d in range(MAX_D + 1)]
+    return out.select(
+        "series_id", F.col("stat0").alias("adf_stat"), F.col("p0").alias("p_value"),
+        _ndiffs(const, [F.coalesce(c > ALPHA, F.lit(False)) for c in p], [c.isNotNull() for c in p]).cast("bigint").alias("ndiffs"),
     )
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _acf(y: pd.Series) -> pd.Series:
-    def one(v):
-        v = np.asarray(v, dtype=float)
-        n = len(v)
-        e = v - v.mean()
-        size = 1 << (2 * n - 1).bit_length()
-        f = np.fft.rfft(e, size)
-        c = np.fft.irfft(f * np.conj(f), size)[: n + 1]
-        c[n:] = 0.0
-        return (c[1:] / c[0] if e @ e > 0 else np.full(n, np.nan)).tolist()
-
-    return y.map(one)
+    """Autocorrelations at lags 1..n; series of one length share a transform."""
+    out = np.empty(len(y), dtype=object)
+    for n, rows in y.groupby(y.map(len)).indices.items():
+        step = max(1, ACF_VALUES // n)
+        for lo in range(0, len(rows), step):
+            mine = rows[lo : lo + step]
+            e = np.stack(y.to_numpy()[mine]).astype(float)
+            e -= e.mean(axis=1, keepdims=True)
+            size = 1 << (2 * int(n) - 1).bit_length()
+            f = np.fft.rfft(e, size, axis=1)
+            c = np.fft.irfft(f * np.conj(f), size, axis=1)[:, : n + 1]
+            c[:, n:] = 0.0
+            flat = np.einsum("bn,bn->b", e, e) <= 0
+            r = c[:, 1:] / np.where(flat, np.nan, c[:, 0])[:, None]
+            for i, row in zip(mine, r, strict=True):
+                out[i] = row
+    return pd.Series(out)
 
 
 # inferred filters must not evaluate a transform or a test a second time
