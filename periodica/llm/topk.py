@@ -5,8 +5,10 @@ are one entry that keeps its ``k`` smallest ids, so copies cost nothing, and ``k
 all values within radius 0 of each of its segments, then those at radius 1, 2, ...; every code it meets is verified by its
 whole Hamming distance. Once radius r is done in all m segments, every code at distance below m * (r + 1) has been
 met; a query is finished when its kth verified distance is below that. The segment length follows the number of codes
-(about one code per bucket), so buckets stay small as the table grows. All steps are DataFrame joins on (segment, value);
-the masks of a radius are literals, at most ``2 ** segment bits``; the loop ends at the longest segment at the latest.
+(about one code per bucket), so buckets stay small as the table grows. Values at a radius are made by one more flip of
+those at the radius before, above their highest flipped bit, in place. All joins are sort-merge joins on (segment, value)
+or on the query: probes grow with the queries and the radius, so nothing is broadcast and no mask passes through the
+driver. The loop ends at the longest segment at the latest.
 
 Ties go to the smaller id. Ids that repeat are entries each. A query takes no part in its own answer. Rows with a null
 id or code are left out. An empty table gives no rows. Extra columns are ignored.
@@ -15,7 +17,6 @@ id or code are left out. An empty table gives no rows. Extra columns are ignored
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -50,12 +51,16 @@ def segments(n_codes: int, bits: int = BITS) -> list[tuple[int, int]]:
 
 
 def _values(code: Column, cuts: list[tuple[int, int]]) -> Column:
-    parts = [F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in cuts]
-    return F.array(*[F.struct(F.lit(i).alias("segment"), p.alias("value")) for i, p in enumerate(parts)])
+    """(segment, its bits, value, highest bit flipped so far) of every segment of a code."""
+    parts = [(F.lit(n), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << n) - 1))) for at, n in cuts]
+    return F.array(*[F.struct(F.lit(i).alias("segment"), n.alias("n"), p.alias("value"), F.lit(-1).alias("top")) for i, (n, p) in enumerate(parts)])
 
 
-def _masks(n: int, radius: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(n), radius)]
+def _flipped(probes: DataFrame) -> DataFrame:
+    """Every probe with one more bit flipped, above those already flipped; each set of bits comes up once."""
+    more = F.explode(F.when(F.col("top") + 1 < F.col("n"), F.sequence(F.col("top") + 1, F.col("n") - 1)))
+    wider = probes.select("query_code", "segment", "n", "value", more.alias("top"))
+    return wider.withColumn("value", F.expr("value ^ shiftleft(1L, top)"))
 
 
 def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
@@ -66,40 +71,38 @@ def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     few = held.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     codes = materialize(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     cuts = segments(codes.count(), bits)
-    index = materialize(codes.select("code", F.explode(_values(F.col("code"), cuts)).alias("at")).select("at.segment", "at.value", "code"))
-    left = materialize(queries.filter(F.col("id").isNotNull() & F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct())
-    everything = codes.agg(F.sum(F.size("ids"))).first()[0] or 0
+    index = codes.select("code", "ids", F.explode(_values(F.col("code"), cuts)).alias("at")).select("at.segment", "at.value", "code", "ids")
+    index = materialize(index)
+    asking = queries.filter(F.col("id").isNotNull() & F.col("code").isNotNull())
+    left = materialize(asking.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct())
+    nearest = Window.partitionBy("query_code").orderBy("distance", F.element_at("ids", 1))
     best, done = None, []
     longest = max(n for _, n in cuts)
     for radius in range(longest + 1):
-        shape = F.explode(_values(F.col("query_code"), cuts))
-        asked = left.select("query_code").distinct().select("query_code", shape.alias("at"))
-        masks = F.create_map(*[x for n in sorted({n for _, n in cuts}) for x in (F.lit(n), F.lit(_masks(n, radius)).cast("array<long>"))])
-        lengths = F.element_at(F.array(*[F.lit(n) for _, n in cuts]), F.col("at.segment") + 1)
-        flips = F.explode(F.element_at(masks, lengths)).alias("flip")
-        probes = asked.select("query_code", "at.segment", "at.value", flips).select("query_code", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query_code", "code").distinct()
-        near = met.select("query_code", "code", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).alias("distance"))
+        asked = left.select("query_code").distinct()
+        probes = asked.select("query_code", F.explode(_values(F.col("query_code"), cuts)).alias("at")).select("query_code", "at.*")
+        for _ in range(radius):
+            probes = _flipped(probes)
+        met = probes.select("query_code", "segment", "value").join(index.hint("merge"), ["segment", "value"])
+        near = met.select("query_code", "code", "ids", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).alias("distance"))
+        if best is not None:
+            near = near.unionByName(best.join(asked.hint("merge"), "query_code", "left_semi"))
         # k + 1 codes hold k ids besides the query's own
-        nearest = Window.partitionBy("query_code").orderBy("distance", "code")
-        pool = near.unionByName(best) if best is not None else near
-        full = pool.distinct().join(codes, "code").withColumn("least", F.element_at("ids", 1))
-        ranked = full.withColumn("n", F.row_number().over(nearest.orderBy("distance", "least"))).filter(F.col("n") <= k + 1)
-        best = materialize(ranked.select("query_code", "code", "distance"))
-        rows_of = left.join(best, "query_code").join(codes, "code").select("query_id", "query_code", "distance", F.explode("ids").alias("id")).filter("id != query_id")
-        first = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
-        found = rows_of.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
-        limit = len(cuts) * (radius + 1)
-        counted = found.groupBy("query_id", "query_code").agg(F.max("distance").alias("kth"), F.count("*").alias("n"))
-        covered = (F.col("n") >= k) & (F.col("kth") < limit)
-        if everything <= k or radius == longest:
-            covered = covered | F.lit(radius == longest)
-        ended = materialize(found.join(counted.filter(covered).select("query_id", "query_code"), ["query_id", "query_code"], "left_semi").select("query_id", "query_code", "rank", "id", "distance"))
+        once = near.groupBy("query_code", "code", "distance").agg(F.first("ids").alias("ids"))
+        best = materialize(once.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1).drop("n"))
+        own = left.join(best.hint("merge"), "query_code").select("query_id", "query_code", "distance", F.explode("ids").alias("id"))
+        query = Window.partitionBy("query_id", "query_code")
+        found = own.filter("id != query_id").withColumn("rank", F.row_number().over(query.orderBy("distance", "id"))).filter(F.col("rank") <= k)
+        if radius < longest:  # beyond the longest segment every code has been met
+            found = found.withColumn("kth", F.max("distance").over(query)).withColumn("held", F.count("*").over(query))
+            found = found.filter((F.col("held") >= k) & (F.col("kth") < len(cuts) * (radius + 1)))
+        ended = materialize(found.select("query_id", "query_code", "rank", "id", "distance"))
         done.append(ended.drop("query_code"))
-        left = materialize(left.join(ended.select("query_id", "query_code").distinct(), ["query_id", "query_code"], "left_anti"))
-        if left.isEmpty():
-            break
-        best = materialize(best.join(left.select("query_code").distinct(), "query_code", "left_semi"))
+        if radius < longest:
+            over = ended.filter("rank = 1").select("query_id", "query_code")
+            left = materialize(left.join(over.hint("merge"), ["query_id", "query_code"], "left_anti"))
+            if left.isEmpty():
+                break
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
