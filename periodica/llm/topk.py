@@ -4,7 +4,8 @@ Every code of ``bits`` bits is cut into segments, each with an index of its own:
 are one entry that keeps its ``k`` smallest ids, so copies cost nothing, and ``k`` ids always suffice. A query looks up
 all values within radius 0 of each of its segments, then those at radius 1, 2, ...; every code it meets is verified by its
 whole Hamming distance. Once radius r is done in all m segments, every code at distance below m * (r + 1) has been
-met; a query is finished when its kth verified distance is below that. The segment length follows the number of codes
+met; a query is finished when its kth verified distance is below that. With a kth distance d in hand, the first
+d - m * r + 1 segments suffice at radius r, and only those are looked up. The segment length follows the number of codes
 (about one code per bucket), so buckets stay small as the table grows. Values at a radius are made by one more flip of
 those at the radius before, above their highest flipped bit, in place. All joins are sort-merge joins on (segment, value)
 or on the query: probes grow with the queries and the radius, so nothing is broadcast and no mask passes through the
@@ -74,13 +75,16 @@ def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     index = codes.select("code", "ids", F.explode(_values(F.col("code"), cuts)).alias("at")).select("at.segment", "at.value", "code", "ids")
     index = materialize(index)
     asking = queries.filter(F.col("id").isNotNull() & F.col("code").isNotNull())
-    left = materialize(asking.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).distinct())
+    m, longest = len(cuts), max(n for _, n in cuts)
+    left = asking.select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(None).cast("int").alias("kth")).distinct()
+    left = materialize(left)
     nearest = Window.partitionBy("query_code").orderBy("distance", F.element_at("ids", 1))
     best, done = None, []
-    longest = max(n for _, n in cuts)
     for radius in range(longest + 1):
-        asked = left.select("query_code").distinct()
-        probes = asked.select("query_code", F.explode(_values(F.col("query_code"), cuts)).alias("at")).select("query_code", "at.*")
+        need = F.coalesce(F.least(F.lit(m), F.col("kth") - m * radius + 1), F.lit(m))
+        asked = left.groupBy("query_code").agg(F.max(need).alias("need"))
+        probes = asked.select("query_code", "need", F.explode(_values(F.col("query_code"), cuts)).alias("at")).select("query_code", "need", "at.*")
+        probes = probes.filter(F.col("segment") < F.col("need"))
         for _ in range(radius):
             probes = _flipped(probes)
         met = probes.select("query_code", "segment", "value").join(index.hint("merge"), ["segment", "value"])
@@ -90,17 +94,19 @@ def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
         # k + 1 codes hold k ids besides the query's own
         once = near.groupBy("query_code", "code", "distance").agg(F.first("ids").alias("ids"))
         best = materialize(once.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1).drop("n"))
-        own = left.join(best.hint("merge"), "query_code").select("query_id", "query_code", "distance", F.explode("ids").alias("id"))
+        met_ids = left.withColumn("need", need).join(best.hint("merge"), "query_code")
+        own = met_ids.select("query_id", "query_code", "need", "distance", F.explode("ids").alias("id")).filter("id != query_id")
         query = Window.partitionBy("query_id", "query_code")
-        found = own.filter("id != query_id").withColumn("rank", F.row_number().over(query.orderBy("distance", "id"))).filter(F.col("rank") <= k)
-        if radius < longest:  # beyond the longest segment every code has been met
-            found = found.withColumn("kth", F.max("distance").over(query)).withColumn("held", F.count("*").over(query))
-            found = found.filter((F.col("held") >= k) & (F.col("kth") < len(cuts) * (radius + 1)))
-        ended = materialize(found.select("query_id", "query_code", "rank", "id", "distance"))
-        done.append(ended.drop("query_code"))
+        ranked = own.withColumn("rank", F.row_number().over(query.orderBy("distance", "id"))).filter(F.col("rank") <= k)
+        ranked = ranked.withColumn("kth", F.max("distance").over(query)).withColumn("held", F.count("*").over(query))
+        # beyond the longest segment every code has been met
+        covered = (F.col("held") >= k) & (F.col("kth") < m * radius + F.col("need")) | F.lit(radius == longest)
+        ranked = materialize(ranked.withColumn("covered", covered))
+        done.append(ranked.filter("covered").select("query_id", "rank", "id", "distance"))
         if radius < longest:
-            over = ended.filter("rank = 1").select("query_id", "query_code")
-            left = materialize(left.join(over.hint("merge"), ["query_id", "query_code"], "left_anti"))
+            known = ranked.filter("rank = 1").select("query_id", "query_code", F.when(F.col("held") >= k, F.col("kth")).alias("kth"), "covered")
+            met_before = left.drop("kth").join(known.hint("merge"), ["query_id", "query_code"], "left")
+            left = materialize(met_before.filter(~F.coalesce("covered", F.lit(False))).drop("covered"))
             if left.isEmpty():
                 break
     out = done[0]
