@@ -6,7 +6,7 @@ all values within radius 0 of each of its segments, then those at radius 1, 2, .
 whole Hamming distance. Once radius r is done in all m segments, every code at distance below m * (r + 1) has been
 met; a query is finished when its kth verified distance is below that. With a kth distance d in hand, the first
 d - m * r + 1 segments suffice at radius r, and only those are looked up. The segment length follows the number of codes
-(about one code per bucket), so buckets stay small as the table grows. Values at a radius are made by one more flip of
+(at most about one code per bucket), so buckets stay small as the table grows. Values at a radius are made by one more flip of
 those at the radius before, above their highest flipped bit, in place. All joins are sort-merge joins on (segment, value)
 or on the query: probes grow with the queries and the radius, so nothing is broadcast and no mask passes through the
 driver. The loop ends at the longest segment at the latest.
@@ -44,9 +44,9 @@ def sign_code(vector: Column, start: int = 0, bits: int = BITS) -> Column:
 
 
 def segments(n_codes: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(first bit, length) of each segment, all of about log2 of the number of codes."""
-    target = min(max(SEGMENT_BITS[0], round(math.log2(max(2, n_codes)))), SEGMENT_BITS[1], bits)
-    m = math.ceil(bits / target)
+    """(first bit, length) of each segment: as many as are no shorter than log2 of the number of codes, within bounds."""
+    least = min(max(SEGMENT_BITS[0], math.log2(max(2, n_codes))), SEGMENT_BITS[1], bits)
+    m = max(1, int(bits // least))
     edges = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
