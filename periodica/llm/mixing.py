@@ -2,14 +2,16 @@
 
 Tokens are summed once per (source, language, topic). The largest ``MAX_VALUES`` values of each margin keep their own
 cell; all others share one, so the fitted table has at most ``(MAX_VALUES + 1) ** 3`` cells whatever the corpus holds,
-and only this table reaches the driver. Raking scales the cells' inclusion probabilities to one margin after the other
+and only this table reaches the driver. The margins of the values that share a cell are not raked one by one, only
+together: a bound on what is fitted, not on what is counted or sampled. Raking scales the cells' inclusion probabilities to one margin after the other
 and holds them at 1 at most, until no margin moves; where a margin has fewer tokens than its target, its cells end at
 1 and the rest is the gap that :func:`rake` reports. Documents are then sampled by their cell's probability with a
 uniform number made from doc_id, so a second run keeps the same documents.
 
 A null source, language or topic is a value of its own (the empty string). A null text has no tokens; a cell without
-tokens has probability 1. Rows that repeat a doc_id share its number and are kept or left together. Everything is
-DataFrame work but for the fit of the bounded table.
+tokens has probability 1. Rows that repeat a doc_id share its number and are kept or left together. Input columns keep
+their values, also one named like an output of this module: :func:`sample` says under which name its result stands.
+Everything is DataFrame work but for the fit of the bounded table.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from periodica.session import materialize
 
 MAX_VALUES = 63
 OTHER = "*"
+OWN = "="
 #: Targets are the measured shares to this power, normalised: small sources gain, large ones lose.
 TEMPERATURE = 0.85
 #: Share of all tokens to keep.
@@ -56,7 +59,7 @@ class Mixture:
     cells: tuple[tuple[str, str, str], ...]
     tokens: np.ndarray
     probability: np.ndarray
-    targets: tuple[dict[str, float], ...]
+    targets: tuple[dict[str | None, float], ...]  # None: all values without a cell of their own
     gap: float
 
 
@@ -104,21 +107,25 @@ def fit_mixture(
     x = np.array([r[3] for r in rows])
     numbers, goals, named_goals = [], [], []
     for k in range(3):
-        own = sorted({r[k] for r in rows} | set(targets[k] if targets else ()))
+        wanted = {OWN + v if v in values[k] else OTHER: 0.0 for v in (targets[k] if targets else ())}
+        for v, share in (targets[k] if targets else {}).items():
+            wanted[OWN + v if v in values[k] else OTHER] += share
+        own = sorted({r[k] for r in rows} | set(wanted))
         numbers.append(np.array([own.index(r[k]) for r in rows], np.int64))
         if targets:
-            goal = np.array([targets[k].get(v, 0.0) for v in own])
+            goal = np.array([wanted.get(v, 0.0) for v in own])
             goal = goal / goal.sum() if goal.sum() else goal
         else:
             goal = tempered(np.bincount(numbers[k], x, len(own)) / max(x.sum(), 1), temperature)
         goals.append(goal)
-        named_goals.append(dict(zip(own, goal.tolist(), strict=True)))
+        named_goals.append({v.removeprefix(OWN) if v.startswith(OWN) else None: g for v, g in zip(own, goal.tolist(), strict=True)})
     p, gap = rake(x, numbers, goals, budget) if rows else (np.zeros(0), 0.0)
     return Mixture(values, tuple(r[:3] for r in rows), x, p, tuple(named_goals), gap)
 
 
 def _listed(value: Column, values: tuple[str, ...]) -> Column:
-    return F.when(value.isin(*values), value).otherwise(OTHER) if values else F.lit(OTHER)
+    """The value if it has a cell of its own, marked so that no value is mistaken for the shared cell."""
+    return F.when(value.isin(*values), F.concat(F.lit(OWN), value)).otherwise(OTHER) if values else F.lit(OTHER)
 
 
 def uniform(doc_id: Column) -> Column:
@@ -126,15 +133,21 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def sample(docs: DataFrame, mixture: Mixture, margins: tuple[Column, Column, Column], doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``probability``, ``u`` and ``kept`` in one struct column ``mix``; no row is left out."""
+def sample(docs: DataFrame, mixture: Mixture, margins: tuple[Column, Column, Column], doc_id: str = "doc_id", out: str = "mix") -> DataFrame:
+    """``docs`` with ``probability``, ``u`` and ``kept`` in one struct column ``out``; no row is left out.
+
+    ``out`` must not be a column of ``docs``.
+    """
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {out!r} exists already")
     name = fresh(docs, "cell")
-    cell = F.concat_ws("\x1f", *[_listed(F.coalesce(m.cast("string"), F.lit("")), v) for m, v in zip(margins, mixture.values, strict=True)])
-    rows = [("\x1f".join(c), float(p)) for c, p in zip(mixture.cells, mixture.probability, strict=True)]
-    found = docs.sparkSession.createDataFrame(rows, f"`{name}` string, `{name}_p` double")
+    cell = F.struct(*[_listed(F.coalesce(m.cast("string"), F.lit("")), v).alias(n) for n, m, v in zip(MARGINS, margins, mixture.values, strict=True)])
+    rows = [(tuple(c), float(p)) for c, p in zip(mixture.cells, mixture.probability, strict=True)]
+    found = docs.sparkSession.createDataFrame(rows, f"`{name}` struct<{', '.join(f'{n}: string' for n in MARGINS)}>, `{name}_p` double")
     joined = docs.withColumn(name, cell).join(F.broadcast(found), name, "left")  # at most (MAX_VALUES + 1) ** 3 rows
-    p, u = F.coalesce(F.col(f"{name}_p"), F.lit(1.0)), uniform(F.col(doc_id))
-    return joined.withColumn("mix", F.struct(p.alias("probability"), u.alias("u"), (u < p).alias("kept"))).drop(name, f"{name}_p")
+    p, u = F.coalesce(F.col(f"{name}_p"), F.lit(1.0)), uniform(F.col(f"`{doc_id}`"))
+    mixed = joined.withColumn(out, F.struct(p.alias("probability"), u.alias("u"), (u < p).alias("kept")))
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], out)
 
 
 def _document_margins() -> tuple[Column, Column, Column]:
@@ -145,7 +158,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The sampled rows of ``docs`` under tempered targets."""
     margins = _document_margins()
     mixture = fit_mixture(docs, word_tokens(F.col("text")), margins)
-    return sample(docs, mixture, margins).filter("mix.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "mix")
+    return sample(docs, mixture, margins, out=name).filter(f"`{name}`.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
