@@ -43,7 +43,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL has no tokenizer and no SimHash; tests hold run() against a brute-force version.
+#: SQL has no tokenizer and no SimHash.
 ORACLE_SQL = None
 
 
