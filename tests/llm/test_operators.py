@@ -21,7 +21,7 @@ def load(sf_dir, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name]).to_arrow_table() if hasattr(con, "to_arrow_table") else con.execute(queries.ORACLES[name]).arrow()
     want = want.read_all() if hasattr(want, "read_all") else want
