@@ -11,13 +11,16 @@ anchor has a context: the bytes around it that a string of ``length`` with this
    stack scan, and each interval is tested for left extensions: among all its occurrences, not only neighbours, the common
    left lengths come from the sorted left contexts. Left plus right of at least ``length`` is a maximal repeat, and all
    its occurrences are marked.
-3. An anchor with over ``GROUP_CONTEXTS`` contexts is never one group: pieces a step
-   shorter than ``length`` are hashed and counted first, then, where a piece was found twice, the strings of ``length``
-   bytes around it. Spark splits the counts and adds up partially. This is exact for any number of contexts.
+3. An anchor with over ``GROUP_CONTEXTS`` contexts is never one group. Its strings fall into windows of places at which
+   they begin; all strings of a window share a piece, so contexts are grouped by (anchor, window, piece). Beside the piece
+   only the few bytes to its left and right still matter. Equal sides are counted by partial sums and are one row from
+   then on; the different sides of a group go to the same interval tree. A group with over ``PIECE_CONTEXTS`` different
+   sides is met again by narrower windows, one context for each of them, down to windows of a single place, where equal
+   strings are counted. This is exact for any number of contexts.
 
 Hashes that stand for text have 128 bits. A null text is empty. Texts shorter than ``length`` repeat nothing.
 Rows that repeat doc_id and text are documents of their own that repeat each other. Strings are judged on the input.
-Extra columns are returned as they came; those named like an output column are replaced. No rows give no rows.
+Other columns than doc_id and text are not returned. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ LENGTH = 400
 #: Long grams are seldom shared by chance, so few anchors have several contexts; anchors are about 2 / (LENGTH - GRAM) of all places.
 GRAM = 128
 GROUP_CONTEXTS = 256
+#: Different sides of one piece that one task holds; they are short, at most an eighth of ``LENGTH`` each.
+PIECE_CONTEXTS = 4096
 #: Bytes of one text that are scanned at a time; windows overlap, so the result is that of the whole.
 SCAN_BYTES = 4_000_000
 
@@ -175,22 +180,24 @@ def extents(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.nd
     return far_left, far_right
 
 
-def _grouped(dealt: DataFrame, length: int) -> DataFrame:
-    """(a, c1, c2, l, r) of contexts that came sorted by anchor."""
+def _trees(dealt: DataFrame, group: list[str], own: list[str], length: int) -> DataFrame:
+    """(*group, *own, l, r) of rows (*group, *own, left, right) that came sorted by ``group``; rows without a repeat go."""
+    n, names = len(group), [*group, *own]
 
     def scan(batches):
         def solved(rows):
-            left, right = extents([r[3] for r in rows], [r[4] for r in rows], length)
-            return [(*r[:3], int(x), int(y)) for r, x, y in zip(rows, left, right, strict=True) if x + y]
+            left, right = extents([r[-2] for r in rows], [r[-1] for r in rows], length)
+            return [(*r[:-2], int(x), int(y)) for r, x, y in zip(rows, left, right, strict=True) if x + y]
 
         def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["a", "c1", "c2", "l", "r"])
+            kinds = [*names, "l", "r"]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(kinds))], kinds)
 
         held: list[tuple] = []
         for batch in batches:
             done = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "left", "right")), strict=True):
-                if held and held[0][0] != row[0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "left", "right")), strict=True):
+                if held and held[0][:n] != row[:n]:
                     done += solved(held)
                     held = []
                 held.append(row)
@@ -198,52 +205,71 @@ def _grouped(dealt: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(solved(held))
 
-    return dealt.mapInArrow(scan, "a long, c1 long, c2 long, l long, r long")
+    return dealt.select(*names, "left", "right").mapInArrow(scan, ", ".join(f"{c} long" for c in (*names, "l", "r")))
 
 
-def _counted(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same by counting every string of ``length`` bytes of every context: for anchors with any number of them."""
+def _pieces(contexts: DataFrame, length: int, step: int, asked: bool) -> DataFrame:
+    """One row per context and window of ``step`` places, or per window that begins at a place of ``near`` if ``asked``.
 
-    step = max(1, length // 8)
+    A window at l0 has the strings that begin l0 to l0 + step - 1 bytes before the anchor. (g1, g2) stands for anchor, l0
+    and the piece that they share, (s1, s2) for the bytes to its left and right that they can have.
+    """
+    core, longs = length - step + 1, ["a", "c1", "c2", "l0", "g1", "g2", "s1", "s2"]
+    digest = xxhash.xxh3_128_digest
 
-    def pieces(batches):
-        for batch in slices(batches, "right", 200_000):
+    def cut(batches):
+        for batch in slices(batches, "right", 500_000):
             out = []
-            for a, c1, c2, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "left", "right")), strict=True):
-                whole = left + right
-                for i in range(len(left) // step + 1):
-                    at = len(left) - step * i
-                    if at + length - step <= len(whole):
-                        out.append((a, c1, c2, i, *_halves(xxhash.xxh3_128_digest(i.to_bytes(4, "little") + whole[at : at + length - step]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], ["a", "c1", "c2", "i", "k1", "k2"])
-
-    def hashes(batches):
-        for batch in slices(batches, "right", 200_000):
-            parts = []
-            for i, (left, right, near) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("left", "right", "near")), strict=True)):
-                data = np.frombuffer(left + right, np.uint8)
-                w1, w2 = gram_hashes(data, length).view(np.int64), gram_hashes(data, length, 0x5851F42D4C957F2D).view(np.int64)
-                l = len(left) - np.arange(len(w1))
-                own = np.isin(l // step, near)
-                parts.append((np.full(int(own.sum()), i), w1[own], w2[own], l[own]))
-            row, w1, w2, l = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(4))
-            own = [batch.column(c).take(pa.array(row.astype(np.int64))) for c in ("a", "c1", "c2")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(w1), pa.array(w2), pa.array(l.astype(np.int64))], ["a", "c1", "c2", "w1", "w2", "l"])
-
-    # whoever shares a string that begins l bytes before the anchor shares the shorter piece at l rounded down to a step
-    cut = materialize(contexts.mapInArrow(pieces, "a long, c1 long, c2 long, i long, k1 long, k2 long"))
-    twice = cut.groupBy("a", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("a", "k1", "k2")
-    near = cut.join(twice, ["a", "k1", "k2"], "left_semi").groupBy("a", "c1", "c2").agg(F.collect_list("i").alias("near"))
-    contexts = contexts.join(materialize(near), ["a", "c1", "c2"])
-    strings = materialize(contexts.mapInArrow(hashes, "a long, c1 long, c2 long, w1 long, w2 long, l long"))
-    # neighbouring anchors see the same string in one place: only equal strings around equal anchors are two occurrences
-    same = ["a", "l", "w1", "w2"]
-    again = strings.groupBy(same).agg(F.count("*").alias("n")).filter("n > 1").select(same)
-    met = strings.join(again, same, "left_semi")
-    return met.groupBy("a", "c1", "c2").agg(F.max("l").alias("l"), (F.lit(length) - F.min("l")).alias("r"))
-
-
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+            near = batch.column("near").to_pylist() if asked else [None] * batch.num_rows
+            for a, c1, c2, left, right, places in zip(*(batch.column(c).to_pylist() for c in ("a", "c1", "c2", "left", "right")), near, strict=True):
+                whole, n = left + right, len(left)
+                for l0 in range(0, n + 1, step) if places is None else places:
+                    at, end = n - l0, n - l0 + core
+                    if at < 0 or end > len(whole):
+                        continue
+                    before, after = whole[max(0, at - step + 1) : at], whole[end : end + step - 1]
+                    if len(before) + len(after) < step - 1:
+                        continue
+                    g = digest(a.to_bytes(8, "little", signed=True) + l0.to_bytes(4, "little") + whole[at:end])
+                    s = digest(len(before).to_bytes(4, "little") + before + after)
+                    out.append((a, c1, c2, l0, *_halves(g), *_halves(s), before, after))
+            kinds = [pa.int64()] * len(longs) + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [*longs, "left", "right"])
+
+    return contexts.mapInArrow(cut, ", ".join(f"{c} long" for c in longs) + ", left binary, right binary")
+
+
+def _refined(contexts: DataFrame, length: int, piece_contexts: int, step: int | None = None) -> DataFrame:
+    """(a, c1, c2, l, r) of contexts whose anchors have too many for one group. Contexts that come twice repeat each other."""
+    id3, group, side = ["a", "c1", "c2"], ["g1", "g2"], ["s1", "s2"]
+    asked, step = step is not None, step or max(1, length // 8)
+    core = length - step + 1
+    cut = materialize(_pieces(contexts, length, step, asked))
+    classes = cut.groupBy(*group, *side).agg(
+        F.count("*").alias("n"), F.first("l0").alias("l0"), F.first("left").alias("left"), F.first("right").alias("right"), F.min(F.struct(*id3)).alias("rep")
+    )
+    classes = materialize(classes)
+    l, r = F.col("l0") + F.col("l"), F.lit(core) - F.col("l0") + F.col("r")
+    found = classes.filter("n > 1").select(*group, *side, "l0", F.octet_length("left").cast("long").alias("l"), F.octet_length("right").cast("long").alias("r"))
+    if step > 1:
+        several = classes.groupBy(*group).agg(F.count("*").alias("m")).filter("m > 1")
+        met = materialize(classes.join(several, group))
+        dealt = met.filter(F.col("m") <= piece_contexts).repartition(*group).sortWithinPartitions(*group)
+        found = found.unionByName(_trees(dealt, group, [*side, "l0"], step - 1))
+    marks = cut.select(*id3, *group, *side).join(found.select(*group, *side, l.alias("l"), r.alias("r")), [*group, *side]).select(*id3, "l", "r")
+    if step > 1:
+        narrow = 1 if step <= 8 else int(np.ceil(np.sqrt(step)))
+        # equal sides have all their strings by now; one context of each class is enough for the others to meet
+        near = met.filter(F.col("m") > piece_contexts).select("rep.*", F.explode(F.sequence(F.col("l0"), F.col("l0") + (step - 1), F.lit(narrow))).alias("l0"))
+        if not near.isEmpty():
+            again = contexts.drop("near").join(near.groupBy(*id3).agg(F.collect_set("l0").alias("near")), id3)
+            marks = marks.unionByName(_refined(again, length, piece_contexts, narrow))
+    return marks
+
+
+def repeated_spans(
+    rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_contexts: int = GROUP_CONTEXTS, piece_contexts: int = PIECE_CONTEXTS
+) -> DataFrame:
     """(key, spans): for each document the places [start, end) that repeated strings cover, one per anchor, of ``rows`` (key, text).
 
     ``rows`` is read three times. Rows with equal keys must have equal texts.
@@ -258,18 +284,25 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     schema = "a long, c1 long, c2 long, m long, left binary, right binary"
 
     def read(batches):
+        last = None  # rows come sorted by key; those that repeat a row would bring the same contexts again
         for batch in slices(batches, "text", 1_000_000):
             out = []
-            for t, wanted in zip(utf8(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+            for key, t, wanted in zip(batch.column("key").to_pylist(), utf8(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+                if key == last:
+                    continue
+                last = key
                 out += [(w["a"], w["c1"], w["c2"], w["m"], *_sides(t, w["at"], length, gram)) for w in wanted]
             kinds = [pa.int64()] * 4 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["a", "c1", "c2", "m", "left", "right"])
 
-    contexts = materialize(rows.join(asked, "key").dropDuplicates(["key"]).select("text", "asked").mapInArrow(read, schema))
+    # a join that sorts: the table of places grows with the input. A context that still comes twice is of repeated rows,
+    # and all that these hold is repeated anyway
+    contexts = materialize(rows.hint("merge").join(asked, "key").select("key", "text", "asked").mapInArrow(read, schema))
     dealt = contexts.filter(F.col("m") <= group_contexts).repartition("a").sortWithinPartitions("a")
-    marks = _grouped(dealt, length)
-    if not contexts.filter(F.col("m") > group_contexts).isEmpty():
-        marks = marks.unionByName(_counted(contexts.filter(F.col("m") > group_contexts), length, gram))
+    marks = _trees(dealt, ["a"], ["c1", "c2"], length)
+    large = contexts.filter(F.col("m") > group_contexts).drop("m")
+    if not large.isEmpty():
+        marks = marks.unionByName(_refined(large, length, piece_contexts))
     reach = materialize(whole.unionByName(marks).groupBy(*id3).agg(F.max("l").alias("l"), F.max("r").alias("r")))
     spans = flat.select("key", "at", *id3).join(reach, id3).select("key", F.struct((F.col("at") - F.col("l")).alias("s"), (F.col("at") + F.col("r")).alias("e")).alias("span"))
     return spans.groupBy("key").agg(F.collect_set("span").alias("spans"))

@@ -80,16 +80,18 @@ def test_archive_missing_segment(spark, tmp_path):
     assert [r.complete for r in warc.reassembled(records.filter("segment != 2")).collect()] == [False]
 
 
-@pytest.mark.parametrize("group_contexts", [256, 1])
-def test_repeated_substrings(spark, group_contexts):
+@pytest.mark.parametrize(("length", "group_contexts", "piece_contexts"), [(40, 256, 1), (40, 1, 4096), (40, 1, 1), (96, 1, 4096), (96, 1, 1)])
+def test_repeated_substrings(spark, length, group_contexts, piece_contexts):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcdé \n"), n))
     shared, edge = word(90), word(40)
     texts = [word(50) + shared + word(60), shared, word(9) + edge, edge[:39] + word(30), edge + edge, "", None, "a" * 300, "x" * 39 + "y", word(700), "ab" * 45]
     texts += [word(7) + shared[10:70] + word(5) for _ in range(12)]
     rows = [(i, t, None) for i, t in enumerate(texts)] + [(0, texts[0], None), (None, texts[9], None)]
-    want = substrings.brute_force([(t or "").encode() for _, t, _ in rows], 40)
-    got = substrings.dedup_substrings(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(1)), length=40, gram=8, group_contexts=group_contexts)
+    long = word(130)
+    rows += [(100 + i, word(20) + long[i % 9 : 130 - i % 7] + word(20), None) for i in range(16)]
+    want = substrings.brute_force([(t or "").encode() for _, t, _ in rows], length)
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(1)), length=length, gram=8, group_contexts=group_contexts, piece_contexts=piece_contexts)
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, [(x.s, x.e) for x in r.runs]) for r in got.collect()), key=key) == sorted(((r[0], w) for r, w in zip(rows, want, strict=True)), key=key)
 
