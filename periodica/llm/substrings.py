@@ -39,7 +39,7 @@ from periodica.session import materialize
 LENGTH = 400
 #: Long grams are seldom shared by chance, so few anchors have several contexts; anchors are about 2 / (LENGTH - GRAM) of all places.
 GRAM = 128
-GROUP_CONTEXTS = 256
+GROUP_CONTEXTS = 1024
 #: Different sides of one piece that one task holds; they are short, at most an eighth of ``LENGTH`` each.
 PIECE_CONTEXTS = 4096
 #: Bytes of one text that are scanned at a time; windows overlap, so the result is that of the whole.
@@ -186,6 +186,8 @@ def _trees(dealt: DataFrame, group: list[str], own: list[str], length: int) -> D
 
     def scan(batches):
         def solved(rows):
+            if len(rows) < 2:
+                return []
             left, right = extents([r[-2] for r in rows], [r[-1] for r in rows], length)
             return [(*r[:-2], int(x), int(y)) for r, x, y in zip(rows, left, right, strict=True) if x + y]
 
@@ -252,16 +254,16 @@ def _refined(contexts: DataFrame, length: int, piece_contexts: int, step: int |
     l, r = F.col("l0") + F.col("l"), F.lit(core) - F.col("l0") + F.col("r")
     found = classes.filter("n > 1").select(*group, *side, "l0", F.octet_length("left").cast("long").alias("l"), F.octet_length("right").cast("long").alias("r"))
     if step > 1:
-        several = classes.groupBy(*group).agg(F.count("*").alias("m")).filter("m > 1")
-        met = materialize(classes.join(several, group))
-        dealt = met.filter(F.col("m") <= piece_contexts).repartition(*group).sortWithinPartitions(*group)
+        # groups too large for one task are few, so keeping them out seldom moves a row; lone sides are skipped in the scan
+        crowded = materialize(classes.groupBy(*group).agg(F.count("*").alias("m")).filter(F.col("m") > piece_contexts).select(*group))
+        dealt = classes.join(crowded, group, "left_anti").repartition(*group).sortWithinPartitions(*group)
         found = found.unionByName(_trees(dealt, group, [*side, "l0"], step - 1))
     marks = cut.select(*id3, *group, *side).join(found.select(*group, *side, l.alias("l"), r.alias("r")), [*group, *side]).select(*id3, "l", "r")
     if step > 1:
         narrow = 1 if step <= 8 else int(np.ceil(np.sqrt(step)))
         # equal sides have all their strings by now; one context of each class is enough for the others to meet
-        near = met.filter(F.col("m") > piece_contexts).select("rep.*", F.explode(F.sequence(F.col("l0"), F.col("l0") + (step - 1), F.lit(narrow))).alias("l0"))
-        if not near.isEmpty():
+        near = classes.join(crowded, group, "left_semi").select("rep.*", F.explode(F.sequence(F.col("l0"), F.col("l0") + (step - 1), F.lit(narrow))).alias("l0"))
+        if not crowded.isEmpty():
             again = contexts.drop("near").join(near.groupBy(*id3).agg(F.collect_set("l0").alias("near")), id3)
             marks = marks.unionByName(_refined(again, length, piece_contexts, narrow))
     return marks
