@@ -3,7 +3,8 @@
 Every line becomes a key: white space ``[\\x20\\x09-\\x0D]`` stripped at both ends, A-Z lower-cased. A key is
 stored as its 128-bit XXH3 hash, so the table of keys has a fixed width however long a line is. Spark counts in
 how many documents each hash occurs; hashes are counted once per document and added up per Arrow batch before
-the shuffle, so a line that a third of all documents hold costs one row per batch. Text is never shuffled.
+the shuffle, so a line that a third of all documents hold costs one row per batch. Text is not shuffled while the
+shared keys can be sent to every executor; with more of them, rows are put together again by a join on their number.
 
 Each row of the input is a document, also one that repeats another row. A null text has one empty line and stays
 null; an empty text has one empty line. The empty key is below ``min_chars`` and is never dropped. A document
@@ -20,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm.common import plus_longs, slices, table, utf8, without
+from periodica.llm.common import fresh, plus_longs, slices, table, utf8, without
 from periodica.session import materialize
 
 MIN_DOCS = 10
@@ -84,8 +85,8 @@ def _drop(lines: list[bytes], gone: np.ndarray) -> bytes:
     return b"\n".join([line for line, x in zip(lines, gone, strict=True) if not x])
 
 
-def _set(batch: pa.RecordBatch, text: str, kept: list[bytes | None], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
-    columns = {n: batch.column(n) for n in batch.schema.names if n != "_gone"}
+def _set(batch: pa.RecordBatch, text: str, kept: list[bytes | None], n_lines: list[int], n_dropped: list[int], helper: str = "") -> pa.RecordBatch:
+    columns = {n: batch.column(n) for n in batch.schema.names if n != helper}
     columns[text] = pa.array(kept, pa.binary()).cast(batch.schema.field(text).type)
     columns |= {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -96,7 +97,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with ``text`` rid of shared lines, plus ``n_lines`` (before) and ``n_dropped``."""
     spark = docs.sparkSession
-    docs = without(docs, "n_lines", "n_dropped", "_gone", "_row")
+    docs = without(docs, "n_lines", "n_dropped")
     counts = line_document_counts(docs, text, min_chars)
     shared = materialize(counts.filter(F.col("n") >= min_docs).select("h1", "h2"))
     schema = plus_longs(docs, "n_lines", "n_dropped")
@@ -127,37 +128,48 @@ def dedup_lines(
 
 def _drop_joined(docs: DataFrame, shared: DataFrame, text: str, min_chars: int, schema) -> DataFrame:
     """The same when the shared keys are too many to send: lines meet them in a join, rows are put together by id."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    row, helper = fresh(docs, "line_row"), fresh(docs, "lines_gone")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
 
     def explode(batches):
         for batch in slices(batches, "text"):
             ids, at, hashes = [], [], []
-            for row, t in zip(batch.column("_row").to_pylist(), utf8(batch.column("text")), strict=True):
+            for number, t in zip(batch.column("line_row").to_pylist(), utf8(batch.column("text")), strict=True):
                 for i, h in enumerate(_key_hashes(t.split(b"\n"), min_chars)):
                     if h:
-                        ids.append(row)
+                        ids.append(number)
                         at.append(i)
                         hashes.append(h)
             h1, h2 = _pairs(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(h1), pa.array(h2)], ["_row", "at", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(h1), pa.array(h2)], ["line_row", "at", "h1", "h2"])
 
-    lines = rows.select("_row", F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(explode, "_row long, at long, h1 long, h2 long")
-    gone = lines.join(shared, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_list("at").alias("_gone"))
+    lines = rows.select(F.col(row).alias("line_row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(explode, "line_row long, at long, h1 long, h2 long")
+    gone = lines.join(shared, ["h1", "h2"], "left_semi").groupBy(F.col("line_row").alias(row)).agg(F.collect_list("at").alias(helper))
 
     def drop(batches):
         for batch in slices(batches, text):
             texts = batch.column(text).cast(pa.binary()).to_pylist()
             kept, sizes, dropped = [], [], []
-            for t, at in zip(texts, batch.column("_gone").to_pylist(), strict=True):
+            for t, at in zip(texts, batch.column(helper).to_pylist(), strict=True):
                 lines = (t or b"").split(b"\n")
                 own = np.zeros(len(lines), bool)
                 own[at or []] = True
                 kept.append(_drop(lines, own) if at else t)
                 sizes.append(len(lines))
                 dropped.append(len(at or []))
-            yield _set(batch, text, kept, sizes, dropped)
+            yield _set(batch, text, kept, sizes, dropped, helper)
 
-    return rows.join(gone, "_row", "left").drop("_row").mapInArrow(drop, schema)
+    return rows.join(gone, row, "left").drop(row).mapInArrow(drop, schema)
+
+
+def without_shared_lines(docs: DataFrame, n_chars: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with all its columns as they came but the text rid of shared lines, and the text's length in ``n_chars`` if there."""
+    kept = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    out = dedup_lines(docs.withColumnsRenamed(kept), **options).drop("n_lines", "n_dropped")
+    out = out.withColumnsRenamed({new: c for c, new in kept.items()})
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.length(options.get("text", "text")).cast(docs.schema[n_chars].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
