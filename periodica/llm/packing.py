@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm.common import plus_longs, slices, table, utf8
+from periodica.llm.common import fresh, plus_longs, slices, table, utf8
 from periodica.session import materialize
 
 CAPACITY = 2048
@@ -149,8 +149,10 @@ def pack(
     names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     pieces = pieces.select(*[F.col(f"`{c}`") for c in names])
     packers = max(1, math.ceil(pieces.count() / pieces_per_packer))
-    mixed = F.xxhash64("doc_id", "piece")
-    dealt = pieces.repartition(packers, mixed).sortWithinPartitions(F.xxhash64("doc_id", "piece", F.lit(1)), "doc_id", "piece")
+    # by number of the row, so that many rows of one id, or of none, are spread; the numbers of a written table repeat
+    row = fresh(pieces, "piece_row")
+    numbered = pieces.withColumn(row, F.monotonically_increasing_id())
+    dealt = numbered.repartition(packers, F.xxhash64(row)).sortWithinPartitions(F.xxhash64(row, F.lit(1)), row).drop(row)
 
     def fill(batches):
         bins = BestFit(capacity, open_bins)
