@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from periodica.llm import langid, line_dedup, mixing, packing, simhash
 from periodica.llm.common import table
@@ -16,8 +16,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents share go; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return line_dedup.without_shared_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
