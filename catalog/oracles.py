@@ -165,6 +165,25 @@ oracle(
 
 # --- import layouts ------------------------------------------------------------------------
 
+ORACLES["sink_round_trip"] = ORACLES["aligned_dataset"]
+oracle(
+    "quarantine_ledger",
+    f"""WITH e AS (SELECT o_custkey::VARCHAR || ' ' || o_orderpriority AS series_id, {IDX['Y'].format(c='o_orderdate')} AS period_idx,
+    CASE WHEN o_orderstatus = 'P' AND o_totalprice < 50000 THEN NULL WHEN o_totalprice > 400000 THEN 'inf'::DOUBLE ELSE o_totalprice END AS y
+    FROM orders),
+    xb AS (SELECT min(year(l_shipdate)) AS x_lo, max(year(l_shipdate)) AS x_hi FROM lineitem),
+    s AS (SELECT series_id, bool_and(y IS NOT NULL) AS no_null, count(*) = count(DISTINCT period_idx) AS no_duplicate_period,
+      count(DISTINCT period_idx) = max(period_idx) - min(period_idx) + 1 AS no_gap,
+      count(*) FILTER (WHERE period_idx BETWEEN x_lo AND x_hi) AS n,
+      count(*) FILTER (WHERE period_idx BETWEEN x_lo AND x_hi AND isinf(y)) = 0 AS finite FROM e, xb GROUP BY 1),
+    sound AS (SELECT * FROM s WHERE no_null AND no_duplicate_period AND no_gap)
+    SELECT series_id, 'series' AS stage, 'no_null' AS reason FROM s WHERE NOT no_null
+    UNION ALL SELECT series_id, 'series', 'no_duplicate_period' FROM s WHERE NOT no_duplicate_period
+    UNION ALL SELECT series_id, 'series', 'no_gap' FROM s WHERE NOT no_gap
+    UNION ALL SELECT series_id, 'align', 'overlaps' FROM sound WHERE n = 0
+    UNION ALL SELECT series_id, 'dataset', 'endog_finite' FROM sound WHERE n > 0 AND NOT finite
+    UNION ALL SELECT series_id, 'model', 'enough_rows_for_terms' FROM sound WHERE n > 0 AND finite AND n < 3""",
+)
 oracle(
     "year_month_unpivot",
     f"""WITH e AS (SELECT {IDX['M'].format(c='o_orderdate')} AS period_idx, avg(o_totalprice) AS y FROM orders GROUP BY 1)
@@ -182,6 +201,16 @@ oracle(
     "statement_one_label",
     f"WITH {_STATEMENT} SELECT series_id, period_idx, {LABEL['Q']} AS period, round(y, 4) AS y FROM st WHERE series_id = '2-HIGH O'",
 )
+ORACLES["statement_scan"] = ORACLES["statement_one_label"]
+ORACLES["year_month_scan"] = ORACLES["year_month_unpivot"]
+oracle(
+    "dated_sheet_scan",
+    f"""WITH d AS (SELECT l_shipdate::DATE AS day, count(*) AS n, {', '.join(f'avg({m}) AS {m}' for m in MEASURES)} FROM lineitem GROUP BY 1),
+    u AS ({' UNION ALL '.join(f"SELECT '{m}' AS var, day, CASE WHEN (n + {i}) % 3 <> 0 THEN {m} END AS v FROM d" for i, m in enumerate(MEASURES))})
+    SELECT var, day, round(coalesce(
+      first_value(v IGNORE NULLS) OVER (PARTITION BY var ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+      last_value(v IGNORE NULLS) OVER (PARTITION BY var ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS value FROM u""",
+)
 oracle(
     "quarter_label_parse",
     """WITH l AS (SELECT 'Q' || quarter(o_orderdate) || ' ' || lpad((year(o_orderdate) % 100)::VARCHAR, 2, '0') AS label FROM orders),

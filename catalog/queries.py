@@ -7,6 +7,7 @@ which run past the last order and so give real future periods.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,6 +33,7 @@ from periodica.operators.fit import coefficient_table, fit_order
 from periodica.operators.forecast import forecast_order
 from periodica.operators.iterated import iterated_fit
 from periodica.operators.lag_products import design_width
+from periodica.operators.ledger import broken, quarantine
 from periodica.operators.moments import design, products
 from periodica.operators.orders import brute_ranges, order_grid, order_rules, overspecified, repeats
 from periodica.operators.quality import series_rules
@@ -40,7 +42,9 @@ from periodica.operators.two_stage import two_stage_fit
 from periodica.operators.stats import adf_ndiffs, autocorrelation, difference, kpss_ndiffs, kpss_stat
 from periodica.plans.models import AutoARIMARegression, BruteForceARIMARegression, SARIMARegression
 from periodica.plans.run import RunConfig, run_on_dataset
-from periodica.sources.layouts import statement_series, year_month_series
+from periodica.session import shared_folder
+from periodica.sources.layouts import import_endogenous, import_exogenous, statement_series, year_month_series
+from periodica.sources.sinks import write_outputs
 
 MEASURES = ("l_quantity", "l_discount", "l_extendedprice")
 AS_OF_YEAR = 2026
@@ -196,14 +200,29 @@ GRID_MONTHS = (
 )
 
 
-def year_month_unpivot(spark, sf):
+def _file(spark, kind: str) -> str:
+    """A new path in the shared folder, for files made from the tables and read back."""
+    return f"{shared_folder(spark)}/periodica-{kind}-{uuid.uuid4().hex}"
+
+
+def _year_month_grid(spark, sf) -> DataFrame:
     orders = table(spark, sf, "orders")
     cells = [
         F.avg(F.when(F.month("o_orderdate") == i + 1, F.col("o_totalprice"))).cast("string").alias(name)
         for i, name in enumerate(GRID_MONTHS)
     ]
-    grid = orders.groupBy(F.year("o_orderdate").alias("Year")).agg(*cells)
-    return year_month_series(grid, "price").select("series_id", "period_idx", "period", _r("y", 4).alias("y"))
+    return orders.groupBy(F.year("o_orderdate").alias("Year")).agg(*cells)
+
+
+def year_month_unpivot(spark, sf):
+    return year_month_series(_year_month_grid(spark, sf), "price").select("series_id", "period_idx", "period", _r("y", 4).alias("y"))
+
+
+def year_month_scan(spark, sf):
+    """The grid written as CSV and imported by its format."""
+    path = _file(spark, "grid")
+    _year_month_grid(spark, sf).write.option("header", True).csv(path)
+    return import_endogenous(spark, path, "price", "excel_table", AS_OF_YEAR).select("series_id", "period_idx", "period", _r("y", 4).alias("y"))
 
 
 def _statement_table(spark, sf) -> DataFrame:
@@ -230,6 +249,40 @@ def statement_one_label(spark, sf):
     return out.select("series_id", "period_idx", "period", _r("y", 4).alias("y"))
 
 
+def statement_scan(spark, sf):
+    """The statement written as CSV; one label imported by its format and checked."""
+    path = _file(spark, "statement")
+    _statement_table(spark, sf).write.option("header", True).csv(path)
+    out = import_endogenous(spark, path, "2-HIGH O", "financial_statement", AS_OF_YEAR)
+    return out.select("series_id", "period_idx", "period", _r("y", 4).alias("y"))
+
+
+def dated_sheet_scan(spark, sf):
+    """Daily ship measures as one sheet export a year, a third of the cells empty; read by line number and filled."""
+    days = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(
+        F.count("*").alias("n"), *[F.avg(m).alias(m) for m in MEASURES]
+    )
+    shown = [F.when((F.col("n") + i) % 3 != 0, F.col(m).cast("string")).otherwise("") for i, m in enumerate(MEASURES)]
+    rows = days.select(
+        F.year("day").alias("sheet"), (F.dayofyear("day") + 6).alias("line"),
+        F.concat_ws(",", F.date_format("day", "MM/dd/yyyy"), *shown).alias("value"),
+    )
+    top = ["ship measures", "", "01/01/1900,1", "," + ",".join(MEASURES), "unit,u,u,u", ""]
+    heads = rows.select("sheet").distinct().select("sheet", F.posexplode(F.array(*[F.lit(t) for t in top])).alias("line", "value"))
+    path = _file(spark, "sheets")
+    # a sheet is a year of days, so one task can write it in order
+    sheets = rows.unionByName(heads).repartition("sheet").sortWithinPartitions("sheet", "line")
+    sheets.select("sheet", "value").write.partitionBy("sheet").text(path)
+    out = import_exogenous(spark, path, "macro")
+    return out.select("var", F.to_date("ts").alias("day"), _r("value").alias("value"))
+
+
+def sink_round_trip(spark, sf):
+    """The chain's data table written by the sink and read again."""
+    outputs = run_on_dataset(dataset(spark, sf), RunConfig("", "excel_table", "price", AS_OF_YEAR))
+    return _measures(spark.read.parquet(write_outputs(outputs, _file(spark, "out"), "parquet")["data"]))
+
+
 def quarter_label_parse(spark, sf):
     orders = table(spark, sf, "orders")
     label = F.format_string("Q%d %02d", F.quarter("o_orderdate"), F.year("o_orderdate") % 100)
@@ -556,6 +609,19 @@ def chain_subset_pca_forecast(spark, sf):
     return _forecast(run_on_dataset(dataset(spark, sf), cfg, on_invalid="quarantine")["predict"])
 
 
+def quarantine_ledger(spark, sf):
+    """Single orders of a customer and priority as yearly rows: pending cheap ones without a price, dear ones overflown."""
+    price = F.col("o_totalprice")
+    endog = table(spark, sf, "orders").select(
+        F.concat_ws(" ", F.col("o_custkey").cast("string"), "o_orderpriority").alias("series_id"),
+        period_index("o_orderdate", "Y").alias("period_idx"),
+        F.when((F.col("o_orderstatus") == "P") & (price < 50000), F.lit(None).cast("double"))
+        .when(price > 400000, F.lit(float("inf"))).otherwise(price).alias("y"),
+    )
+    ds, left_out = quarantine(endog, ship_measures(spark, sf, "Y", MEASURES[:1]), "Y", MEASURES[:1])
+    return left_out.unionByName(broken(SARIMARegression((0, 0, 0), (0, 0, 0, 2)).rules(ds), "model"))
+
+
 def quarterly_trend_backtest(spark, sf):
     """Flagship: mean order price per priority and quarter, rolling trend forecast."""
     return _backtest(sliding_window_forecast(dataset(spark, sf, "Q", ()), TREND, 0.8, on_invalid="quarantine"))
@@ -569,6 +635,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         realized_future_split, endogenous_data, exogenous_data, future_exogenous_data,
         future_exog_horizon, column_subset, frequency_check, gap_and_dup_check, dataset_rule_table,
         quarantined_dataset, next_periods, year_month_unpivot, statement_import, statement_one_label,
+        year_month_scan, statement_scan, dated_sheet_scan, sink_round_trip, quarantine_ledger,
         quarter_label_parse, backfill_forward_fill_instants, backfill_forward_fill_days,
         drop_empty_variables, standardized, pca_loadings_2var, pca_scores_2var, pca_components_kept,
         pca_nvar, acf_table, acf_daily_events, kpss_statistic, kpss_differencing, adf_differencing,

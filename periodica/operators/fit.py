@@ -14,6 +14,7 @@ from periodica.operators.align import PanelDataset
 from periodica.operators.moments import linear_estimates, linear_fit, linear_residuals, on_moments
 from periodica.operators.orders import ORDER_COLS, TREND_TERMS
 from periodica.operators.panel import dataset_arrays
+from periodica.operators.quality import as_rules
 from periodica.operators.two_stage import long_enough, two_stage_fit
 from periodica.operators.units import fit_udf, unit_columns
 from periodica.session import materialize
@@ -79,6 +80,15 @@ def require_specified(
     return replace(ds, df=marked.filter(whole & ~short).select(*ds.df.columns))
 
 
+def specification_rules(ds: PanelDataset, needed: int, window: Column | None = None, lost: int = 0) -> DataFrame:
+    """The row counts that :func:`require_specified` asks for, as rules ``(series_id, rule, ok)``."""
+    per = ds.df.groupBy("series_id").agg(
+        F.count_if(~F.col("is_future")).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("_nx")
+    )
+    rows = F.col("n") if window is None else window
+    return as_rules(per, {"enough_rows_for_terms": rows >= F.col("_nx") + needed, "rows_left_after_differencing": rows > lost})
+
+
 def split_by_rows(ds: PanelDataset, long_enough: Column) -> tuple[PanelDataset, PanelDataset | None]:
     """Series for which a condition on ``n`` holds, and the others (None when there are none)."""
     counts = ds.realized.groupBy("series_id").agg(F.count("*").alias("n"))

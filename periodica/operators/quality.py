@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from periodica.errors import InvariantError
 
 
-def _as_rules(per_series: DataFrame, rules: dict) -> DataFrame:
+def as_rules(per_series: DataFrame, rules: dict) -> DataFrame:
     named = per_series.select("series_id", *[c.cast("boolean").alias(n) for n, c in rules.items()])
     return named.unpivot("series_id", list(rules), "rule", "ok")
 
@@ -24,7 +24,7 @@ def series_rules(series: DataFrame) -> DataFrame:
         F.count("*").alias("n_periods"),
         (F.max("period_idx") - F.min("period_idx") + 1).alias("span"),
     )
-    return _as_rules(
+    return as_rules(
         per_series,
         {
             "no_null": F.col("n_null") == 0,
@@ -72,7 +72,7 @@ def dataset_rules(ds: DataFrame, n_vars: int | None) -> DataFrame:
         (F.min("x_lo") == F.max("x_hi")).alias("same_x"),
     )
     c = F.col
-    return _as_rules(
+    return as_rules(
         per_series,
         {
             "no_duplicate_period": c("n_max") == 1,

@@ -18,6 +18,7 @@ from periodica.operators.fit import (
     fit_units,
     require_specified,
     required_rows,
+    specification_rules,
     tables,
     unit_names,
     unit_residuals,
@@ -61,6 +62,11 @@ class SARIMARegression:
     def order(self) -> Order:
         return Order(*self.p_d_q_order, *self.P_D_Q_order, trend=self.trend)
 
+    def rules(self, ds: PanelDataset) -> DataFrame:
+        """Which series have rows enough for a fit, as ``(series_id, rule, ok)``."""
+        o = self.order
+        return specification_rules(ds, required_rows(o, 0), lost=o.lost)
+
     def fit(self, ds: PanelDataset) -> FitTables:
         return fit_order(ds, self.order, self.on_invalid, self.estimator)
 
@@ -88,6 +94,10 @@ class _ChosenOrders:
     def orders(self, ds: PanelDataset) -> DataFrame:
         raise NotImplementedError
 
+    def rules(self, ds: PanelDataset) -> DataFrame:
+        """Which series have rows enough for the smallest candidate, as ``(series_id, rule, ok)``."""
+        return specification_rules(ds, required_rows(Order(0, 0, 0, 0, 0, 0, 2), 0))
+
     def _units(self, ds: PanelDataset) -> DataFrame:
         ds = require_specified(ds, required_rows(Order(0, 0, 0, 0, 0, 0, 2), 0), self.on_invalid)
         return self._with_orders(ds, self.orders(ds))
@@ -184,6 +194,12 @@ class BruteForceARIMARegression(_ChosenOrders):
     def orders(self, ds: PanelDataset | None = None) -> DataFrame:
         return self._best
 
+    def rules(self, ds: PanelDataset) -> DataFrame:
+        """Which series have an order that the search could score, as ``(series_id, rule, ok)``."""
+        chosen = self._best.select("series_id", F.lit(True).alias("ok"))
+        every = ds.realized.select("series_id").distinct().join(chosen, "series_id", "left")
+        return every.select("series_id", F.lit("an_order_is_valid").alias("rule"), F.coalesce("ok", F.lit(False)).alias("ok"))
+
 
 def make_model(
     kind: str, p_d_q_order: Sequence[int], P_D_Q_order: Sequence[int], ds: PanelDataset, on_invalid: str = "raise"

@@ -11,12 +11,13 @@ import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from periodica.errors import ImportFailed
 from periodica.functions.periods import month_number, period_label, quarter_label_index
 from periodica.operators.fill import backfill_forward_fill, drop_empty_vars
 from periodica.operators.quality import raise_on_violations, series_rules
+from periodica.session import materialize
 
 # Cell texts read as null in statements (fixed values): the layout's own three first.
 STATEMENT_NULLS = (
@@ -162,28 +163,46 @@ def year_month_series(df: DataFrame, endog: str, year: str = "Year") -> DataFram
 # --- dated table ---------------------------------------------------------------------------
 
 
-def read_dated(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of dated sheet exports as ``(file, line, col, name, day, raw)``.
+def numbered_lines(spark: SparkSession, path: str, header: int) -> DataFrame:
+    """``(file, line, head, value)``: every line of every file with its number from 1, and line ``header`` of its file.
 
-    Line numbers decide what is header, so a file is read as one row and split
-    inside its task. A sheet holds at most 1,048,576 lines; many files spread
-    over many tasks.
+    A file is read in as many splits as its size asks for. The lines are written once with the split they start in and a
+    number that counts up by one inside a split; lines before a split are a running sum over one row per split. Both
+    come from that one written scan, so a changed cluster or a lost executor cannot move a split between passes. The
+    join deals lines by split, whose size is bounded, so a file that holds most of the rows is no hot key.
     """
+    at = ("file", "block")
+    lines = materialize(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    ))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(
+        lines.groupBy(*at).agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+        .select(*at, "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), "first")
+        .select(*at, "n", "before", (F.col("before") - F.col("first") + 1).alias("shift"))
+    )
+    number = F.col("seq") + F.col("shift")
+    holds = F.lit(header).between(F.col("before") + 1, F.col("before") + F.col("n"))
+    heads = lines.join(splits.filter(holds), list(at)).filter(number == header).select("file", F.col("value").alias("head"))
+    return lines.join(splits.select(*at, "shift").join(heads, "file", "left"), list(at)).select("file", number.alias("line"), "head", "value")
+
+
+def read_dated(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of dated sheet exports as ``(file, line, col, name, day, raw)``; line numbers decide what is header."""
     # commas inside double quotes do not separate cells
     def cells_of(line: Column) -> Column:
         return F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(c, '^"|"$', ""))
 
-    sheet = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n").alias("lines"),
+    rows = numbered_lines(spark, path, DATED_NAMES_LINE).select(
+        "file", "line", cells_of(F.col("head")).alias("names"), cells_of(F.col("value")).alias("cells")
     )
-    rows = sheet.select(
-        "file",
-        F.coalesce(cells_of(F.get("lines", F.lit(DATED_NAMES_LINE - 1))), F.array()).alias("names"),
-        F.posexplode(F.slice("lines", DATED_FIRST_DATA_LINE, 1 << 30)),
-    ).select("file", "names", (F.col("pos") + DATED_FIRST_DATA_LINE).alias("line"), cells_of(F.col("col")).alias("cells"))
+    # the condition on the line keeps the check of days above the join that numbers the lines
+    day = F.when(F.col("line") >= DATED_FIRST_DATA_LINE, _sheet_day(F.get("cells", F.lit(0))))
     return (
-        rows.withColumn("day", _sheet_day(F.get("cells", F.lit(0))))
+        rows.withColumn("day", day)
         .filter(F.col("day").isNotNull())
         .select("file", "line", "day", "names", F.posexplode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))))
         .select(

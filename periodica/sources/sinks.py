@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-OUTPUT_NAMES = ("data", "pca", "fit", "information", "diagnostics", "predict", "sliding_window")
+OUTPUT_NAMES = (
+    "data", "pca", "fit", "information", "diagnostics", "predict", "sliding_window",
+    "stationarity", "autocorrelation", "quarantine",
+)
 
 
 def write_table(

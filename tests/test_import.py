@@ -131,6 +131,35 @@ def test_dated_sheet_fills_by_day(spark, tmp_path):
             dated(spark, tmp_path, names, [row], f"bad{i}.csv")
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """A sheet read in many small splits, beside others of other widths, one without names and an empty one."""
+    from periodica.sources.layouts import read_dated
+
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=i) for i in range(400)]
+    want, folder = {}, tmp_path / "sheets"
+    folder.mkdir()
+    for name, k, end in (("a.csv", 3, "\r\n"), ("b.csv", 1, "\n"), ("c.csv", 7, "\n")):
+        top = ["t", "", "01/01/1900,9" * 30, "," + ",".join(f"{name}{j}" for j in range(k)), "u", ""]
+        rows = [f"{d:%m/%d/%Y}," + ",".join(str(i * 10 + j) for j in range(k)) for i, d in enumerate(days)]
+        (folder / name).write_bytes(end.join([*top, *rows, "", ""]).encode())
+        want |= {(name, i + 7, f"{name}{j}"): float(i * 10 + j) for i in range(len(days)) for j in range(k)}
+    (folder / "short.csv").write_text("x\n01/01/2000,1\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "nameless.csv").write_text("a\nb\nc\n\ne\nf\n01/01/2000,5\n")
+    want["nameless.csv", 7, ""] = 5.0
+    for size in ("134217728", "2500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "2500" else "4194304")
+        try:
+            if size == "2500":
+                assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+            got = {(r["file"].rsplit("/", 1)[1], r["line"], r["name"]): float(r["raw"]) for r in read_dated(spark, str(folder)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == want
+
+
 def test_every_output_is_written(spark, tmp_path):
     df = spark.createDataFrame([("a", i, float(i)) for i in (5, 3, 8)], "series_id string, h int, prediction double")
     out = write_table(df, str(tmp_path / "sorted"), "csv", order_by=["h"])
