@@ -1,17 +1,17 @@
 """Sources mixed to target weights by iterative proportional fitting (raking).
 
-Tokens are summed once per (source, language, topic). The largest ``MAX_VALUES`` values of each margin keep their own
-cell; all others share one, so the fitted table has at most ``(MAX_VALUES + 1) ** 3`` cells whatever the corpus holds,
-and only this table reaches the driver. The margins of the values that share a cell are not raked one by one, only
-together: a bound on what is fitted, not on what is counted or sampled. Raking scales the cells' inclusion probabilities to one margin after the other
-and holds them at 1 at most, until no margin moves; where a margin has fewer tokens than its target, its cells end at
-1 and the rest is the gap that :func:`rake` reports. Documents are then sampled by their cell's probability with a
-uniform number made from doc_id, so a second run keeps the same documents.
+Tokens are summed once per (source, language, topic); every value of a margin is raked on its own. Raking scales the
+cells' inclusion probabilities to one margin after the other and holds them at 1 at most, until no margin moves; where
+a margin has fewer tokens than its target, its cells end at 1 and the rest is the gap that :func:`rake` reports. A table
+of at most ``CELL_ROWS`` cells and ``CELL_BYTES`` bytes of names is raked in one array and broadcast to the documents; a
+larger one stays a table, is raked by the same steps as sums and joins (:func:`rake_table`) and joined by salted keys.
+Both follow the same rule, so the size decides only where the steps run. Documents are then sampled by their cell's
+probability with a uniform number made from doc_id, so a second run keeps the same documents.
 
 A null source, language or topic is a value of its own (the empty string). A null text has no tokens; a cell without
 tokens has probability 1. Rows that repeat a doc_id share its number and are kept or left together. Input columns keep
 their values, also one named like an output of this module: :func:`sample` says under which name its result stands.
-Everything is DataFrame work but for the fit of the bounded table.
+Everything is DataFrame work but for the fit of a bounded table.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from periodica.llm.common import fresh, table
 from periodica.session import materialize
 
-MAX_VALUES = 63
-OTHER = "*"
-OWN = "="
+#: Largest table of cells that is raked on the driver and sent to every executor.
+CELL_ROWS, CELL_BYTES = 262_144, 32 * 1024 * 1024
+#: Parts that the rows of one margin value or cell are dealt to where tables are joined.
+SALTS = 32
 #: Targets are the measured shares to this power, normalised: small sources gain, large ones lose.
 TEMPERATURE = 0.85
 #: Share of all tokens to keep.
@@ -53,14 +54,13 @@ def form_topic(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mixture:
-    """Values with a cell of their own, per margin, and the inclusion probability of each cell."""
+    """Cells ``(source, lang, topic, tokens, probability)``, whether their size is bounded, and the gap left to the targets."""
 
-    values: tuple[tuple[str, ...], ...]
-    cells: tuple[tuple[str, str, str], ...]
-    tokens: np.ndarray
-    probability: np.ndarray
-    targets: tuple[dict[str | None, float], ...]  # None: all values without a cell of their own
+    cells: DataFrame
+    small: bool
     gap: float
+    #: Shares by value per margin; None where the table of cells is not bounded.
+    targets: tuple[dict[str, float], ...] | None = None
 
 
 def rake(
@@ -92,40 +92,77 @@ def tempered(shares: np.ndarray, temperature: float) -> np.ndarray:
     return raised / raised.sum() if raised.sum() else raised
 
 
+def salted(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """Left join of ``big`` to one row per key; rows of a key are dealt to ``SALTS`` parts by the columns of ``spread``."""
+    name = fresh(big, "salt")
+    copies = small.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = big.withColumn(name, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [*keys, name], "left").drop(name)
+
+
+def rake_table(full: DataFrame, goals: list[DataFrame], budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """:func:`rake` for cells ``(source, lang, topic, tokens)`` of any number; ``goals[k]`` is ``(value, goal)`` of margin k."""
+    total = float(full.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return full.withColumn("probability", F.lit(1.0)), 0.0
+    cells = materialize(full.withColumn("before", F.lit(budget)).withColumn("p", F.lit(budget)))
+    for _ in range(rounds):
+        cells = cells.withColumn("before", F.col("p"))
+        for name, goal in zip(MARGINS, goals, strict=True):
+            have = cells.groupBy(name).agg(F.sum(F.col("p") * F.col("tokens")).alias("have")).join(goal.withColumnRenamed("value", name), name, "left")
+            scale = F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) * (budget * total) / F.col("have")).otherwise(1.0)
+            joined = salted(cells, have.select(name, scale.alias("scale")), [name], list(MARGINS))
+            cells = materialize(joined.withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("scale"))).drop("scale"))
+        if cells.agg(F.max(F.abs(F.col("p") - F.col("before")))).first()[0] < tolerance:
+            break
+    gaps = []
+    for name, goal in zip(MARGINS, goals, strict=True):
+        have = cells.groupBy(F.col(name).alias("value")).agg(F.sum(F.col("p") * F.col("tokens")).alias("have")).join(goal, "value", "full")
+        gaps.append(have.agg(F.max(F.abs(F.coalesce("have", F.lit(0.0)) / (budget * total) - F.coalesce("goal", F.lit(0.0))))).first()[0])
+    p = F.when(F.col("tokens") > 0, F.col("p")).otherwise(1.0)
+    return cells.select(*MARGINS, "tokens", p.alias("probability")), float(max(gaps))
+
+
+def _goal_table(full: DataFrame, name: str, wanted: dict[str, float] | None, temperature: float) -> DataFrame:
+    """Normalised target shares ``(value, goal)`` of one margin; without ``wanted`` the tempered measured ones."""
+    if wanted is not None:
+        whole = sum(wanted.values())
+        return full.sparkSession.createDataFrame([(v, float(g / whole if whole else g)) for v, g in wanted.items()], "value string, goal double")
+    raised = materialize(full.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("t")).filter("t > 0").select("value", F.pow("t", F.lit(temperature)).alias("r")))
+    return raised.select("value", (F.col("r") / F.lit(raised.agg(F.sum("r")).first()[0])).alias("goal"))
+
+
 def fit_mixture(
     docs: DataFrame, tokens: Column, margins: tuple[Column, Column, Column], targets: tuple[dict[str, float], ...] | None = None,
     temperature: float = TEMPERATURE, budget: float = BUDGET,
 ) -> Mixture:
     """Rake the token table of ``docs``. ``targets`` gives shares by value for each margin; without it they are tempered."""
     named = [F.coalesce(m.cast("string"), F.lit("")).alias(n) for m, n in zip(margins, MARGINS, strict=True)]
-    full = materialize(docs.select(*named, tokens.alias("t")).groupBy(*MARGINS).agg(F.sum("t").alias("tokens")))
-    values = tuple(
-        tuple(r[0] for r in full.groupBy(n).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), n).limit(MAX_VALUES).collect()) for n in MARGINS
-    )
-    cells = full.groupBy(*[_listed(F.col(n), v).alias(n) for n, v in zip(MARGINS, values, strict=True)]).agg(F.sum("tokens").alias("tokens"))
-    rows = sorted((r[0], r[1], r[2], float(r[3] or 0)) for r in cells.collect())
+    full = materialize(docs.select(*named, tokens.alias("t")).groupBy(*MARGINS).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("tokens")))
+    size = full.agg(F.count("*").alias("n"), F.sum(sum(F.octet_length(n) for n in MARGINS)).alias("bytes")).first()
+    if size["n"] > CELL_ROWS or (size["bytes"] or 0) > CELL_BYTES:
+        goals = [_goal_table(full, n, targets[k] if targets else None, temperature) for k, n in enumerate(MARGINS)]
+        cells, gap = rake_table(full, goals, budget)
+        return Mixture(cells, False, gap)
+    rows = sorted((r[0], r[1], r[2], float(r[3])) for r in full.collect())
     x = np.array([r[3] for r in rows])
     numbers, goals, named_goals = [], [], []
     for k in range(3):
-        wanted = {OWN + v if v in values[k] else OTHER: 0.0 for v in (targets[k] if targets else ())}
-        for v, share in (targets[k] if targets else {}).items():
-            wanted[OWN + v if v in values[k] else OTHER] += share
+        wanted = targets[k] if targets else {}
         own = sorted({r[k] for r in rows} | set(wanted))
-        numbers.append(np.array([own.index(r[k]) for r in rows], np.int64))
+        place = {v: i for i, v in enumerate(own)}
+        numbers.append(np.array([place[r[k]] for r in rows], np.int64))
         if targets:
-            goal = np.array([wanted.get(v, 0.0) for v in own])
+            goal = np.array([float(wanted.get(v, 0.0)) for v in own])
             goal = goal / goal.sum() if goal.sum() else goal
         else:
             goal = tempered(np.bincount(numbers[k], x, len(own)) / max(x.sum(), 1), temperature)
         goals.append(goal)
-        named_goals.append({v.removeprefix(OWN) if v.startswith(OWN) else None: g for v, g in zip(own, goal.tolist(), strict=True)})
+        named_goals.append(dict(zip(own, goal.tolist(), strict=True)))
     p, gap = rake(x, numbers, goals, budget) if rows else (np.zeros(0), 0.0)
-    return Mixture(values, tuple(r[:3] for r in rows), x, p, tuple(named_goals), gap)
-
-
-def _listed(value: Column, values: tuple[str, ...]) -> Column:
-    """The value if it has a cell of its own, marked so that no value is mistaken for the shared cell."""
-    return F.when(value.isin(*values), F.concat(F.lit(OWN), value)).otherwise(OTHER) if values else F.lit(OTHER)
+    schema = ", ".join(f"{n} string" for n in MARGINS) + ", tokens double, probability double"
+    cells = docs.sparkSession.createDataFrame([(*r, float(q)) for r, q in zip(rows, p, strict=True)], schema)
+    return Mixture(cells, True, gap, tuple(named_goals))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -140,12 +177,14 @@ def sample(docs: DataFrame, mixture: Mixture, margins: tuple[Column, Column, Col
     """
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out!r} exists already")
-    name = fresh(docs, "cell")
-    cell = F.struct(*[_listed(F.coalesce(m.cast("string"), F.lit("")), v).alias(n) for n, m, v in zip(MARGINS, margins, mixture.values, strict=True)])
-    rows = [(tuple(c), float(p)) for c, p in zip(mixture.cells, mixture.probability, strict=True)]
-    found = docs.sparkSession.createDataFrame(rows, f"`{name}` struct<{', '.join(f'{n}: string' for n in MARGINS)}>, `{name}_p` double")
-    joined = docs.withColumn(name, cell).join(F.broadcast(found), name, "left")  # at most (MAX_VALUES + 1) ** 3 rows
-    p, u = F.coalesce(F.col(f"{name}_p"), F.lit(1.0)), uniform(F.col(f"`{doc_id}`"))
+    names = [fresh(docs, f"cell_{n}") for n in MARGINS]
+    chance = fresh(docs, "cell_p")
+    marked = docs.withColumns({c: F.coalesce(m.cast("string"), F.lit("")) for c, m in zip(names, margins, strict=True)})
+    found = mixture.cells.select(*[F.col(n).alias(c) for n, c in zip(MARGINS, names, strict=True)], F.col("probability").alias(chance))
+    # ids may be null or repeated, so texts help to deal rows out
+    spread = [doc_id, *[c for c, t in docs.dtypes if t == "string" and c != doc_id]]
+    joined = marked.join(F.broadcast(found), names, "left") if mixture.small else salted(marked, found, names, spread)
+    p, u = F.coalesce(F.col(chance), F.lit(1.0)), uniform(F.col(f"`{doc_id}`"))
     mixed = joined.withColumn(out, F.struct(p.alias("probability"), u.alias("u"), (u < p).alias("kept")))
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], out)
 

@@ -54,6 +54,40 @@ def test_probabilities_equal_plain_raking(spark):
         assert r.mix.kept == (r.mix.u < r.mix.probability)
 
 
+def test_every_value_is_raked_on_its_own(spark):
+    """Far more values of a margin than fit a short list, each brought to its own target."""
+    rng = np.random.default_rng(41)
+    rows = [(i, "w " * int(rng.integers(50, 90)) + "x" * 200, "en" if i // 150 % 3 else "de", f"s{i % 150}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    goal = {f"s{i}": 1.0 + i / 150 for i in range(150)}
+    mixture = mixing.fit_mixture(docs, mixing.word_tokens(F.col("text")), mixing._document_margins(), (goal, {"en": 0.6, "de": 0.4}, {"prose": 1.0}), budget=0.3)
+    kept = {r[0]: r[1] for r in mixture.cells.groupBy("source").agg(F.sum(F.col("tokens") * F.col("probability"))).collect()}
+    total = sum(kept.values())
+    assert len(kept) == 150 and mixture.gap < 1e-6
+    for v, g in goal.items():
+        assert kept[v] / total == pytest.approx(g / sum(goal.values()), abs=1e-6)
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_a_table_of_cells_is_raked_alike(spark, monkeypatch, given):
+    """The same steps as sums and joins; the join of documents by salted keys."""
+    docs, margins, tokens = corpus(spark), mixing._document_margins(), mixing.word_tokens(F.col("text"))
+    targets = ({"src0": 0.2, "src1": 0.7, "gone": 0.1}, {"en": 0.5, "de": 0.5}, {"prose": 0.5, "short": 0.5}) if given else None
+    monkeypatch.setattr(mixing.rake, "__defaults__", (2, 0.0))
+    monkeypatch.setattr(mixing.rake_table, "__defaults__", (2, 0.0))
+    small = mixing.fit_mixture(docs, tokens, margins, targets)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 1)
+    large = mixing.fit_mixture(docs, tokens, margins, targets)
+    assert small.small and not large.small and large.gap == pytest.approx(small.gap, rel=1e-9)
+
+    def drawn(mixture):
+        out = mixing.sample(docs, mixture, margins).select("doc_id", "text", "source", "lang", "mix.probability")
+        return sorted(((r[0] or -1, r[1] or "", r[2] or "", r[3] or ""), r[4]) for r in out.collect())
+
+    a, b = drawn(small), drawn(large)
+    assert [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b], rel=1e-9)
+
+
 def test_names_and_values_that_clash(spark):
     docs = corpus(spark).withColumn("mix", F.lit("mine")).withColumn("cell", F.lit(1)).withColumn("a.b", F.lit(2))
     kept = mixing.mix_documents(docs)
