@@ -7,9 +7,10 @@ One absolute discount per language and order interpolates each order with the ne
 
 The model is a sorted hash array per order: 64-bit hashes of the grams of all languages in ascending order, found
 through an index of their leading bits, with one column of log-probabilities per language; contexts have one of their
-own for the interpolation weights, used where a gram was never seen. It has at most ``MAX_CELLS`` probabilities: should
-the corpus hold more different grams, the rarest ones of all languages (below a count that Spark finds from a histogram
-of counts) are left to the lower orders, as in any pruned model. A text's language is that with the lowest
+own for the interpolation weights, used where a gram was never seen. Arrays hold at most ``MAX_CELLS`` probabilities of
+4-grams: should the corpus hold more, Spark works out all orders from all counts as tables (:class:`Tables`), the arrays
+keep the most frequent 4-grams (from a count that Spark finds by a histogram of counts), and the others that a text holds
+are looked up by joins. Either way every gram counts, with the same probabilities. A text's language is that with the lowest
 cross-entropy per unit. The score is a softmax of these entropies; its sharpness is fitted on at most
 ``CALIBRATION_ROWS`` labelled documents that are kept out of the counts, and so is, for each language, how far above its
 own mean the entropy of an accepted text may lie: far in short texts, less in long ones (:func:`_spread`).
@@ -23,17 +24,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from periodica.llm.common import fresh, slices, table
-from periodica.session import materialize
+from periodica.session import bounded_side, materialize
 
 ORDER = 4
+#: Probabilities of 4-grams that are sent to every task; those of rarer ones stay in tables.
 MAX_CELLS = 8_000_000
 CALIBRATION_ROWS = 4000
 #: And at most this share of the labelled documents.
@@ -185,9 +188,44 @@ class HashArray:
         return found
 
 
+@dataclass
+class Tables:
+    """``grams[k]`` (gram, log_p) and ``contexts[k]`` (context, weight) of order k + 1, logarithms with a value per language."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    unseen: list[float]
+
+    def look_up(self, grams: DataFrame) -> DataFrame:
+        """(gram, log_p) of different 4-grams; those never seen by the weights of their contexts and their longest seen end."""
+        found = grams.select("gram")
+        for k in range(ORDER, 0, -1):
+            end = F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)) if k < ORDER else F.col("gram")
+            found = found.withColumn("end", end).withColumn("context", F.shiftrightunsigned("end", 16))
+            for side, on, value in ((self.grams[k - 1], "end", "log_p"), (self.contexts[k - 1], "context", "weight")):
+                units = k if on == "end" else k - 1
+                side = side.select(F.col(side.columns[0]).alias(on), F.col(value).alias(f"{value}{k}"))
+                found = found.join(_by_units(side, units, len(self.unseen)), on, "left")
+            found = found.drop("end", "context")
+        value = F.lit(self.unseen)
+        for k in range(1, ORDER + 1):
+            if k > 1:
+                value = F.coalesce(F.zip_with(f"weight{k}", value, lambda w, v: w + v), value)
+            value = F.coalesce(F.col(f"log_p{k}").cast("array<double>"), value)
+        return found.select("gram", value.alias("log_p"))
+
+
+def _by_units(side: DataFrame, units: int, width: int) -> DataFrame:
+    """A side of a join keyed by so many units: there are at most 65,536 single ones, else a join that sorts."""
+    return bounded_side(side, 1 << (16 * units), 16 * width + 48) if units <= 1 else side.hint("merge")
+
+
 @dataclass
 class Model:
-    """``grams[k]`` and ``log_p[k]`` (languages x grams) for order k + 1; ``weights[k]`` for the contexts of order k + 1."""
+    """``grams[k]`` and ``log_p[k]`` (languages x grams) for order k + 1; ``weights[k]`` for the contexts of order k + 1.
+
+    With ``tables`` the only arrays are those of the most frequent 4-grams.
+    """
 
     langs: list[str]
     grams: list[HashArray] = field(default_factory=list)
@@ -198,9 +236,29 @@ class Model:
     sharpness: float = 1.0
     mean: np.ndarray | None = None
     limit: np.ndarray | None = None
+    tables: Tables | None = None
+    #: Whether there are tables, also where they are not sent along.
+    partial: bool = False
+
+    def shipped(self, spark: SparkSession) -> Broadcast[Model]:
+        return spark.sparkContext.broadcast(replace(self, tables=None))
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per unit (texts x languages) and the number of units; 0 units where a text has no letter."""
+    def absent(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, 4-gram and how often it comes there, of all that the arrays do not hold."""
+        units, starts = folded(texts)
+        grams = _packed(units)
+        place = np.flatnonzero(_inside(starts) & (self.grams[-1].find(grams) < 0))
+        who, grams = np.searchsorted(starts, place, "right") - 1, grams[place]
+        order = np.lexsort((grams, who))
+        who, grams = who[order], grams[order]
+        first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (grams[1:] != grams[:-1])])) if len(who) else np.zeros(0, np.int64)
+        return who[first], grams[first], np.diff(np.append(first, len(who)))
+
+    def entropies(self, texts: list[str], rest: list[list[float] | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per unit (texts x languages) and the number of units; 0 units where a text has no letter.
+
+        ``rest`` has for each text the sums over 4-grams that the arrays do not hold, if these are not all.
+        """
         units, starts = folded(texts)
         begin = starts[:-1] + ORDER - 1
         n = starts[1:] - begin
@@ -212,16 +270,18 @@ class Model:
         grams = _packed(units)
         at = self.grams[-1].find(grams)
         miss = np.flatnonzero(at < 0)
-        rare = self._backed_off(grams[miss]) if len(miss) else None
+        rare = self._backed_off(grams[miss]) if len(miss) and not self.partial else np.zeros((len(miss), len(self.langs)))
         inside = _inside(starts)
         edges = np.concatenate([starts[:-1], [len(grams)]])  # a gram is counted at its first unit's place
         for k in range(len(self.langs)):
-            own = self.log_p[-1][k][at].astype(np.float64)
-            if rare is not None:
-                own[miss] = rare[:, k]
+            own = self.log_p[-1][k][at].astype(np.float64) if len(self.grams[-1].hashes) else np.zeros(len(at))
+            own[miss] = rare[:, k]
             own[~inside] = 0.0
             total = np.concatenate([[0.0], np.cumsum(own)])
             bits[:, k] = -(total[np.minimum(edges[1:], len(grams))] - total[np.minimum(edges[:-1], len(grams))])
+        for i, sums in enumerate(rest or []):
+            if sums is not None:
+                bits[i] -= sums
         return bits / np.maximum(n, 1)[:, None], n
 
     def _backed_off(self, grams: np.ndarray) -> np.ndarray:
@@ -285,8 +345,50 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -
     return model
 
 
+def _per_language(value: Column, width: int, default: float) -> Column:
+    """An array over languages of the one value that each has in column ``value`` of a group, ``default`` where it has none."""
+    return F.array(*[F.coalesce(F.max(F.when(F.col("i") == i, value)), F.lit(default)) for i in range(width)])
+
+
+def build_tables(langs: list[str], counts: DataFrame) -> Tables:
+    """What :func:`build` makes, for all grams of ``counts`` (lang, gram, n), by sums and joins."""
+    width = len(langs)
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), f)
+    logs = lambda c: F.transform(c, lambda x: F.log2(x).cast("float"))
+    levels = [counts.select((F.array_position(F.lit(langs), F.col("lang")) - 1).cast("int").alias("i"), "gram", F.col("n").cast("double").alias("n"))]
+    for k in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")
+        levels.insert(0, materialize(levels[0].select("i", suffix).groupBy("i", "gram").agg(F.count("*").cast("double").alias("n"))))
+    uniform = 1.0 / (levels[0].select("gram").distinct().count() + 1)
+    out, below, unseen = Tables([], [], []), None, []
+    for k, level in enumerate(levels, 1):
+        discounts = [0.75] * width
+        for i, ones, twos in level.groupBy("i").agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
+            discounts[i] = ones / (ones + 2 * twos) if ones and twos else 0.75
+        discount = F.lit(discounts)
+        context = F.shiftrightunsigned("gram", 16).alias("context")
+        totals = level.groupBy(context, "i").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+        weight = F.get(discount, F.col("i")) * F.col("types") / F.col("total")
+        contexts = materialize(totals.groupBy("context").agg(_per_language(F.col("total"), width, 0.0).alias("total"), _per_language(weight, width, 1.0).alias("weight")))
+        grams = level.groupBy("gram").agg(_per_language(F.col("n"), width, 0.0).alias("n")).withColumn("context", context)
+        grams = grams.join(_by_units(contexts, k - 1, width), "context")
+        if below is None:
+            lower = F.lit([uniform] * width)
+            first = contexts.select("weight").head()
+            unseen = [float(x) for x in np.log2(np.array(first[0] if first else [1.0] * width) * uniform)]
+        else:
+            grams = grams.withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1)))
+            grams = grams.join(_by_units(below.select(F.col("gram").alias("end"), F.col("p").alias("lower")), k - 1, width), "end")
+            lower = F.col("lower")
+        own = lambda i: F.when(F.get("total", i) > 0, F.greatest(F.get("n", i) - F.get(discount, i), F.lit(0.0)) / F.get("total", i)).otherwise(0.0)  # noqa: E731, B023
+        below = materialize(grams.select("gram", each(lambda i: own(i) + F.get("weight", i) * F.get(lower, i)).alias("p")))  # noqa: B023
+        out.grams.append(below.select("gram", logs("p").alias("log_p")))
+        out.contexts.append(contexts.select("context", logs("weight").alias("weight")))
+    return replace(out, unseen=unseen)
+
+
 def train(rows: DataFrame, max_cells: int = MAX_CELLS) -> Model:
-    """Fit on ``rows`` (lang, text), lang not null."""
+    """Fit on ``rows`` (lang, text), lang not null; ``max_cells`` bounds the arrays, not the model."""
     counts = materialize(gram_counts(rows))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     most = max_cells // max(1, len(langs))
@@ -298,7 +400,14 @@ def train(rows: DataFrame, max_cells: int = MAX_CELLS) -> Model:
         if held > most:
             least = depth + 1
             break
-    found = counts.filter(level >= least).toArrow()
+    if least:
+        tables = build_tables(langs, counts)
+        frequent = counts.filter(level >= least).select("gram").distinct()
+        found = tables.grams[-1].join(frequent.hint("merge"), "gram").toArrow()
+        grams, order = HashArray.of(found.column("gram").to_numpy().view(np.uint64))
+        log_p = found.column("log_p").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+        return Model(langs, [grams], [log_p[order].T.copy()], tables=tables, partial=True)
+    found = counts.toArrow()
     numbers = np.searchsorted(np.array(langs), np.array(found.column("lang").to_pylist())) if langs and found.num_rows else np.zeros(0, np.int64)
     return build(langs, numbers, found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy())
 
@@ -320,17 +429,41 @@ def _score(model: Model, entropies: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return best, score, accepted
 
 
+def _with_rest(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
+    """``docs`` with a column ``out``: per language the sum over the text's 4-grams that the model's arrays do not hold."""
+    if model.tables is None:
+        return docs.withColumn(out, F.lit(None).cast("array<double>"))
+    shipped = model.shipped(docs.sparkSession)
+
+    def missing(batches):
+        for batch in slices(batches, "text", 2_000_000):
+            keys = np.array(batch.column("key").to_pylist(), object)
+            who, grams, times = shipped.value.absent([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[who], pa.string()), pa.array(grams.view(np.int64)), pa.array(times, pa.int64())], ["key", "gram", "times"])
+
+    key = F.md5(F.col(text).cast("string"))
+    rows = docs.select(key.alias("key"), F.col(text).cast("string").alias("text")).filter(F.col("key").isNotNull())
+    # equal texts bring equal rows
+    found = materialize(rows.mapInArrow(missing, "key string, gram long, times long").groupBy("key", "gram").agg(F.first("times").alias("times")))
+    values = materialize(model.tables.look_up(found.select("gram").distinct()))
+    sums = [F.sum(F.col("times") * F.get("log_p", F.lit(i))) for i in range(len(model.langs))]
+    name = fresh(docs, "key")
+    rest = found.join(values.hint("merge"), "gram").groupBy(F.col("key").alias(name)).agg(F.array(*sums).alias(out))
+    return docs.withColumn(name, key).join(rest.hint("merge"), name, "left").drop(name)
+
+
 def calibrate(model: Model, rows: DataFrame) -> Model:
     """Fit sharpness and rejection on ``rows`` (lang, text): a bounded number of rows that the model has not counted."""
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    shipped = model.shipped(rows.sparkSession)
     width = len(model.langs)
 
     def measure(batches):
         for batch in slices(batches, "text", 2_000_000):
-            bits, n = shipped.value.entropies([t or "" for t in batch.column("text").to_pylist()])
+            bits, n = shipped.value.entropies([t or "" for t in batch.column("text").to_pylist()], batch.column("rest").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(bits), pa.list_(pa.float64())), pa.array(n)], ["lang", "bits", "n"])
 
-    found = rows.filter(F.col("lang").isin(*model.langs)).select("lang", "text").mapInArrow(measure, "lang string, bits array<double>, n long").toArrow()
+    known = rows.filter(F.col("lang").isin(*model.langs)).select("lang", "text")
+    found = _with_rest(known, model, "text", "rest").mapInArrow(measure, "lang string, bits array<double>, n long").toArrow()
     n = found.column("n").to_numpy()
     if not width or not (n > 0).any():
         return model
@@ -355,16 +488,16 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out`` (lang, score, accepted)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = model.shipped(docs.sparkSession)
 
     @F.arrow_udf("lang string, score double, accepted boolean")
-    def identify(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
+    def identify(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, rest in columns:
             at = 0
             lang, score, ok = [], np.zeros(len(column)), np.zeros(len(column), bool)
-            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            batch = pa.RecordBatch.from_arrays([column, rest], ["text", "rest"])
             for part in slices([batch], "text", 2_000_000):
-                bits, n = shipped.value.entropies([t or "" for t in part.column("text").to_pylist()])
+                bits, n = shipped.value.entropies([t or "" for t in part.column("text").to_pylist()], part.column("rest").to_pylist())
                 if shipped.value.langs:
                     best, s, a = _score(shipped.value, bits, n)
                     lang += [shipped.value.langs[b] if m else UNDETERMINED for b, m in zip(best, n, strict=True)]
@@ -374,7 +507,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "langu
                 at += len(n)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], ["lang", "score", "accepted"])
 
-    return docs.withColumn(out, identify(F.col(text).cast("string")))
+    name = fresh(docs, f"{out}_rest")
+    return _with_rest(docs, model, text, name).withColumn(out, identify(F.col(text).cast("string"), F.col(name))).drop(name)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -119,3 +119,33 @@ def test_texts_without_a_letter(spark, text):
 def test_letters_beyond_the_first_plane():
     gothic = "\U00010330\U00010331"
     assert langid.lettered(gothic) == gothic and langid.lettered("a\U0001f600b") == "a b" and langid.lettered("é") == "é"
+
+
+def sentences(spark):
+    rng = np.random.default_rng(42)
+    words = {lang: ["".join(rng.choice(list(letters), int(rng.integers(1, 7)))) for _ in range(40)] for lang, letters in (("a", "abcde"), ("b", "cdefg語"), ("c", "éabgh\U00010330"))}
+    rows = [(lang, " ".join(rng.choice(own, int(rng.integers(1, 25))))) for lang, own in words.items() for _ in range(60)]
+    odd = [None, "", "42", "zzzz qqqq", "語語 abc", "abcde zq", "\U00010330x", rows[0][1] + " zq", "e"]
+    docs = [(i, t, "x") for i, t in enumerate([t for _, t in rows[::3]] + odd + odd)] + [(None, rows[0][1], None)]
+    return spark.createDataFrame(rows, "lang string, text string"), spark.createDataFrame(docs, "key long, text string, rest string")
+
+
+@pytest.mark.parametrize("cells", [3, 600])
+def test_rare_grams_count_beyond_the_arrays(spark, cells):
+    """More 4-grams than the arrays may hold: the same probabilities, entropies and answers as with arrays of all."""
+    rows, docs = sentences(spark)
+    whole, split = langid.train(rows), langid.train(rows, cells)
+    held = split.log_p[-1].size
+    assert whole.tables is None and held <= cells < whole.log_p[-1].size
+    limits = [langid.calibrate(m, rows) for m in (whole, split)]
+    assert limits[0].sharpness == limits[1].sharpness and limits[1].limit == pytest.approx(limits[0].limit, rel=1e-5)
+    order = lambda r: (r.key is None, r.key or 0)
+    want, got = (sorted(langid.predict(docs, m).collect(), key=order) for m in limits)
+    assert [r[:3] for r in want] == [r[:3] for r in got]
+    for a, b in zip(want, got, strict=True):
+        assert (a.language.lang, a.language.accepted) == (b.language.lang, b.language.accepted)
+        assert b.language.score == pytest.approx(a.language.score, abs=1e-5)
+    texts = [r.text or "" for r in want]
+    sums = {r.key: r.own for r in langid._with_rest(docs, split, "text", "own").collect()}
+    bits, n = split.entropies(texts, [sums[r.key] for r in want])
+    assert (n == whole.entropies(texts)[1]).all() and bits == pytest.approx(whole.entropies(texts)[0], abs=1e-4)
