@@ -5,7 +5,8 @@ are one entry that keeps its ``k`` smallest ids, so copies cost nothing, and ``k
 all values within radius 0 of each of its segments, then those at radius 1, 2, ...; every code it meets is verified by its
 whole Hamming distance. Once radius r is done in all m segments, every code at distance below m * (r + 1) has been
 met; a query is finished when its kth verified distance is below that. With a kth distance d in hand, the first
-d - m * r + 1 segments suffice at radius r, and only those are looked up. The segment length follows the number of codes
+d - m * r + 1 segments suffice at radius r, and only those are looked up; a code further than d is refused inside the join
+on (segment, value), so that only codes that can still be an answer become rows. The segment length follows the number of codes
 (at most about one code per bucket), so buckets stay small as the table grows. Values at a radius are made by one more flip of
 those at the radius before, above their highest flipped bit, in place. All joins are sort-merge joins on (segment, value)
 or on the query: probes grow with the queries and the radius, so nothing is broadcast and no mask passes through the
@@ -60,10 +61,20 @@ def _values(code: Column, cuts: list[tuple[int, int]]) -> Column:
 def _flipped(probes: DataFrame) -> DataFrame:
     """Every probe with one more bit flipped, above those already flipped; each set of bits comes up once."""
     more = F.explode(F.when(F.col("top") + 1 < F.col("n"), F.sequence(F.col("top") + 1, F.col("n") - 1)))
-    wider = probes.select("query_code", "segment", "n", "value", more.alias("top"))
+    wider = probes.select("query_code", "within", "segment", "n", "value", more.alias("top"))
     return wider.withColumn("value", F.expr("value ^ shiftleft(1L, top)"))
 
 
+def _met(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_code, code, ids, distance) of the codes in the probed buckets that are no further than ``within``.
+
+    The distance is a condition of the join: codes of a bucket that are too far are compared, but make no row.
+    """
+    distance = F.bit_count(F.col("query_code").bitwiseXOR(F.col("code")))
+    met = probes.select("query_code", "within", "segment", "value").join(index.hint("merge"), ["segment", "value"]).filter(distance <= F.col("within"))
+    return met.select("query_code", "code", "ids", distance.alias("distance"))
+
+
 def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest of ``rows`` (id, code) for each of ``queries`` (id, code)."""
     held = rows.filter(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code")
@@ -82,13 +93,13 @@ def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = B
     best, done = None, []
     for radius in range(longest + 1):
         need = F.coalesce(F.least(F.lit(m), F.col("kth") - m * radius + 1), F.lit(m))
-        asked = left.groupBy("query_code").agg(F.max(need).alias("need"))
-        probes = asked.select("query_code", "need", F.explode(_values(F.col("query_code"), cuts)).alias("at")).select("query_code", "need", "at.*")
+        within = F.coalesce(F.col("kth"), F.lit(64))
+        asked = left.groupBy("query_code").agg(F.max(need).alias("need"), F.max(within).alias("within"))
+        probes = asked.select("query_code", "need", "within", F.explode(_values(F.col("query_code"), cuts)).alias("at")).select("query_code", "need", "within", "at.*")
         probes = probes.filter(F.col("segment") < F.col("need"))
         for _ in range(radius):
             probes = _flipped(probes)
-        met = probes.select("query_code", "segment", "value").join(index.hint("merge"), ["segment", "value"])
-        near = met.select("query_code", "code", "ids", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).alias("distance"))
+        near = _met(probes, index)
         if best is not None:
             near = near.unionByName(best.join(asked.hint("merge"), "query_code", "left_semi"))
         # k + 1 codes hold k ids besides the query's own

@@ -138,3 +138,28 @@ def test_top_k_edges(spark):
     got = topk.hamming_top_k(table, table.filter("id % 100 = 0"), k=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id, r.distance) for r in got] == [(0, 1, 0), (0, 100, 0), (0, 2, 1), (100, 0, 0), (100, 1, 0), (100, 2, 1)]
     assert topk.hamming_top_k(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_top_k_of_clustered_codes(spark):
+    """Several radii, near copies and repeated codes, against all distances."""
+    rng = np.random.default_rng(9)
+    free = rng.integers(-(2**63), 2**63 - 1, 500)
+    near = free[0] ^ (np.int64(1) << rng.integers(0, 63, 200))
+    codes = [int(c) for c in np.concatenate([free, near, near[:20]])]
+    table = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    got = topk.hamming_top_k(table, table.filter("id % 50 = 0"), k=5).orderBy("query_id", "rank").collect()
+    want = []
+    for q in range(0, len(codes), 50):
+        all_of = sorted((bin((codes[q] ^ c) & (2**64 - 1)).count("1"), i) for i, c in enumerate(codes) if i != q)
+        want += [(q, rank, i, d) for rank, (d, i) in enumerate(all_of[:5], 1)]
+    assert [(r.query_id, r["rank"], r.id, r.distance) for r in got] == want
+
+
+def test_top_k_refuses_far_codes_in_the_join(spark):
+    """A bucket that a query meets makes a row only of codes that can still be an answer."""
+    index = spark.createDataFrame([(0, 5, c << 8 | 5, [c]) for c in range(256)], "segment int, value long, code long, ids array<long>")
+    probes = spark.createDataFrame([(5, 1, 0, 8, 5, -1), (261, 0, 0, 8, 5, -1)], "query_code long, within int, segment int, n int, value long, top int")
+    met = topk._met(probes, index)
+    assert sorted((r.query_code, r.distance) for r in met.collect()) == [(5, 0)] + [(5, 1)] * 8 + [(261, 0)]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in next(line for line in plan.splitlines() if "Join Inner" in line)
