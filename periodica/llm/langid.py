@@ -11,9 +11,10 @@ own for the interpolation weights, used where a gram was never seen. Arrays hold
 4-grams: should the corpus hold more, Spark works out all orders from all counts as tables (:class:`Tables`), the arrays
 keep the most frequent 4-grams (from a count that Spark finds by a histogram of counts), and the others that a text holds
 are looked up by joins. Either way every gram counts, with the same probabilities. A text's language is that with the lowest
-cross-entropy per unit. The score is a softmax of these entropies; its sharpness is fitted on at most
-``CALIBRATION_ROWS`` labelled documents that are kept out of the counts, and so is, for each language, how far above its
-own mean the entropy of an accepted text may lie: far in short texts, less in long ones (:func:`_spread`).
+cross-entropy per unit. The score is a softmax of these entropies; its sharpness is fitted on the share
+``CALIBRATION_SHARE`` of labelled documents that is kept out of the counts, and so is, for each language, how far above its
+own mean the entropy of an accepted text may lie: far in short texts, less in long ones (:func:`_spread`). Both are sums
+and maxima over all rows of that share, however many.
 
 Null and empty texts and texts without a letter are ``und``, score 0, rejected. Without any training document every
 text is. Ties go to the language that sorts first.
@@ -38,9 +39,9 @@ from periodica.session import bounded_side, materialize
 ORDER = 4
 #: Probabilities of 4-grams that are sent to every task; those of rarer ones stay in tables.
 MAX_CELLS = 8_000_000
-CALIBRATION_ROWS = 4000
-#: And at most this share of the labelled documents.
+#: The labelled documents that calibrate the model, all of them; the others are counted.
 CALIBRATION_SHARE = 0.1
+SHARPNESSES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 #: An accepted text's entropy excess may be this many times the largest one seen in calibration, or ``LEAST_EXCESS``.
 SLACK = 2.0
 LEAST_EXCESS = 5.0
@@ -453,36 +454,39 @@ def _with_rest(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
-    """Fit sharpness and rejection on ``rows`` (lang, text): a bounded number of rows that the model has not counted."""
+    """Fit sharpness and rejection on all of ``rows`` (lang, text), which the model has not counted."""
     shipped = model.shipped(rows.sparkSession)
     width = len(model.langs)
 
     def measure(batches):
         for batch in slices(batches, "text", 2_000_000):
             bits, n = shipped.value.entropies([t or "" for t in batch.column("text").to_pylist()], batch.column("rest").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(bits), pa.list_(pa.float64())), pa.array(n)], ["lang", "bits", "n"])
-
+            truth = np.searchsorted(np.array(shipped.value.langs), np.array(batch.column("lang").to_pylist()))
+            at = np.arange(len(n))
+            losses = []
+            for sharpness in SHARPNESSES:
+                x = -bits * sharpness * np.sqrt(n)[:, None]
+                x -= x.max(axis=1, keepdims=True)
+                losses.append(-(x[at, truth] - np.log(np.exp(x).sum(axis=1))))
+            columns = [pa.array(truth, pa.int32()), pa.array(n), pa.array(bits[at, truth]), pa.array(_spread(n)), pa.array(list(np.stack(losses, axis=1)), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "n", "own", "spread", "losses"])
+
+    if not width:
+        return model
     known = rows.filter(F.col("lang").isin(*model.langs)).select("lang", "text")
-    found = _with_rest(known, model, "text", "rest").mapInArrow(measure, "lang string, bits array<double>, n long").toArrow()
-    n = found.column("n").to_numpy()
-    if not width or not (n > 0).any():
+    found = _with_rest(known, model, "text", "rest").mapInArrow(measure, "i int, n long, own double, spread double, losses array<double>")
+    found = materialize(found.filter("n > 0"))
+    sums = [F.sum(F.get("losses", F.lit(k))) for k in range(len(SHARPNESSES))]
+    means = found.groupBy("i").agg((F.sum(F.col("own") * F.col("n")) / F.sum("n")).alias("mean"), F.array(*sums).alias("loss")).collect()
+    if not means:
         return model
-    bits = np.array(found.column("bits").to_pylist(), np.float64).reshape(-1, width)[n > 0]
-    truth = np.searchsorted(np.array(model.langs), np.array(found.column("lang").to_pylist()))[n > 0]
-    n = n[n > 0]
-    losses = {}
-    for sharpness in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0):
-        x = -bits * sharpness * np.sqrt(n)[:, None]
-        x -= x.max(axis=1, keepdims=True)
-        losses[sharpness] = float(-(x[np.arange(len(n)), truth] - np.log(np.exp(x).sum(axis=1))).mean())
-    model.sharpness = min(losses, key=losses.get)
+    model.sharpness = SHARPNESSES[int(np.sum([r["loss"] for r in means], axis=0).argmin())]
     model.mean, model.limit = np.zeros(width), np.full(width, np.inf)
-    for i in range(width):
-        mine = truth == i
-        if mine.any():
-            own = bits[mine, i]
-            model.mean[i] = np.average(own, weights=n[mine])
-            model.limit[i] = SLACK * max(LEAST_EXCESS, float(((own - model.mean[i]) / _spread(n[mine])).max()))
+    for r in means:
+        model.mean[r["i"]] = r["mean"]
+    excess = (F.col("own") - F.get(F.lit(model.mean.tolist()), F.col("i"))) / F.col("spread")
+    for i, largest in found.groupBy("i").agg(F.max(excess)).collect():
+        model.limit[i] = SLACK * max(LEAST_EXCESS, largest)
     return model
 
 
@@ -519,8 +523,7 @@ def fit_documents(docs: DataFrame) -> Model:
     """Model and calibration from the documents that are not held out and have a language."""
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("id"))
-    share = min(CALIBRATION_SHARE, CALIBRATION_ROWS / max(1, rows.count()))
-    picked = F.coalesce(F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000), F.lit(False))
+    picked = F.coalesce(F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(1_000_000)) < int(CALIBRATION_SHARE * 1_000_000), F.lit(False))
     return calibrate(train(rows.filter(~picked).select("lang", "text")), rows.filter(picked).select("lang", "text"))
 
 

@@ -149,3 +149,37 @@ def test_rare_grams_count_beyond_the_arrays(spark, cells):
     sums = {r.key: r.own for r in langid._with_rest(docs, split, "text", "own").collect()}
     bits, n = split.entropies(texts, [sums[r.key] for r in want])
     assert (n == whole.entropies(texts)[1]).all() and bits == pytest.approx(whole.entropies(texts)[0], abs=1e-4)
+
+
+def test_calibration_takes_its_whole_share(spark, monkeypatch):
+    """A tenth of 41,000 documents is over 4,000: all of them calibrate, and the others are counted."""
+    rows = spark.range(0, 58_000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("ab").alias("text"))
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda r: seen.setdefault("counted", r.count()))
+    monkeypatch.setattr(langid, "calibrate", lambda m, r: seen.setdefault("calibrated", r.count()))
+    langid.fit_documents(rows)
+    labelled = rows.filter(~langid.held_out(F.col("doc_id"))).count()
+    assert seen["counted"] + seen["calibrated"] == labelled > 41_000
+    assert seen["calibrated"] == pytest.approx(labelled / 10, rel=0.05) and seen["calibrated"] > 4_000
+
+
+def test_calibration_by_sums(spark):
+    """Mean, limit and sharpness as of all rows at once; a language without a row here is never rejected."""
+    rows, _ = sentences(spark)
+    model = langid.train(rows)
+    part = rows.filter("lang != 'c'").union(spark.createDataFrame([("a", None), ("b", "42"), ("a", "gggg"), ("gone", "abc")], "lang string, text string"))
+    fitted = langid.calibrate(model, part)
+    texts = [(r.lang, r.text) for r in part.collect() if r.lang in "ab" and r.text and r.text != "42"]
+    bits, n = model.entropies([t for _, t in texts])
+    truth = np.array(["abc".index(lang) for lang, _ in texts])
+    losses = []
+    for sharpness in langid.SHARPNESSES:
+        x = -bits * sharpness * np.sqrt(n)[:, None]
+        losses.append((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(n)), truth]).sum())
+    assert fitted.sharpness == langid.SHARPNESSES[int(np.argmin(losses))]
+    for i in range(2):
+        own, units = bits[truth == i, i], n[truth == i]
+        mean = np.average(own, weights=units)
+        assert fitted.mean[i] == pytest.approx(mean)
+        assert fitted.limit[i] == pytest.approx(langid.SLACK * max(langid.LEAST_EXCESS, ((own - mean) / langid._spread(units)).max()))
+    assert np.isinf(fitted.limit[2])
